@@ -78,7 +78,7 @@ def order_items(orders: DataFrame, products: DataFrame, product_count: int, line
 
 def order_lines(orders: DataFrame, lines: int = 3) -> DataFrame:
     """CROSS JOIN with a series 1..n, as a generator: no pair of rows meets in a join."""
-    return (orders.select("order_id", F.explode(F.sequence(F.lit(1), F.lit(lines))).cast("long").alias("line_no"))
+    return (orders.select("order_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(lines).cast("long"))).alias("line_no"))
             .filter(F.col("line_no") <= 1 + F.col("order_id") % lines))
 
 
