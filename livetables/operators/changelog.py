@@ -125,6 +125,7 @@ def next_offsets(batch: DataFrame) -> DataFrame:
 
 def lag(end_offsets: DataFrame, committed: DataFrame) -> DataFrame:
     """Records still to read per topic; null where no end offset is known."""
-    gap = F.greatest(F.col("end_offset") - F.coalesce(F.col("next_offset"), F.lit(0)), F.lit(0).cast("long"))
+    behind = F.col("end_offset") - F.coalesce(F.col("next_offset"), F.lit(0))
+    gap = F.when(behind.isNotNull(), F.greatest(behind, F.lit(0).cast("long")))
     return (end_offsets.join(committed, ["topic", "_partition"], "left")
             .groupBy("topic").agg(F.sum(gap).alias("lag")))

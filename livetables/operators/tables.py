@@ -24,8 +24,10 @@ from livetables.operators.layout import (APPEND, UPSERT, Layout, LayoutError, co
 from livetables.operators.store import TableStore
 
 DEFAULT_BUCKETS = 6  # fixed value: partitions of a topic declared without a bucket count
-MAX_LAYERS = 8
-FOLD_RATIO = 0.25
+MAX_LAYERS = 8           # a read resolves at most this many layers
+FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base are folded,
+FOLD_BYTES = 32 << 20    # if they are worth a rewrite
+FEW_BUCKETS = 16         # a batch of keys touches them all
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
 BUCKET = StructField("_bucket", IntegerType())
@@ -126,11 +128,13 @@ class KeyedTable(_Table):
     """
 
     def __init__(self, store: TableStore, name: str, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS,
-                 bucket_by: Sequence[str] | None = None, order: Sequence[str] = changelog.WITHIN_PARTITION):
+                 bucket_by: Sequence[str] | None = None, order: Sequence[str] = changelog.WITHIN_PARTITION,
+                 fold_bytes: int = FOLD_BYTES):
         super().__init__(store, name)
         infer_mode(keys, compacted=True)
         self.keys, self.default_buckets, self.order = list(keys), buckets, list(order)
         self.bucket_by = list(bucket_by or keys)
+        self.fold_bytes = fold_bytes
 
     # ---- reading
 
@@ -146,19 +150,30 @@ class KeyedTable(_Table):
         wanted = state["files"] if buckets is None else {str(b): state["files"][str(b)] for b in buckets if str(b) in state["files"]}
         return self._resolve(Layout.from_json(state["layout"]), wanted)
 
-    def _resolve(self, layout: Layout, files: dict[str, list[str]]) -> DataFrame:
-        """Base rows no layer touches, plus the last layered version of the others."""
+    def _resolve(self, layout: Layout, files: dict[str, list[str]], probe: DataFrame | None = None,
+                 on: Sequence[str] = ()) -> DataFrame:
+        """The last version of every row.
+
+        A whole read keeps the base where it lies: base rows no layer touches, plus the layered rows.
+        With a probe (some key columns) few rows remain, so base and layers are one scan, filtered
+        first and then ranked.
+        """
         if not files:
             return self.spark.createDataFrame([], layout.schema)
         root = self.store.data_path(self.name)
         base = [f"{root}/_v={layers[0]}/_bucket={b}" for b, layers in files.items() if layers[0] != NO_BASE]
         layered = [f"{root}/_v={v}/_bucket={b}" for b, layers in files.items() for v in layers[1:]]
         columns = layout.schema.names
+        layer_schema = StructType([*layout.schema, DELETED, BUCKET, VERSION])
+        if probe is not None:
+            rows = self._scan(layer_schema, base + layered).join(probe, list(on), "left_semi")
+            if layered:
+                rows = changelog.last_change(rows, self.keys, ["_v"]).filter("_deleted IS NULL OR NOT _deleted")
+            return rows.select(*columns)
         base_rows = self._scan(StructType([*layout.schema, BUCKET]), base).select(*columns) if base else None
         if not layered:
             return base_rows
-        changes = changelog.last_change(
-            self._scan(StructType([*layout.schema, DELETED, BUCKET, VERSION]), layered), self.keys, ["_v"])
+        changes = changelog.last_change(self._scan(layer_schema, layered), self.keys, ["_v"])
         live = changes.filter("NOT _deleted").select(*columns)
         if base_rows is None:
             return live
@@ -185,8 +200,11 @@ class KeyedTable(_Table):
         on = list(on or self.keys)
         typed = Layout.from_json(state["layout"]).schema
         probe = keys_df.select(*[F.col(k).cast(typed[k].dataType).alias(k) for k in on])
-        touched = [r[0] for r in probe.select(bucket_of(self.bucket_by, state["buckets"]).alias("b")).distinct().collect()]
-        return self.read(snapshot, touched).join(probe, on, "left_semi")
+        files = state["files"]
+        if state["buckets"] > FEW_BUCKETS:
+            touched = probe.select(bucket_of(self.bucket_by, state["buckets"]).alias("b")).distinct().collect()
+            files = {str(r["b"]): files[str(r["b"])] for r in touched if str(r["b"]) in files}
+        return self._resolve(Layout.from_json(state["layout"]), files, probe, on)
 
     # ---- writing
 
@@ -222,7 +240,7 @@ class KeyedTable(_Table):
         state = self.state(snapshot)
         incoming = self._incoming_layout(collapsed)
         if state is None:
-            state = {"mode": UPSERT, "bucket_by": self.bucket_by, "buckets": self.default_buckets, "files": {}, "rows": {}}
+            state = {"mode": UPSERT, "bucket_by": self.bucket_by, "buckets": self.default_buckets, "files": {}, "bytes": {}}
             layout = incoming
         else:
             layout = merge_layout(Layout.from_json(state["layout"]), incoming)
@@ -236,17 +254,17 @@ class KeyedTable(_Table):
             rows = rows.filter("NOT _deleted").drop("_deleted")
         counts = self._write_version(rows, version)
         files = {b: list(v) for b, v in state["files"].items()}
-        sizes = {b: list(v) for b, v in state["rows"].items()}
+        sizes = {b: list(v) for b, v in state["bytes"].items()}
         for b, count in counts.items():
             if b not in files and not first:
                 files[b], sizes[b] = [NO_BASE], [0]
             files.setdefault(b, []).append(version)
             sizes.setdefault(b, []).append(count)
         heavy = [b for b in counts if len(files[b]) > 1 and (
-            len(files[b]) > MAX_LAYERS or sum(sizes[b][1:]) >= FOLD_RATIO * sizes[b][0])]
+            len(files[b]) > MAX_LAYERS or sum(sizes[b][1:]) >= max(self.fold_bytes, FOLD_RATIO * sizes[b][0]))]
         if heavy:
             self._fold(layout, heavy, files, sizes, snapshot)
-        state = self._progressed({**state, "layout": layout.to_json(), "files": files, "rows": sizes}, offsets or {}, record_ts)
+        state = self._progressed({**state, "layout": layout.to_json(), "files": files, "bytes": sizes}, offsets or {}, record_ts)
         if definition is not None:
             state["definition"] = definition
         return state
@@ -256,12 +274,12 @@ class KeyedTable(_Table):
         snapshot = self.store.snapshot()
         state = self.state(snapshot)
         files = {b: list(v) for b, v in state["files"].items()}
-        sizes = {b: list(v) for b, v in state["rows"].items()}
+        sizes = {b: list(v) for b, v in state["bytes"].items()}
         layered = [b for b in files if len(files[b]) > 1]
         if not layered:
             return snapshot
         self._fold(Layout.from_json(state["layout"]), layered, files, sizes, snapshot)
-        return self.store.commit(snapshot, {self.name: {**state, "files": files, "rows": sizes}})
+        return self.store.commit(snapshot, {self.name: {**state, "files": files, "bytes": sizes}})
 
     def _fold(self, layout: Layout, buckets: list[str], files: dict, sizes: dict, snapshot: dict) -> None:
         version = self.store.new_version(snapshot)
@@ -283,9 +301,16 @@ class KeyedTable(_Table):
         path = f"{self.store.data_path(self.name)}/_v={version}"
         (rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.keys)
          .write.partitionBy("_bucket").parquet(path))
+        return self._bucket_bytes(path)
+
+    def _bucket_bytes(self, path: str) -> dict[str, int]:
+        """Bytes per bucket of a version just written: from the file system for a few buckets, else by a job."""
+        few = self.store.folder_bytes(path, "_bucket=", 16 * FEW_BUCKETS)
+        if few is not None:
+            return few
         written = self.spark.read.schema(StructType([BUCKET])).parquet(path)
-        # one row per bucket; answered from file footers
-        return {str(r["_bucket"]): r["count"] for r in written.groupBy("_bucket").count().collect()}
+        files = written.select("_bucket", "_metadata.file_path", "_metadata.file_size").distinct()
+        return {str(r["_bucket"]): r["bytes"] for r in files.groupBy("_bucket").agg(F.sum("file_size").alias("bytes")).collect()}
 
     def _incoming_layout(self, df: DataFrame) -> Layout:
         hidden = {"_deleted", "_bucket", *GUARD_COLUMNS}

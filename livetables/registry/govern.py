@@ -62,7 +62,7 @@ def audit_append(spark, d):
     return spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
-@query("audit_outcome", oracle("audit", body=f"SELECT "at", principal, reason, {OUTCOME} AS outcome FROM audit"))
+@query("audit_outcome", oracle("audit", body=f"""SELECT "at", principal, reason, {OUTCOME} AS outcome FROM audit"""))
 def audit_outcome(spark, d):
     return audit(spark, d).select("at", "principal", "reason", "outcome")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import Future, ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from livetables.operators.changelog import signed_diff
@@ -31,14 +31,10 @@ class Refresh:
     def __init__(self, store: TableStore):
         self.store, self.base = store, store.snapshot()
         self._writes: dict[str, Future] = {}
+        self._changes: dict[str, DataFrame] = {}
         self._kept: list[DataFrame] = []
         self._pool = ThreadPoolExecutor(4)
 
-    @property
-    def after(self) -> dict:
-        """The snapshot this commit will publish; waits for the writes so far."""
-        return {**self.base, "tables": {**self.base["tables"], **{n: w.result() for n, w in self._writes.items()}}}
-
     @staticmethod
     def keep(df: DataFrame) -> DataFrame:
         """Rows that several steps use, written out: it keeps the plans of those steps short."""
@@ -60,8 +56,22 @@ class Refresh:
         self._submit(table, rows)
 
     def _submit(self, table: KeyedTable, rows: DataFrame, *progress) -> None:
+        self._changes[table.name] = rows
         self._writes[table.name] = self._pool.submit(table.write, rows, self.base, *progress)
 
+    def rows(self, table: KeyedTable, ids: DataFrame, on: list[str]) -> DataFrame | None:
+        """Rows of some keys as this commit will leave them, without waiting for its writes:
+        the committed rows that did not change, and the changed ones."""
+        stored = table.read_keys(ids, self.base, on)
+        changes = self._changes.get(table.name)
+        if changes is None:
+            return stored
+        live = changes.filter("NOT _deleted").join(ids.select(*on), on, "left_semi")
+        if stored is None:
+            return live
+        kept = stored.join(changes.select(*table.keys), table.keys, "left_anti")
+        return kept.unionByName(live.select(*[c for c in live.columns if c in kept.columns]), allowMissingColumns=True)
+
     def commit(self) -> dict:
         try:
             pending = {n: w.result() for n, w in self._writes.items()}
@@ -95,7 +105,7 @@ def merge_signed(refresh: Refresh, table: KeyedTable, signed: DataFrame, sums: d
     w = F.col("_w")
     delta = signed.groupBy(*table.keys).agg(F.sum(w).alias("n"), *[F.sum(w * v).alias(k) for k, v in sums.items()])
     columns = ["n", *sums]
-    rows = with_stored(refresh.keep(delta.dropna(subset=table.keys)), table, refresh.base, columns)
+    rows = with_stored(delta.dropna(subset=table.keys), table, refresh.base, columns)
     types = {"n": "long", **{k: SUM for k in sums}}
     total = {c: (F.coalesce(F.col(f"old_{c}").cast(types[c]), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).cast(types[c]) for c in columns}
     rows = rows.select(*table.keys, *[v.alias(c) for c, v in total.items()])
@@ -167,29 +177,31 @@ class CustomerView:
         columns = ["orders", "sold", "open_orders", "last_order_at"]
         rows = with_stored(delta, self.totals, refresh.base, columns)
         old = lambda c, t: F.coalesce(F.col(f"old_{c}").cast(t), F.lit(0))
+        latest = F.greatest(F.col("old_last_order_at").cast("timestamp_ntz"), F.col("added"))
+        seen = Observation()
         rows = refresh.keep(rows.select(
             "customer_id",
             (old("orders", "long") + F.col("n")).alias("orders"),
             (old("sold", SUM) + F.coalesce("sold", F.lit(0))).cast(SUM).alias("sold"),
             (old("open_orders", "long") + F.col("open_orders")).alias("open_orders"),
-            F.greatest(F.col("old_last_order_at").cast("timestamp_ntz"), F.col("added")).alias("last_order_at"),
-            (F.col("removed") >= F.greatest(F.col("old_last_order_at").cast("timestamp_ntz"), F.col("added"))).alias("max_left"),
-        ))
-        left = rows.filter("max_left AND orders > 0").select("customer_id")
-        if not left.isEmpty():
-            again = (self.times.read_keys(left, refresh.after, on=["customer_id"])
+            latest.alias("last_order_at"),
+            F.coalesce(F.col("removed") >= latest, F.lit(False)).alias("max_left"),
+        ).observe(seen, F.count_if("max_left").alias("left")))
+        if seen.get["left"]:
+            left = rows.filter("max_left").select("customer_id")
+            again = (refresh.rows(self.times, left, ["customer_id"])
                      .groupBy("customer_id").agg(F.max("created_at").alias("again")))
             rows = (rows.join(again, "customer_id", "left")
-                    .withColumn("last_order_at", F.when(F.coalesce("max_left", F.lit(False)), F.col("again")).otherwise(F.col("last_order_at")))
+                    .withColumn("last_order_at", F.when(F.col("max_left"), F.col("again")).otherwise(F.col("last_order_at")))
                     .drop("again"))
         refresh.put(self.totals, rows.drop("max_left").withColumn("_deleted", F.col("orders") == 0))
         return rows.select("customer_id")
 
     def _merge_view(self, refresh: Refresh, ids: DataFrame) -> None:
-        customers = self.customers.read_keys(ids, refresh.after)
+        customers = refresh.rows(self.customers, ids, ["customer_id"])
         if customers is None:
             return
-        totals = self.totals.read_keys(ids, refresh.after)
+        totals = refresh.rows(self.totals, ids, ["customer_id"])
         if totals is None:
             schema = f"customer_id long, orders long, sold {SUM}, open_orders long, last_order_at timestamp_ntz"
             totals = ids.sparkSession.createDataFrame([], schema)
@@ -217,7 +229,7 @@ class InventoryView:
         if not changed:
             return refresh.commit()
         ids = refresh.keep(changed[0].unionByName(changed[1]).distinct() if len(changed) == 2 else changed[0])
-        left, right = (t.read_keys(ids, refresh.after) for t in (self.products, self.inventory))
+        left, right = (refresh.rows(t, ids, ["product_id"]) for t in (self.products, self.inventory))
         if left is not None and right is not None:
             rows = inventory_live(left, right)
             refresh.put(self.view, ids.join(rows, "product_id", "left").withColumn("_deleted", F.col("available").isNull()))
