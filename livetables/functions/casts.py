@@ -10,17 +10,21 @@ from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 def _unscaled(value: Column, precision: int, scale: int) -> Column:
     """Big-endian two's complement bytes as decimal(p, s): hex digits in base-2^32 groups, highest first."""
     digits = F.hex(value)
-    negative = F.length(value).__gt__(0) & (F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8)
-    padded = F.when(negative, F.lpad(digits, 32, "F")).otherwise(F.lpad(digits, 32, "0"))
+    negative = (F.length(value) > 0) & (F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8)
+    # longer values only repeat the sign
+    tail = F.right(digits, F.lit(32))
+    padded = F.when(negative, F.lpad(tail, 32, "F")).otherwise(F.lpad(tail, 32, "0"))
     group = lambda i: F.conv(F.substring(padded, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
     # the complement of each group keeps every step within 127 bits
     part = lambda i: F.when(negative, F.lit(2**32 - 1).cast("decimal(38,0)") - group(i)).otherwise(group(i))
     magnitude = F.lit(0).cast("decimal(38,0)")
     for i in range(4):
         magnitude = (magnitude * F.lit(2**32).cast("decimal(10,0)") + part(i)).cast("decimal(38,0)")
-    signed = F.when(negative, -magnitude - 1).otherwise(magnitude)
-    shift = F.lit(10**scale).cast(f"decimal({scale + 1},0)")
-    return (signed / shift).cast(f"decimal({precision},{scale})") if scale else signed.cast(f"decimal({precision},0)")
+    magnitude = F.when(negative, magnitude + 1).otherwise(magnitude)
+    # the point is set in the text: a division would round
+    text = F.lpad(magnitude.cast("string"), 39, "0")
+    text = F.concat(F.when(negative, "-").otherwise(""), F.left(text, F.lit(39 - scale)), F.lit("."), F.right(text, F.lit(scale)))
+    return text.cast(f"decimal({precision},{scale})")
 
 
 def _decimal(value: Column, precision: int, scale: int) -> Column:

@@ -119,3 +119,9 @@ def register_topics(tables: dict[str, DataFrame]) -> Sequence[str]:
         df.createOrReplaceTempView(name)
         names.append(name)
     return names
+
+
+def jdbc_snapshot(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
+    """Initial rows of a source table, read in ranges of its numeric key."""
+    return (spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower),
+                                              upperBound=str(upper), numPartitions=str(partitions), **options).load())
