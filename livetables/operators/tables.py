@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
+from copy import deepcopy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +28,7 @@ DEFAULT_BUCKETS = 6  # fixed value: partitions of a topic declared without a buc
 MAX_LAYERS = 8           # a read resolves at most this many layers
 FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base are folded,
 FOLD_BYTES = 32 << 20    # if they are worth a rewrite
+KEEP_BYTES = 16 << 30    # larger batches are bulk loads
 FEW_BUCKETS = 16         # a batch of keys touches them all
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
@@ -53,6 +55,12 @@ class Staged:
     changes: DataFrame
     offsets: dict[str, int]
     record_ts: str | None
+    kept: bool
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The engine's estimate for a plan; a plan it cannot estimate counts as huge."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class _Table:
@@ -83,29 +91,34 @@ class _Table:
         return changelog.offset_guard(batch, self.offsets(snapshot))
 
     def _stage(self, batch: DataFrame, snapshot: dict, reduced) -> Staged | None:
-        """Read a batch once: skip what is committed, reduce it, note offsets and the newest time.
+        """Skip what is committed, reduce the rest, note offsets and the newest time.
 
-        The reduced batch is kept for the writes that follow; a lost block is read again. Offsets
-        come from it (the last record of a partition is the last of its key), one row per partition.
+        A micro-batch is read once: its reduced rows are kept for the writes that follow (a lost
+        block is read again), and they tell the offsets, since the last record of a partition is
+        the last of its key. A bulk load is not kept; its offsets come from a scan of three columns.
         """
-        positioned = set(GUARD_COLUMNS) <= set(batch.columns)
-        seen = Observation()
         fresh = self.guard(batch, snapshot)
-        if "_timestamp" in fresh.columns:
-            fresh = fresh.observe(seen, F.max(F.col("_timestamp").cast("timestamp_ntz")).alias("ts"))
-        changes = reduced(fresh).persist(StorageLevel.MEMORY_AND_DISK)
-        offsets: dict[str, int] = {}
-        record_ts = None
-        if positioned:
-            ends = changes.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset")).collect()
-            offsets = {str(r["_partition"]): r["next_offset"] for r in ends}
-            if not offsets:
-                changes.unpersist()
-                return None
-            if "_timestamp" in fresh.columns:
-                ts = seen.get["ts"]
-                record_ts = ts.isoformat(timespec="microseconds") if ts else None
-        return Staged(changes, offsets, record_ts)
+        positioned = set(GUARD_COLUMNS) <= set(batch.columns)
+        stamped = "_timestamp" in batch.columns
+        newest = F.max(F.col("_timestamp").cast("timestamp_ntz")) if stamped else F.lit(None).cast("timestamp_ntz")
+        keep = estimated_bytes(batch) <= KEEP_BYTES
+        ends, ts = [], None
+        if not keep:
+            changes = reduced(fresh)
+            if positioned:
+                ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts")).collect()
+                ts = max((r["ts"] for r in ends if r["ts"]), default=None)
+        else:
+            seen = Observation()
+            changes = reduced(fresh.observe(seen, newest.alias("ts"))).persist(StorageLevel.MEMORY_AND_DISK)
+            if positioned:
+                ends = changes.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset")).collect()
+                ts = seen.get["ts"] if ends else None
+        if positioned and not ends:
+            changes.unpersist()
+            return None
+        offsets = {str(r["_partition"]): r["next_offset"] for r in ends}
+        return Staged(changes, offsets, ts.isoformat(timespec="microseconds") if ts else None, keep)
 
     def drop(self) -> None:
         self.store.commit(self.store.snapshot(), {self.name: None})
@@ -148,9 +161,23 @@ class KeyedTable(_Table):
         if state is None:
             return None
         wanted = state["files"] if buckets is None else {str(b): state["files"][str(b)] for b in buckets if str(b) in state["files"]}
-        return self._resolve(Layout.from_json(state["layout"]), wanted)
+        return self._resolve(state, wanted)
+
+    def _paths(self, state: dict, files: dict[str, list[str]]) -> list[str]:
+        """Folders to read: the whole version where all its buckets are wanted, else one per bucket."""
+        wanted: dict[str, list[str]] = {}
+        for b, versions in files.items():
+            for v in versions:
+                if v != NO_BASE:
+                    wanted.setdefault(v, []).append(b)
+        root = self.store.data_path(self.name)
+        paths = []
+        for v, buckets in wanted.items():
+            whole = len(buckets) == state["written"].get(v)
+            paths += [f"{root}/_v={v}"] if whole else [f"{root}/_v={v}/_bucket={b}" for b in buckets]
+        return paths
 
-    def _resolve(self, layout: Layout, files: dict[str, list[str]], probe: DataFrame | None = None,
+    def _resolve(self, state: dict, files: dict[str, list[str]], probe: DataFrame | None = None,
                  on: Sequence[str] = ()) -> DataFrame:
         """The last version of every row.
 
@@ -158,12 +185,12 @@ class KeyedTable(_Table):
         With a probe (some key columns) few rows remain, so base and layers are one scan, filtered
         first and then ranked.
         """
-        if not files:
-            return self.spark.createDataFrame([], layout.schema)
-        root = self.store.data_path(self.name)
-        base = [f"{root}/_v={layers[0]}/_bucket={b}" for b, layers in files.items() if layers[0] != NO_BASE]
-        layered = [f"{root}/_v={v}/_bucket={b}" for b, layers in files.items() for v in layers[1:]]
+        layout = Layout.from_json(state["layout"])
         columns = layout.schema.names
+        base = self._paths(state, {b: layers[:1] for b, layers in files.items()})
+        layered = self._paths(state, {b: layers[1:] for b, layers in files.items()})
+        if not base and not layered:
+            return self.spark.createDataFrame([], layout.schema)
         layer_schema = StructType([*layout.schema, DELETED, BUCKET, VERSION])
         if probe is not None:
             rows = self._scan(layer_schema, base + layered).join(probe, list(on), "left_semi")
@@ -187,7 +214,7 @@ class KeyedTable(_Table):
         layout = Layout.from_json(state["layout"])
         literal = {k: F.lit(v).cast(layout.schema[k].dataType) for k, v in zip(self.keys, key, strict=True)}
         n = state["buckets"]
-        bucket = self.spark.range(1).select(bucket_of([literal[k] for k in self.bucket_by], n)).first()[0]
+        bucket = self.spark.range(1).select(bucket_of([literal[k] for k in state["bucket_by"]], n)).first()[0]
         rows = self.read(buckets=[bucket])
         return rows.filter(reduce(lambda a, b: a & b, [F.col(k) == literal[k] for k in self.keys]))
 
@@ -202,9 +229,9 @@ class KeyedTable(_Table):
         probe = keys_df.select(*[F.col(k).cast(typed[k].dataType).alias(k) for k in on])
         files = state["files"]
         if state["buckets"] > FEW_BUCKETS:
-            touched = probe.select(bucket_of(self.bucket_by, state["buckets"]).alias("b")).distinct().collect()
+            touched = probe.select(bucket_of(state["bucket_by"], state["buckets"]).alias("b")).distinct().collect()
             files = {str(r["b"]): files[str(r["b"])] for r in touched if str(r["b"]) in files}
-        return self._resolve(Layout.from_json(state["layout"]), files, probe, on)
+        return self._resolve(state, files, probe, on)
 
     # ---- writing
 
@@ -236,64 +263,88 @@ class KeyedTable(_Table):
         return state
 
     def write(self, collapsed: DataFrame, snapshot: dict, offsets: dict[str, int] | None = None,
-              record_ts: str | None = None, definition: str | None = None) -> dict:
+              record_ts: str | None = None, definition: str | None = None, unique: bool = False) -> dict:
+        """Write collapsed changes and return the state to commit. ``unique`` makes a repeated key an error."""
         state = self.state(snapshot)
         incoming = self._incoming_layout(collapsed)
         if state is None:
-            state = {"mode": UPSERT, "bucket_by": self.bucket_by, "buckets": self.default_buckets, "files": {}, "bytes": {}}
+            state = {"mode": UPSERT, "bucket_by": self.bucket_by, "buckets": self.default_buckets, "files": {}, "bytes": {}, "written": {}}
             layout = incoming
         else:
             layout = merge_layout(Layout.from_json(state["layout"]), incoming)
-        n = state["buckets"]
         # rows without a key are dropped, not failed
-        rows = conform(changelog.drop_null_keys(collapsed, self.keys).withColumn("_bucket", bucket_of(self.bucket_by, n)),
-                       StructType([*layout.schema, DELETED, BUCKET]))
+        keyed = changelog.drop_null_keys(collapsed, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"]))
+        rows = conform(keyed, StructType([*layout.schema, DELETED, BUCKET]))
+        state = {**state, "layout": layout.to_json(), "files": {b: list(v) for b, v in state["files"].items()},
+                 "bytes": {b: list(v) for b, v in state["bytes"].items()}, "written": dict(state["written"])}
+        files, sizes = state["files"], state["bytes"]
+        first = not files
         version = self.store.new_version(snapshot)
-        first = not state["files"]
-        if first:
-            rows = rows.filter("NOT _deleted").drop("_deleted")
-        counts = self._write_version(rows, version)
-        files = {b: list(v) for b, v in state["files"].items()}
-        sizes = {b: list(v) for b, v in state["bytes"].items()}
+        counts = self._write_version(rows.filter("NOT _deleted").drop("_deleted") if first else rows, version)
+        if unique and counts:
+            self._check_unique(layout, version)
+        state["written"][version] = len(counts)
         for b, count in counts.items():
-            if b not in files and not first:
-                files[b], sizes[b] = [NO_BASE], [0]
-            files.setdefault(b, []).append(version)
-            sizes.setdefault(b, []).append(count)
-        heavy = [b for b in counts if len(files[b]) > 1 and (
-            len(files[b]) > MAX_LAYERS or sum(sizes[b][1:]) >= max(self.fold_bytes, FOLD_RATIO * sizes[b][0]))]
-        if heavy:
-            self._fold(layout, heavy, files, sizes, snapshot)
-        state = self._progressed({**state, "layout": layout.to_json(), "files": files, "bytes": sizes}, offsets or {}, record_ts)
+            if b not in files:
+                files[b], sizes[b] = ([], []) if first else ([NO_BASE], [0])
+            files[b].append(version)
+            sizes[b].append(count)
+        grown = {b for b in counts if len(files[b]) > 1 and sum(sizes[b][1:]) >= max(self.fold_bytes, FOLD_RATIO * sizes[b][0])}
+        deep = {b for b in counts if len(files[b]) > MAX_LAYERS} - grown
+        if grown:
+            self._fold(state, grown, snapshot)
+        if deep:
+            self._join_layers(state, deep, snapshot)
+        self._tidy(state)
         if definition is not None:
             state["definition"] = definition
-        return state
+        return self._progressed(state, offsets or {}, record_ts)
 
     def compact(self) -> dict:
         """Fold every layered bucket."""
         snapshot = self.store.snapshot()
-        state = self.state(snapshot)
-        files = {b: list(v) for b, v in state["files"].items()}
-        sizes = {b: list(v) for b, v in state["bytes"].items()}
-        layered = [b for b in files if len(files[b]) > 1]
+        state = deepcopy(self.state(snapshot))
+        layered = {b for b, v in state["files"].items() if len(v) > 1}
         if not layered:
             return snapshot
-        self._fold(Layout.from_json(state["layout"]), layered, files, sizes, snapshot)
-        return self.store.commit(snapshot, {self.name: {**state, "files": files, "bytes": sizes}})
+        self._fold(state, layered, snapshot)
+        self._tidy(state)
+        return self.store.commit(snapshot, {self.name: state})
 
-    def _fold(self, layout: Layout, buckets: list[str], files: dict, sizes: dict, snapshot: dict) -> None:
+    def _fold(self, state: dict, buckets: set[str], snapshot: dict) -> None:
+        """Rewrite the base of buckets with their layers applied."""
+        rows = self._resolve(state, {b: state["files"][b] for b in buckets})
+        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [new])
+
+    def _join_layers(self, state: dict, buckets: set[str], snapshot: dict) -> None:
+        """Merge the layers of buckets into one, tombstones included; a large base stays as it is."""
+        layout = Layout.from_json(state["layout"])
+        paths = self._paths(state, {b: state["files"][b][1:] for b in buckets})
+        layers = self._scan(StructType([*layout.schema, DELETED, BUCKET, VERSION]), paths)
+        rows = changelog.last_change(layers, self.keys, ["_v"]).drop("_v")
+        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [old[0], new])
+
+    def _rewrite(self, state: dict, buckets: set[str], rows: DataFrame, snapshot: dict, stack) -> None:
         version = self.store.new_version(snapshot)
-        rows = self._resolve(layout, {b: files[b] for b in buckets})
-        counts = self._write_version(rows.withColumn("_bucket", bucket_of(self.bucket_by, self._buckets(snapshot))), version)
+        counts = self._write_version(rows.withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])), version)
+        state["written"][version] = len(counts)
         for b in buckets:
             if b in counts:
-                files[b], sizes[b] = [version], [counts[b]]
+                state["files"][b] = stack(state["files"][b], version)
+                state["bytes"][b] = stack(state["bytes"][b], counts[b])
             else:
-                files.pop(b)
-                sizes.pop(b)
+                state["files"].pop(b)
+                state["bytes"].pop(b)
+
+    @staticmethod
+    def _tidy(state: dict) -> None:
+        used = {v for layers in state["files"].values() for v in layers}
+        state["written"] = {v: n for v, n in state["written"].items() if v in used}
 
-    def _buckets(self, snapshot: dict) -> int:
-        return (self.state(snapshot) or {}).get("buckets", self.default_buckets)
+    def _check_unique(self, layout: Layout, version: str) -> None:
+        rows = self._scan(StructType([*[layout.schema[k] for k in self.keys], BUCKET]), [f"{self.store.data_path(self.name)}/_v={version}"])
+        if not rows.groupBy(*self.keys).count().filter("count > 1").isEmpty():
+            raise LayoutError(f"{self.name}: several rows for one key")
 
     def _write_version(self, rows: DataFrame, version: str) -> dict[str, int]:
         """One file set per bucket, sorted by key. REBALANCE lets the engine size the tasks from the
@@ -339,10 +390,14 @@ class LogTable(_Table):
         return snapshot if state is None else self.store.commit(snapshot, {self.name: state})
 
     def apply(self, batch: DataFrame, snapshot: dict) -> dict | None:
-        staged = self._stage(batch, snapshot, changelog.distinct_records)
+        staged = self._stage(batch, snapshot, lambda fresh: fresh)
         if staged is None:
             return None
         fresh = staged.changes
+        twice = fresh.groupBy("_partition", "_offset").count().filter("count > 1")
+        # a repeated record is rare: look for one on two columns before sorting whole rows
+        if not twice.isEmpty():
+            fresh = changelog.distinct_records(fresh)
         if "_deleted" in fresh.columns:
             fresh = fresh.filter("NOT _deleted").drop("_deleted")
         incoming = Layout((), StructType([StructField(f.name, f.dataType, True, f.metadata) for f in fresh.schema]))

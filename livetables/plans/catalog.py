@@ -6,12 +6,10 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from livetables.operators.layout import LayoutError
 from livetables.operators.store import TableStore
 from livetables.operators.tables import DEFAULT_BUCKETS, KeyedTable
-from livetables.session import materialize
 
 
 def definition_hash(*parts: str) -> str:
@@ -19,18 +17,12 @@ def definition_hash(*parts: str) -> str:
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()[:8]
 
 
-def _checked(df: DataFrame, pk: Sequence[str], name: str) -> DataFrame:
-    """The query result, written once; a primary key that is not unique is an error, not a coin toss."""
-    rows = materialize(df.dropna(subset=list(pk)), name)
-    twice = rows.groupBy(*pk).count().filter(F.col("count") > 1)
-    if not twice.isEmpty():
-        raise LayoutError(f"{name}: the query returns several rows for one primary key")
-    return rows
-
-
 def create_view(store: TableStore, name: str, pk: Sequence[str], df: DataFrame, definition: str,
                 buckets: int = DEFAULT_BUCKETS) -> KeyedTable:
-    """Keyed table of a query. The same definition leaves the table alone, another one rebuilds it."""
+    """Keyed table of a query. The same definition leaves the table alone, another one rebuilds it.
+
+    A primary key that is not unique in the result is an error, not a coin toss.
+    """
     if not pk:
         raise LayoutError(f"{name}: a view needs a primary key")
     table = KeyedTable(store, name, pk, buckets)
@@ -40,15 +32,14 @@ def create_view(store: TableStore, name: str, pk: Sequence[str], df: DataFrame,
     if state is not None and state.get("definition") == identity:
         return table
     empty = {**snapshot, "tables": {k: v for k, v in snapshot["tables"].items() if k != name}}
-    store.commit(snapshot, {name: table.write(table.collapse(_checked(df, pk, name)), empty, definition=identity)})
+    store.commit(snapshot, {name: table.write(table.collapse(df), empty, definition=identity, unique=True)})
     return table
 
 
 def refresh_view(table: KeyedTable, df: DataFrame) -> KeyedTable:
     """Insert the query into its table again: idempotent by key."""
     snapshot = table.store.snapshot()
-    rows = table.collapse(_checked(df, table.keys, table.name))
-    table.store.commit(snapshot, {table.name: table.write(rows, snapshot)})
+    table.store.commit(snapshot, {table.name: table.write(table.collapse(df), snapshot, unique=True)})
     return table
 
 

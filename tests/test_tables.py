@@ -100,8 +100,9 @@ def test_layers_and_folds_agree(spark, store, sf, fold_bytes):
         table.merge(pieces.filter(F.col("_piece") == i).drop("_piece"))
         depths.append(max(len(v) for v in table.state()["files"].values()))
     want = rows(cl.latest_by_key(full, ["order_id"]), "order_id", "customer_id", "status", "total")
-    assert max(depths) <= 2 if fold_bytes == 0 else depths == [1, 2, 3, 4, 5, 6, 7, 8, 1]
+    assert max(depths) <= 2 if fold_bytes == 0 else depths == [1, 2, 3, 4, 5, 6, 7, 8, 2]
     assert rows(table.read(), "order_id", "customer_id", "status", "total") == want
+    assert table.read(store.snapshot(8)).count() > 0  # nine layers deep at most, then joined
     some = spark.range(0, 400, 7).select(F.col("id").alias("order_id"))
     wanted = {r[0] for r in some.collect()}
     assert rows(table.read_keys(some), "order_id", "status") == sorted([(w[0], w[2]) for w in want if w[0] in wanted], key=repr)
@@ -162,6 +163,32 @@ def test_append_ignores_duplicates_and_tombstones(spark, store):
     assert table.read().count() == 150 and len(table.state()["files"]["0"]) == 1
 
 
+def test_bulk_load_is_not_kept_and_gives_the_same_table(spark, store, sf, monkeypatch):
+    monkeypatch.setattr("livetables.operators.tables.KEEP_BYTES", 0)
+    full = fx.orders_cdc(spark, sf).drop("op")
+    table = KeyedTable(store, "orders", ["order_id"])
+    table.merge(full)
+    assert rows(table.read(), "order_id", "status") == rows(cl.latest_by_key(full, ["order_id"]), "order_id", "status")
+    clicks = LogTable(store, "clicks")
+    clicks.append(fx.clicks_replayed(spark, sf))
+    assert rows(clicks.read(), "event_id") == rows(fx.clicks(spark, sf), "event_id")
+    kept = KeyedTable(store, "kept", ["order_id"])
+    monkeypatch.undo()
+    kept.merge(full)
+    same = ("_partition", "next_offset", "last_record_ts")
+    assert rows(kept.progress(), *same) == rows(table.progress(), *same)
+
+
+def test_a_whole_version_is_one_folder(spark, store):
+    table = KeyedTable(store, "t", ["id"], buckets=300)
+    table.merge(spark.range(5000).withColumn("v", F.col("id") * 2))
+    state = table.state()
+    assert len(state["files"]) == 300 and len(table._paths(state, state["files"])) == 1
+    table.merge(spark.createDataFrame([(1, 0)], "id long, v long"))
+    state = table.state()
+    assert len(table._paths(state, state["files"])) == 2 and table.read().count() == 5000
+
+
 def test_modes(spark, store):
     data = log(spark, (1, "a", 0), (1, "b", 1))
     assert isinstance(open_table(store, "a", ["id"], compacted=True), KeyedTable)
