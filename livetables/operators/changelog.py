@@ -64,10 +64,11 @@ def expand_envelope(df: DataFrame) -> DataFrame:
         F.struct(F.lit(-1).cast("long").alias("w"), F.col("before").alias("image")),
         F.struct(F.lit(1).cast("long").alias("w"), F.col("after").alias("image")),
     )
-    applies = lambda s: s["image"].isNotNull() & F.when(s["w"] < 0, F.col("op").isin("u", "d")).otherwise(F.col("op") != "d")
     system = [c for c in ("_partition", "_offset", "_timestamp") if c in df.columns]
-    rows = df.select(*system, F.explode(F.filter(sides, applies)).alias("side"))
-    return rows.select("side.image.*", *system, F.col("side.w").alias("_w"))
+    rows = df.select("op", *system, F.explode(sides).alias("side"))
+    minus = (F.col("side.w") < 0) & F.col("op").isin("u", "d")
+    plus = (F.col("side.w") > 0) & (F.col("op") != "d")
+    return rows.filter(F.col("side.image").isNotNull() & (minus | plus)).select("side.image.*", *system, F.col("side.w").alias("_w"))
 
 
 def retract_aggregate(signed: DataFrame, keys: Sequence[str], sums: dict[str, Column],

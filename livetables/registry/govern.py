@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from livetables import fixtures as fx
 from livetables.operators import changelog as cl
 from livetables.operators import governance as gov
-from livetables.operators.tables import KeyedTable
+from livetables.operators.tables import KeyedTable, LogTable
 from livetables.registry.core import oracle, query
 from livetables.registry.writes import by_time, store
 from livetables.session import workdir
@@ -169,16 +169,22 @@ def openlineage_events(spark, d):
 
 
 @query("freshness", oracle("clicks", body="""
-    SELECT 'users' AS topic, max(CASE WHEN _timestamp < '2024-01-10' THEN _timestamp END) AS last_record_ts, TRUE AS ingested,
-           (SELECT CAST(sum(e - c) AS BIGINT) FROM (SELECT max(_offset) + 1 AS e, max(CASE WHEN _timestamp < '2024-01-10' THEN _offset END) + 1 AS c FROM clicks GROUP BY _partition)) AS lag
-    FROM clicks"""))
+    SELECT topic, max(t) AS last_record_ts, TRUE AS ingested, CAST(sum(e - c) AS BIGINT) AS lag FROM (
+        SELECT 'users' AS topic, max(CASE WHEN _timestamp < '2024-01-10' THEN _timestamp END) AS t, max(_offset) + 1 AS e,
+               max(CASE WHEN _timestamp < '2024-01-10' THEN _offset END) + 1 AS c FROM clicks GROUP BY _partition
+        UNION ALL SELECT 'clicks', max(_timestamp), max(_offset) + 1, max(_offset) + 1 FROM clicks GROUP BY _partition)
+    GROUP BY topic"""))
 def freshness(spark, d):
-    table = KeyedTable(store(spark), "users", ["user_id"])
-    log = fx.user_state_log(spark, d)
-    table.merge(by_time(log)[0])
-    ends = cl.next_offsets(log).select(F.lit("users").alias("topic"), "_partition", F.col("next_offset").alias("end_offset"))
-    behind = cl.lag(ends, table.progress().select("topic", "_partition", "next_offset"))
-    return gov.freshness(table.progress(), behind).withColumn("ingested", F.col("last_ingested_at").isNotNull()).drop("last_ingested_at")
+    """Two tables of one store: one has read a third of its topic, the other all of it."""
+    tables = store(spark)
+    users, log = KeyedTable(tables, "users", ["user_id"]), LogTable(tables, "clicks")
+    users.merge(by_time(fx.user_state_log(spark, d))[0])
+    log.append(fx.clicks(spark, d))
+    ends = cl.next_offsets(fx.clicks(spark, d)).select(
+        F.explode(F.array(F.lit("users"), F.lit("clicks"))).alias("topic"), "_partition", F.col("next_offset").alias("end_offset"))
+    progress = users.progress().unionByName(log.progress())
+    behind = cl.lag(ends, progress.select("topic", "_partition", "next_offset"))
+    return gov.freshness(progress, behind).withColumn("ingested", F.col("last_ingested_at").isNotNull()).drop("last_ingested_at")
 
 
 @query("dataset_split", oracle("edges", body="""
