@@ -182,8 +182,8 @@ def topic_usage(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> Dat
 
 def drop_blockers(produced: DataFrame, reads: DataFrame) -> DataFrame:
     """For every resource, the others that read a topic it writes."""
-    writer = produced.select(F.col("kind").alias("kind"), F.col("name").alias("name"), "topic")
-    reader = reads.select(F.concat_ws(" ", "kind", "name").alias("blocked_by"), "topic")
+    writer = produced.select("kind", "name", "topic").dropDuplicates()
+    reader = reads.select(F.concat_ws(" ", "kind", "name").alias("blocked_by"), "topic").dropDuplicates()
     return (writer.join(reader, "topic")
             .filter(F.col("blocked_by") != F.concat_ws(" ", "kind", "name"))
             .select("kind", "name", "blocked_by").dropDuplicates())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +20,10 @@ AUDIT_SCHEMA = ("at timestamp_ntz, principal string, roles string, channel strin
 TIMEOUT_SECONDS = 5  # fixed value: how long a lookup may run
 
 
+class LookupTimeout(TimeoutError):
+    """The lookup ran too long and was cancelled."""
+
+
 @dataclass(frozen=True)
 class Caller:
     name: str
@@ -36,6 +42,28 @@ def visible_name(requested: str, names: Sequence[str], grants: DataFrame, caller
     return found
 
 
+def fetch_within(spark: SparkSession, seconds: float, df: DataFrame | None, *args, **query) -> Result:
+    """``fetch``, cancelled after some seconds."""
+    group, late = f"lookup-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, cancel)
+    spark.sparkContext.setJobGroup(group, "lookup", interruptOnCancel=True)
+    timer.start()
+    try:
+        return fetch(df, *args, **query)
+    except Exception as e:
+        if late.is_set():
+            raise LookupTimeout(f"cancelled after {seconds} s: filter on key columns") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _outcome(error: Exception | None) -> str:
     if error is None:
         return "OK"
@@ -43,12 +71,13 @@ def _outcome(error: Exception | None) -> str:
 
 
 def serve(spark: SparkSession, caller: Caller, requested: str, tables: Mapping[str, DataFrame | None], grants: DataFrame,
-          audit_path: str, channel: str = "REST", freshness: Mapping[str, dict] | None = None, **query) -> Result:
+          audit_path: str, channel: str = "REST", freshness: Mapping[str, dict] | None = None,
+          timeout: float = TIMEOUT_SECONDS, **query) -> Result:
     """Run a lookup for a caller and record it, also when it fails. A table without data answers with a note."""
     started, error, topic, result = time.monotonic(), None, None, None
     try:
         topic = visible_name(requested, list(tables), grants, caller)
-        result = fetch(tables[topic], (freshness or {}).get(topic), table=topic, **query)
+        result = fetch_within(spark, timeout, tables[topic], (freshness or {}).get(topic), table=topic, **query)
         return result
     except Exception as e:
         error = e

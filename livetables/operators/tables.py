@@ -27,7 +27,8 @@ from livetables.operators.store import TableStore
 DEFAULT_BUCKETS = 6  # fixed value: partitions of a topic declared without a bucket count
 MAX_LAYERS = 8           # a read resolves at most this many layers
 FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base are folded,
-FOLD_BYTES = 32 << 20    # if they are worth a rewrite
+FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
+FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
 KEEP_BYTES = 16 << 30    # larger batches are bulk loads
 FEW_BUCKETS = 16         # a batch of keys touches them all
 NO_BASE = ""
@@ -289,7 +290,7 @@ class KeyedTable(_Table):
                 files[b], sizes[b] = ([], []) if first else ([NO_BASE], [0])
             files[b].append(version)
             sizes[b].append(count)
-        grown = {b for b in counts if len(files[b]) > 1 and sum(sizes[b][1:]) >= max(self.fold_bytes, FOLD_RATIO * sizes[b][0])}
+        grown = self._grown(sizes, counts)
         deep = {b for b in counts if len(files[b]) > MAX_LAYERS} - grown
         if grown:
             self._fold(state, grown, snapshot)
@@ -300,6 +301,22 @@ class KeyedTable(_Table):
             state["definition"] = definition
         return self._progressed(state, offsets or {}, record_ts)
 
+    def _grown(self, sizes: dict[str, list[int]], counts: dict[str, int]) -> set[str]:
+        """Buckets to fold now: their layers are large for their base, the largest share first. The work of
+        a commit is bounded by its batch, so folding a large table is spread over many commits; the
+        bound exceeds what a batch adds on average, so that folding keeps up."""
+        layers = {b: sum(sizes[b][1:]) for b in counts if sum(sizes[b][1:]) >= FOLD_RATIO * sizes[b][0] and len(sizes[b]) > 1}
+        if sum(layers.values()) < self.fold_bytes:
+            return set()
+        budget = max(self.fold_bytes, FOLD_WORK * sum(counts.values()))
+        chosen: set[str] = set()
+        for b in sorted(layers, key=lambda b: layers[b] / (sizes[b][0] or 1), reverse=True):
+            budget -= sum(sizes[b])
+            if chosen and budget < 0:
+                break
+            chosen.add(b)
+        return chosen
+
     def compact(self) -> dict:
         """Fold every layered bucket."""
         snapshot = self.store.snapshot()

@@ -17,12 +17,17 @@ def definition_hash(*parts: str) -> str:
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()[:8]
 
 
-def create_view(store: TableStore, name: str, pk: Sequence[str], df: DataFrame, definition: str,
+def create_view(store: TableStore, name: str, pk: Sequence[str], df: DataFrame | str, definition: str | None = None,
                 buckets: int = DEFAULT_BUCKETS) -> KeyedTable:
     """Keyed table of a query. The same definition leaves the table alone, another one rebuilds it.
 
-    A primary key that is not unique in the result is an error, not a coin toss.
+    The query is a DataFrame with a text that identifies it, or SQL on the session's views. A primary
+    key that is not unique in the result is an error, not a coin toss.
     """
+    if isinstance(df, str):
+        df, definition = store.spark.sql(df), definition or df
+    if definition is None:
+        raise LayoutError(f"{name}: a DataFrame needs a definition text")
     if not pk:
         raise LayoutError(f"{name}: a view needs a primary key")
     table = KeyedTable(store, name, pk, buckets)

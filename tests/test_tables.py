@@ -100,7 +100,7 @@ def test_layers_and_folds_agree(spark, store, sf, fold_bytes):
         table.merge(pieces.filter(F.col("_piece") == i).drop("_piece"))
         depths.append(max(len(v) for v in table.state()["files"].values()))
     want = rows(cl.latest_by_key(full, ["order_id"]), "order_id", "customer_id", "status", "total")
-    assert max(depths) <= 2 if fold_bytes == 0 else depths == [1, 2, 3, 4, 5, 6, 7, 8, 2]
+    assert max(depths) <= 4 if fold_bytes == 0 else depths == [1, 2, 3, 4, 5, 6, 7, 8, 2]
     assert rows(table.read(), "order_id", "customer_id", "status", "total") == want
     assert table.read(store.snapshot(8)).count() > 0  # nine layers deep at most, then joined
     some = spark.range(0, 400, 7).select(F.col("id").alias("order_id"))
@@ -179,6 +179,15 @@ def test_bulk_load_is_not_kept_and_gives_the_same_table(spark, store, sf, monkey
     assert rows(kept.progress(), *same) == rows(table.progress(), *same)
 
 
+def test_fold_work_is_bounded_by_the_batch(spark, store):
+    table = KeyedTable(store, "t", ["id"], fold_bytes=100)
+    sizes = {str(b): [1000, 300] for b in range(10)} | {"10": [1000, 900], "11": [1000, 10]}
+    assert table._grown(sizes, {b: 100 for b in sizes}) == {"10", *[str(b) for b in range(5)]}
+    assert table._grown(sizes, {b: 1 for b in sizes}) == {"10"}
+    assert table._grown({"0": [1000, 90]}, {"0": 90}) == set()
+    assert KeyedTable(store, "t", ["id"], fold_bytes=10**9)._grown(sizes, {b: 100 for b in sizes}) == set()
+
+
 def test_a_whole_version_is_one_folder(spark, store):
     table = KeyedTable(store, "t", ["id"], buckets=300)
     table.merge(spark.range(5000).withColumn("v", F.col("id") * 2))
@@ -216,6 +225,9 @@ def test_views(spark, store):
         create_view(store, "w", ["id"], df.unionByName(df), "twice")
     with pytest.raises(LayoutError):
         create_view(store, "w", [], df, "no key")
+    df.createOrReplaceTempView("source_rows")
+    by_sql = create_view(store, "s", ["id"], "SELECT id, upper(name) AS name FROM source_rows")
+    assert rows(by_sql.read()) == [(1, "A"), (2, "B")]
     drop_view(view)
     assert view.read() is None
 
