@@ -155,14 +155,12 @@ def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
     st = statements.select("name", "sql", written.alias("_written"))
     quoted = F.regexp_extract_all("sql", F.lit(r"(?=`([^`]+)`)"), F.lit(1))
     starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.`])(?=([\w.-]{1,%d}`?))" % (MAX_TOPIC_NAME + 1)), F.lit(1))
-    dotted = lambda s: s.contains(".") | s.contains("-")
-    # inside a run a name may end before each separator; the run itself is a name unless a backquote follows
-    inner = lambda s: F.filter(F.sequence(F.lit(1), F.least(F.length(s) - 1, F.lit(MAX_TOPIC_NAME))),
-                               lambda p: F.substring(s, p + 1, F.lit(1)).isin(".", "-"))
-    whole = lambda s: F.filter(F.array(s), lambda r: ~r.endswith("`"))
-    cut = lambda s: F.when(dotted(s) & (F.length(s) > 1), F.concat(F.transform(inner(s), lambda p: F.substring(s, F.lit(1), p)), whole(s))).otherwise(whole(s))
+    # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
+    prefixes = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
+    cut = lambda run: F.when(run.contains(".") | run.contains("-"), F.flatten(F.transform(F.array(F.split(run, "(?=[.-])")), prefixes))).otherwise(F.array(run))
     bare = F.flatten(F.transform(F.array_distinct(starts), cut))
-    names = st.select("name", "_written", F.explode(F.array_distinct(F.concat(quoted, bare))).alias("topic"))
+    # outer: else the engine adds a filter that works the array out a second time
+    names = st.select("name", "_written", F.explode_outer(F.array_distinct(F.concat(quoted, bare))).alias("topic"))
     reads = (names.filter(F.col("_written").isNull() | (F.col("topic") != F.col("_written")))
              .join(topics.select("topic").distinct(), "topic", "left_semi"))
     return reads.select("name", F.col("topic").alias("reads"), F.col("_written").alias("writes"))
