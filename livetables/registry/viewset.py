@@ -203,6 +203,7 @@ def fn_pad_format(spark, d):
     return fx.load(spark, d, "part").select("p_partkey", padded.alias("padded"), F.format_string("SKU-%s", padded).alias("sku"))
 
 
+# The literal array of the seed data.
 COUNTRIES = ["FR", "US", "DE", "GB", "NL", "ES", "IT", "BE", "CA", "JP"]
 
 

@@ -15,6 +15,21 @@ BATCH_WAIT = "100 milliseconds"   # fixed value: longest wait before a serving b
 LAKE_INTERVAL = "10 seconds"      # fixed value: time between lake commits
 
 
+ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
+def _adaptive(batch: DataFrame, apply: Callable[[DataFrame], object]) -> None:
+    """A stream's own session has adaptive execution off. The batch jobs of a merge rely on it: it
+    splits hot buckets and joins small partitions."""
+    conf = batch.sparkSession.conf
+    before = conf.get(ADAPTIVE)
+    conf.set(ADAPTIVE, "true")
+    try:
+        apply(batch)
+    finally:
+        conf.set(ADAPTIVE, before)
+
+
 def start(stream: DataFrame, apply: Callable[[DataFrame], object], checkpoint: str, output_mode: str = "append",
           every: str | None = BATCH_WAIT) -> StreamingQuery:
     """Run ``apply`` on each micro-batch; ``every=None`` takes what is there and stops.
@@ -23,7 +38,7 @@ def start(stream: DataFrame, apply: Callable[[DataFrame], object], checkpoint: s
     even when the checkpoint is lost.
     """
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    return (stream.writeStream.outputMode(output_mode).foreachBatch(lambda batch, _: apply(batch))
+    return (stream.writeStream.outputMode(output_mode).foreachBatch(lambda batch, _: _adaptive(batch, apply))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 

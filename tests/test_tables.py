@@ -241,7 +241,7 @@ def test_tables_of_a_store_commit_together(spark, store):
     assert store.versions() == [1] and a.read().count() == b.read().count() == 1
 
 
-def test_append_has_no_shuffle_of_hot_partitions(spark, sf):
+def test_latest_by_key_is_limited_before_the_shuffle(spark, sf):
     plan = cl.latest_by_key(fx.orders_cdc(spark, sf), ["order_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
 
@@ -257,5 +257,5 @@ def test_lag(spark):
     assert rows(cl.lag(ends, done)) == [("a", 6), ("b", None)]
 
 
-def test_store_needs_shared_folder_off_local(spark, store):
+def test_store_root_has_no_trailing_slash(spark, store):
     assert TableStore(spark, store.root + "/").root == store.root
