@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetables.llm import decontamination, mixing, near_dedup, quality_rules, url_filter
-from livetables.llm.base import ready, table
+from livetables.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
+from livetables.llm.base import held_out, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,22 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                        decontamination.contaminated().alias("contaminated"))
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return _scored(quality_classifier.score(docs, quality_classifier.learn(docs, table(spark, sf, "labels"))), 0.5)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return _scored(toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels"))), toxicity.THRESHOLD)
+
+
 URL_SQL = r"""
     WITH split AS (
         SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
