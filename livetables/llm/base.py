@@ -6,15 +6,20 @@ follows the longest text and not the partition. Words are given a 64-bit hash; e
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import livetables
 from livetables.session import configure, workdir
 
+ARCHIVE = "livetables.zip"
 SLICE_BYTES = 2 << 20
 LLM_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -24,8 +29,21 @@ LLM_CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that it need not be installed on the executors."""
+    if ARCHIVE in spark.sparkContext._python_includes:
+        return
+    package = Path(livetables.__file__).parent
+    path = f"{tempfile.mkdtemp(prefix='ship-')}/{ARCHIVE}"        # on the driver, which serves it to the executors
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     configure(spark)
+    ship(spark)
     for key, value in LLM_CONF.items():
         spark.conf.set(key, value)
     return spark

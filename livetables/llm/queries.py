@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetables.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
+from livetables.llm import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, repeated_passages, toxicity, url_filter
 from livetables.llm.base import held_out, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,21 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"))
 
 
+@query("op6_pii")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"))
+    every = F.array_distinct(F.concat("spans", "added"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, pii.KINDS), F.sha2(pii.spans_text(F.col("spans")), 256).alias("base_sha256"), pii.spans_text(every).alias("spans"))
+
+
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    rows, cut = repeated_passages.cut_texts(table(spark, sf, "documents"), length=200)
+    digests = cut.select("t1", "t2", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.join(digests, ["t1", "t2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 MIXING_SQL = fr"""
     WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS BIGINT) AS size FROM documents),
     sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM sized GROUP BY source),
