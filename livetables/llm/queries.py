@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetables.llm import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, repeated_passages, toxicity, url_filter
+from livetables.llm import decontamination, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, repeated_passages, toxicity, url_filter
 from livetables.llm.base import held_out, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +164,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.allocate(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf, "documents"))
+
+
 RULES_SQL = fr"""
     WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
     grams AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM words, unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) >= 3),
