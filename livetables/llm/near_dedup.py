@@ -6,7 +6,7 @@
 2. Inverted lists: for each retained value, the sets that retain it. A linked pair shares at least ``_least_overlap`` of its retained
    values - certainly where the sketches are whole, otherwise but for about one pair in 10^10 - so each set enters only the
    lists of its rarest n - overlap + 1 values. Short lists give pairs. A list of more than ``list_cap`` sets gives, in one step,
-   a star around its most common members; then only pairs of sets that are still in different components are left to find, and these
+   stars around its most common members; then only pairs of sets that are still in different components are left to find, and these
    come from the full sets (step 4).
 3. Union sketch: the k smallest values of both sketches together, and the share of them that both have, estimate the
    similarity. Pairs that the estimate puts clearly below the threshold go. Exact similarity of the full sets decides on the
@@ -181,7 +181,11 @@ def link_sets(steps: Steps, docs: DataFrame, sets: DataFrame, shingle: int, perc
     # the members with the fewest values of their own stand in the middle of a long list
     centre = crowded.groupBy("value").agg(*[F.min(F.struct("alone", F.xxhash64("id", F.lit(i)).alias("h"), "id", "n")).alias(f"c{i}") for i in range(STAR)])
     centre = centre.select("value", F.explode(F.array_distinct(F.array(*[F.struct(f"c{i}.id", f"c{i}.n") for i in range(STAR)]))).alias("c")).select("value", "c.id", "c.n")
-    star = crowded.alias("x").join(centre.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.id") != F.col("y.id")) & _sizes_fit("x", "y", percent))
+    # a member is compared in a few of its lists, which near copies choose alike; what that leaves open is found from the full sets
+    place = lambda *order: F.row_number().over(own.orderBy(*order, "value"))
+    chosen = crowded.withColumn("by_value", place()).withColumn("by_size", place("members")).withColumn("from_largest", place(F.desc("members"))) \
+        .filter("by_value <= 2 OR by_size = 1 OR from_largest = 1")
+    star = chosen.alias("x").join(centre.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.id") != F.col("y.id")) & _sizes_fit("x", "y", percent))
     candidates = steps.keep(pairs.select(*_pair("x", "y")).unionByName(star.select(*_pair("x", "y"))).distinct(), "candidates")
     pairs = steps.keep(_estimated(candidates, sets, k, percent), "pairs")
     crowd = steps.keep(crowded.select("id").distinct(), "crowd")
