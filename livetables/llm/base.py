@@ -20,6 +20,7 @@ import livetables
 from livetables.session import configure, workdir
 
 ARCHIVE = "livetables.zip"
+FILTER_BITS = 1 << 26
 SLICE_BYTES = 2 << 20
 LLM_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -76,6 +77,27 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``members``, and a few others: a Bloom filter before an exact join, so that a large row that finds no partner is not
+    shuffled. The filter has a fixed size (``FILTER_BITS``); with more members than it can tell apart it lets more rows pass, never fewer.
+    """
+    hashes = lambda c: [F.xxhash64(c, F.lit(i)) for i in range(3)]
+    bit = members.select(F.explode(F.array(*hashes(F.col(key)))).alias("h")).select(F.pmod("h", F.lit(FILTER_BITS)).alias("b"))
+    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("v")).toArrow()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[words["w"].to_numpy()] = words["v"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(it):
+        for batch in it:
+            may = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                b = column(batch, f"_h{i}").to_numpy() % FILTER_BITS
+                may &= (shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select(df.columns).filter(pa.array(may))
+    return df.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hashes(F.col(key)))]).mapInArrow(run, df.schema)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it in any letter case."""
     taken = {c.lower() for c in columns}

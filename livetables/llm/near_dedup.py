@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from livetables.llm.base import LOWER, NOT_SPACE, Bytes, Steps, Words, column, distinct_in_rows, free_name, list_array, mix, row_key, signed, slices, windows
+from livetables.llm.base import LOWER, NOT_SPACE, Bytes, Steps, Words, column, distinct_in_rows, free_name, list_array, mix, probable_members, row_key, signed, slices, windows
 from livetables.llm.components import components
 
 SHINGLE = 5
@@ -191,7 +191,8 @@ def link_sets(steps: Steps, docs: DataFrame, sets: DataFrame, shingle: int, perc
     crowd = steps.keep(crowded.select("id").distinct(), "crowd")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd).distinct()
     wanted = steps.keep(sets.join(wanted, "id").select("id", "row_key"), "wanted")
-    texts = docs.select(row_key("doc_id", "text").alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["id"]).select("id", "text")
+    keyed = docs.select(row_key("doc_id", "text").alias("row_key"), "text")
+    texts = probable_members(keyed, "row_key", wanted).join(wanted, "row_key").dropDuplicates(["id"]).select("id", "text")
     texts = steps.keep(texts, "texts")
     links = steps.keep(_verified(pairs, texts, shingle, percent), "links")
     roots = components(steps, links)
