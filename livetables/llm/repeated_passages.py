@@ -216,11 +216,13 @@ def repeated_starts(steps: Steps, texts: DataFrame, length: int, seed: int, bloc
     cores = ranks.groupBy("core").agg(F.count("*").alias("different")).filter("different > 1").select("core")
     third = blocks.join(ranks.join(cores, "core"), ["core", "stretch"]).groupBy("core", "stretch", "n").agg(F.min(F.struct("id", "first", "passages")).alias("one"))
     single = steps.keep(third.select("n", "one.id", "one.first", F.posexplode("one.passages").alias("at", "passage")), "round-3")
-    again = single.groupBy("passage").agg(F.count("*").alias("places")).filter("places > 1").select("passage")
+    common = single.groupBy("passage").agg(F.count("*").alias("places")).filter("places > 1").select("passage")
     start = F.col("first") + F.col("at")
-    rest = single.filter("n = 1").join(again, "passage").select("id", start.alias("first"), start.alias("last"))
+    rest = single.filter("n = 1").join(common, "passage").select("id", start.alias("first"), start.alias("last"))
     runs = whole.unionByName(blocks_whole).unionByName(rest)
-    return steps.keep(runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs")
+    runs = steps.keep(runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs")
+    steps.drop(again, stretches, blocks, ranks, single)
+    return runs
 
 
 def cut_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
