@@ -83,7 +83,7 @@ def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
     """
     hashes = lambda c: [F.xxhash64(c, F.lit(i)) for i in range(3)]
     bit = members.select(F.explode(F.array(*hashes(F.col(key)))).alias("h")).select(F.pmod("h", F.lit(FILTER_BITS)).alias("b"))
-    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("v")).toArrow()
+    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).toArrow()
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     filled[words["w"].to_numpy()] = words["v"].to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
