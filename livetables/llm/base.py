@@ -86,7 +86,7 @@ def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
     words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).toArrow()
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     filled[words["w"].to_numpy()] = words["v"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+    shared, columns = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64)), df.columns
 
     def run(it):
         for batch in it:
@@ -94,7 +94,7 @@ def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
             for i in range(3):
                 b = column(batch, f"_h{i}").to_numpy() % FILTER_BITS
                 may &= (shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(df.columns).filter(pa.array(may))
+            yield batch.select(columns).filter(pa.array(may))
     return df.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hashes(F.col(key)))]).mapInArrow(run, df.schema)
 
 
