@@ -11,8 +11,11 @@ def _unscaled(value: Column, precision: int, scale: int) -> Column:
     """Big-endian two's complement bytes as decimal(p, s): hex digits in base-2^32 groups, highest first."""
     digits = F.hex(value)
     negative = (F.length(value) > 0) & (F.conv(F.substring(digits, 1, 1), 16, 10).cast("int") >= 8)
-    # longer values only repeat the sign
+    # 16 bytes hold every decimal; a longer value may only repeat the sign before them
     tail = F.right(digits, F.lit(32))
+    head = F.left(digits, F.greatest(F.length(digits) - 32, F.lit(0)))
+    signs_only = F.when(negative, head.rlike("^F*$") & tail.rlike("^[89A-F]")).otherwise(head.rlike("^0*$") & tail.rlike("^[0-7]"))
+    overlong = (F.length(digits) > 32) & ~signs_only
     padded = F.when(negative, F.lpad(tail, 32, "F")).otherwise(F.lpad(tail, 32, "0"))
     group = lambda i: F.conv(F.substring(padded, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
     # the complement of each group keeps every step within 127 bits
@@ -24,6 +27,7 @@ def _unscaled(value: Column, precision: int, scale: int) -> Column:
     # the point is set in the text: a division would round
     text = F.lpad(magnitude.cast("string"), 39, "0")
     text = F.concat(F.when(negative, "-").otherwise(""), F.left(text, F.lit(39 - scale)), F.lit("."), F.right(text, F.lit(scale)))
+    text = F.when(overlong, F.raise_error(F.concat(F.lit("decimal of more than 16 bytes: "), digits)).cast("string")).otherwise(text)
     return text.cast(f"decimal({precision},{scale})")
 
 

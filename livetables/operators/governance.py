@@ -8,6 +8,7 @@ resources(kind, name), produced(kind, name, topic), reads(kind, name, topic).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,6 @@ SUPER_ROLES = ("admin", "engineer")  # fixed values: roles that see every table
 
 # The scheme of each kind of dataset.
 SCHEMES = {"source": "postgres", "topic": "kafka", "lake": "iceberg", "serving": "context"}
-MAX_TOPIC_NAME = 249  # fixed value: the longest legal topic name
-
-# The table a statement writes, and the parts of its name.
-WRITES = (r"(?i)^\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?TABLE(?:\s+IF\s+NOT\s+EXISTS)?|INSERT\s+(?:INTO|OVERWRITE))\s+"
-          r"((?:`[^`]+`|[\w$]+)(?:\s*\.\s*(?:`[^`]+`|[\w$]+))*)")
-NAME_PART = r"`[^`]+`|[\w$]+"
-
 
 # ---- grants
 
@@ -142,19 +136,37 @@ def lineage_closure(edges: DataFrame, start: str | DataFrame, upstream: bool = F
             return spark.read.schema(step_schema).parquet(*rounds)
 
 
+def written_table(sql: str) -> Column:
+    """The last part of the name of the table a statement creates or inserts into; null for other statements."""
+    tokens = F.regexp_extract_all(sql, F.lit(r"`[^`]*`|[\w$]+|[^\s\w$`]"), F.lit(0))
+    word = lambda i: F.upper(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")))
+    after = lambda i, *words: [(word(i + k) == w) for k, w in enumerate(words)]
+    every = lambda tests: reduce(lambda a, b: a & b, tests)
+    replaced = F.when(every(after(1, "OR", "REPLACE")), 3).otherwise(1)
+    table = F.upper(F.coalesce(F.get(tokens, replaced), F.lit(""))) == "TABLE"
+    unless = F.array_join(F.transform(F.slice(tokens, replaced + 2, 3), F.upper), " ") == "IF NOT EXISTS"
+    first = F.when((word(0) == "CREATE") & table, replaced + 1 + F.when(unless, 3).otherwise(0)) \
+        .when((word(0) == "INSERT") & word(1).isin("INTO", "OVERWRITE"), F.lit(2))
+    # the name goes on while a dot follows a part
+    start = F.struct(F.lit(None).cast("string").alias("part"), F.lit(True).alias("open"), F.lit(False).alias("ended"))
+    named = lambda t: t.rlike(r"^(`[^`]+`|[\w$]+)$")
+    step = lambda acc, t: F.when(acc["ended"], acc).when(acc["open"] & named(t), F.struct(t.alias("part"), F.lit(False).alias("open"), F.lit(False).alias("ended"))) \
+        .when(~acc["open"] & (t == "."), F.struct(acc["part"].alias("part"), F.lit(True).alias("open"), F.lit(False).alias("ended"))) \
+        .otherwise(F.struct(acc["part"].alias("part"), acc["open"].alias("open"), F.lit(True).alias("ended")))
+    last = F.aggregate(F.slice(tokens, first + 1, F.greatest(F.size(tokens), F.lit(1))), start, step, lambda acc: acc["part"])
+    return F.when(first.isNotNull(), F.translate(last, "`", ""))
+
+
 def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
     """Edges of SQL statements: the table each writes, and the known topics it names as a whole.
 
     A topic is named in backquotes, or bare: not after a word character, dot or backquote, and not
     before a word character or backquote. All whole names a text could contain are cut out of it and
-    joined on equality; names are at most 249 characters of letters, digits, ``.``, ``_``, ``-``.
+    joined on equality; names are of letters, digits, ``.``, ``_``, ``-``, ``$``.
     """
-    target = F.regexp_extract("sql", WRITES, 1)
-    parts = F.regexp_extract_all(target, F.lit(NAME_PART), F.lit(0))
-    written = F.when(target != "", F.translate(F.element_at(parts, -1), "`", ""))
-    st = statements.select("name", "sql", written.alias("_written"))
+    st = statements.select("name", "sql", written_table("sql").alias("_written"))
     quoted = F.regexp_extract_all("sql", F.lit(r"(?=`([^`]+)`)"), F.lit(1))
-    starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.`])(?=([\w.-]{1,%d}`?))" % (MAX_TOPIC_NAME + 1)), F.lit(1))
+    starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.$`])(?=([\w.$-]+`?))"), F.lit(1))
     # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
     prefixes = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
     cut = lambda run: F.when(run.contains(".") | run.contains("-"), F.flatten(F.transform(F.array(F.split(run, "(?=[.-])")), prefixes))).otherwise(F.array(run))
@@ -167,9 +179,10 @@ def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def topic_usage(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> DataFrame:
-    """Topic, the resource that writes it, and the resources that read it as a comma list."""
+    """Topic, the resources that write it, and those that read it, as comma lists."""
     label = F.concat_ws(" ", "kind", "name")
-    producer = produced.groupBy("topic").agg(F.max(label).alias("produced_by"))
+    producer = (produced.select("topic", label.alias("by")).dropDuplicates()
+                .groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("by")), ", ").alias("produced_by")))
     users = (reads.select("topic", label.alias("user")).dropDuplicates()
              .groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("user")), ", ").alias("used_by")))
     internal = F.col("topic").startswith("_") | F.col("topic").startswith("connect-")

@@ -14,8 +14,7 @@ from copy import deepcopy
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -29,7 +28,6 @@ MAX_LAYERS = 8           # a read resolves at most this many layers
 FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base are folded,
 FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
 FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
-KEEP_BYTES = 16 << 30    # larger batches are bulk loads
 FEW_BUCKETS = 16         # a batch of keys touches them all
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
@@ -56,12 +54,6 @@ class Staged:
     changes: DataFrame
     offsets: dict[str, int]
     record_ts: str | None
-    kept: bool
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The engine's estimate for a plan; a plan it cannot estimate counts as huge."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class _Table:
@@ -94,32 +86,20 @@ class _Table:
     def _stage(self, batch: DataFrame, snapshot: dict, reduced) -> Staged | None:
         """Skip what is committed, reduce the rest, note offsets and the newest time.
 
-        A micro-batch is read once: its reduced rows are kept for the writes that follow (a lost
-        block is read again), and they tell the offsets, since the last record of a partition is
-        the last of its key. A bulk load is not kept; its offsets come from a scan of three columns.
+        Offsets and time come from all fresh records, three columns of them, whatever the size of the
+        batch: the last record of a partition need not be the last of its key.
         """
         fresh = self.guard(batch, snapshot)
-        positioned = set(GUARD_COLUMNS) <= set(batch.columns)
         stamped = "_timestamp" in batch.columns
         newest = F.max(F.col("_timestamp").cast("timestamp_ntz")) if stamped else F.lit(None).cast("timestamp_ntz")
-        keep = estimated_bytes(batch) <= KEEP_BYTES
-        ends, ts = [], None
-        if not keep:
-            changes = reduced(fresh)
-            if positioned:
-                ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts")).collect()
-                ts = max((r["ts"] for r in ends if r["ts"]), default=None)
-        else:
-            seen = Observation()
-            changes = reduced(fresh.observe(seen, newest.alias("ts"))).persist(StorageLevel.MEMORY_AND_DISK)
-            if positioned:
-                ends = changes.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset")).collect()
-                ts = seen.get["ts"] if ends else None
-        if positioned and not ends:
-            changes.unpersist()
+        if not set(GUARD_COLUMNS) <= set(batch.columns):
+            return Staged(reduced(fresh), {}, None)
+        ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts")).collect()
+        if not ends:
             return None
+        ts = max((r["ts"] for r in ends if r["ts"]), default=None)
         offsets = {str(r["_partition"]): r["next_offset"] for r in ends}
-        return Staged(changes, offsets, ts.isoformat(timespec="microseconds") if ts else None, keep)
+        return Staged(reduced(fresh), offsets, ts.isoformat(timespec="microseconds") if ts else None)
 
     def drop(self) -> None:
         self.store.commit(self.store.snapshot(), {self.name: None})
@@ -259,9 +239,7 @@ class KeyedTable(_Table):
         staged = self.stage(changes, snapshot)
         if staged is None:
             return None
-        state = self.write(staged.changes, snapshot, staged.offsets, staged.record_ts, definition)
-        staged.changes.unpersist()
-        return state
+        return self.write(staged.changes, snapshot, staged.offsets, staged.record_ts, definition)
 
     def write(self, collapsed: DataFrame, snapshot: dict, offsets: dict[str, int] | None = None,
               record_ts: str | None = None, definition: str | None = None, unique: bool = False) -> dict:
@@ -391,7 +369,11 @@ class KeyedTable(_Table):
 
 
 class LogTable(_Table):
-    """Append table: every record once, identified by (partition, offset)."""
+    """Append table: every record once, identified by (partition, offset). With ``deletes``, deletions are records too, marked ``_deleted``."""
+
+    def __init__(self, store: TableStore, name: str, deletes: bool = False):
+        super().__init__(store, name)
+        self.deletes = deletes
 
     def read(self, snapshot: dict | None = None) -> DataFrame | None:
         state = self.state(snapshot)
@@ -415,7 +397,7 @@ class LogTable(_Table):
         # a repeated record is rare: look for one on two columns before sorting whole rows
         if not twice.isEmpty():
             fresh = changelog.distinct_records(fresh)
-        if "_deleted" in fresh.columns:
+        if "_deleted" in fresh.columns and not self.deletes:
             fresh = fresh.filter("NOT _deleted").drop("_deleted")
         incoming = Layout((), StructType([StructField(f.name, f.dataType, True, f.metadata) for f in fresh.schema]))
         state = self.state(snapshot)
@@ -425,7 +407,6 @@ class LogTable(_Table):
             layout = merge_layout(Layout.from_json(state["layout"]), incoming)
         version = self.store.new_version(snapshot)
         conform(fresh, layout.schema).write.parquet(f"{self.store.data_path(self.name)}/_v={version}")
-        staged.changes.unpersist()
         files = {"0": [*state["files"].get("0", []), version]}
         return self._progressed({**state, "layout": layout.to_json(), "files": files}, staged.offsets, staged.record_ts)
 
@@ -433,7 +414,7 @@ class LogTable(_Table):
         """Rewrite many small versions as one."""
         snapshot = self.store.snapshot()
         state = self.state(snapshot)
-        if len(state["files"].get("0", [])) < 2:
+        if state is None or len(state["files"].get("0", [])) < 2:
             return snapshot
         version = self.store.new_version(snapshot)
         self.read(snapshot).hint("rebalance").write.parquet(f"{self.store.data_path(self.name)}/_v={version}")

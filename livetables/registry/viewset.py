@@ -60,11 +60,15 @@ def order_totals(spark, d):
 
 
 @query("update_from", oracle("orders_t", "order_items", body="""
-    SELECT o.order_id, o.status, CAST(COALESCE(s.total, o.total) AS DOUBLE) AS total FROM orders_t o
-    LEFT JOIN (SELECT order_id, sum(quantity * unit_price) AS total FROM order_items WHERE quantity > 1 GROUP BY order_id) s USING (order_id)"""))
+    SELECT o.order_id, o.status, CAST(COALESCE(s.total, o.total) AS DOUBLE) AS total
+    FROM (SELECT order_id, status, total FROM orders_t UNION ALL SELECT -1 - order_id, 'draft', total FROM orders_t) o
+    LEFT JOIN (SELECT order_id, sum(quantity * unit_price) AS total FROM order_items GROUP BY order_id) s USING (order_id)"""))
 def update_from(spark, d):
-    totals = views.order_totals(items(spark, d).filter("quantity > 1"))
-    return views.update_from(fx.orders(spark, d), totals, "order_id", "total").select("order_id", "status", F.col("total").cast("double").alias("total"))
+    """Every order has a draft beside it, which has no lines and keeps its total."""
+    totals = views.order_totals(items(spark, d))
+    orders = fx.orders(spark, d).select("order_id", "status", "total")
+    drafts = orders.select((-1 - F.col("order_id")).alias("order_id"), F.lit("draft").alias("status"), "total")
+    return views.update_from(orders.unionByName(drafts), totals, "order_id", "total").select("order_id", "status", F.col("total").cast("double").alias("total"))
 
 
 @query("granted_rows", oracle("grants", body="""
@@ -86,12 +90,14 @@ def merge_anti(spark, d):
 
 
 @query("status_join", oracle(body="""
-    SELECT 'part.' || p_partkey AS name, COALESCE(phase, 'PENDING') AS phase FROM part
-    LEFT JOIN (SELECT DISTINCT l_partkey, 'READY' AS phase FROM lineitem WHERE l_returnflag = 'R') ON l_partkey = p_partkey"""))
+    SELECT name, COALESCE(phase, 'PENDING') AS phase
+    FROM (SELECT 'part.' || p_partkey AS name FROM part UNION ALL SELECT 'customer.' || c_custkey FROM customer)
+    LEFT JOIN (SELECT DISTINCT 'part.' || l_partkey AS name, 'READY' AS phase FROM lineitem) USING (name)"""))
 def status_join(spark, d):
-    name = lambda c: F.concat(F.lit("part."), F.col(c).cast("string")).alias("name")
-    declared = fx.load(spark, d, "part").select(name("p_partkey"))
-    observed = fx.load(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_partkey").distinct().select(name("l_partkey"), F.lit("READY").alias("phase"))
+    """Parts are observed in the order lines; customers are declared and never observed there."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("name")
+    declared = fx.load(spark, d, "part").select(name("part.", "p_partkey")).unionByName(fx.load(spark, d, "customer").select(name("customer.", "c_custkey")))
+    observed = fx.load(spark, d, "lineitem").select("l_partkey").distinct().select(name("part.", "l_partkey"), F.lit("READY").alias("phase"))
     return views.status_join(declared, observed, ["name"])
 
 

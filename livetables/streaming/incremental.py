@@ -11,6 +11,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, FractionalType
 
 from livetables.operators.changelog import signed_diff
 from livetables.operators.store import TableStore
@@ -32,7 +33,6 @@ class Refresh:
         self.store, self.base = store, store.snapshot()
         self._writes: dict[str, Future] = {}
         self._changes: dict[str, DataFrame] = {}
-        self._kept: list[DataFrame] = []
         self._pool = ThreadPoolExecutor(4)
 
     @staticmethod
@@ -45,9 +45,9 @@ class Refresh:
         staged = None if batch is None else table.stage(batch, self.base)
         if staged is None:
             return None
-        self._kept.append(staged.changes)
-        self._submit(table, staged.changes, staged.offsets, staged.record_ts)
-        return staged.changes
+        changes = self.keep(staged.changes)
+        self._submit(table, changes, staged.offsets, staged.record_ts)
+        return changes
 
     def take_both(self, *inputs: tuple[KeyedTable, DataFrame | None]) -> list[DataFrame | None]:
         return [f.result() for f in [self._pool.submit(self.take, t, b) for t, b in inputs]]
@@ -78,8 +78,6 @@ class Refresh:
             return self.store.commit(self.base, pending) if pending else self.base
         finally:
             self._pool.shutdown()
-            for df in self._kept:
-                df.unpersist()
 
 
 def signed_changes(table: KeyedTable, changes: DataFrame, base: dict, columns: list[str]) -> DataFrame:
@@ -99,15 +97,29 @@ def with_stored(delta: DataFrame, table: KeyedTable, base: dict, columns: list[s
     return delta.join(stored.select(*table.keys, *[F.col(c).alias(f"old_{c}") for c in columns]), table.keys, "left")
 
 
+def counted(name: str) -> str:
+    return f"{name}_values"
+
+
+def _sum_type(kind: DataType) -> str:
+    if isinstance(kind, DecimalType):
+        return f"decimal(38,{kind.scale})"
+    return "double" if isinstance(kind, FractionalType) else "long"
+
+
 def merge_signed(refresh: Refresh, table: KeyedTable, signed: DataFrame, sums: dict[str, Column] | None = None) -> None:
-    """Add COUNT and SUM deltas to a stored aggregate; a group without rows is deleted."""
-    sums = {name: value.cast(MONEY) for name, value in (sums or {}).items()}
-    w = F.col("_w")
-    delta = signed.groupBy(*table.keys).agg(F.sum(w).alias("n"), *[F.sum(w * v).alias(k) for k, v in sums.items()])
-    columns = ["n", *sums]
+    """Add COUNT and SUM deltas to a stored aggregate; a group without rows is deleted.
+
+    Beside each sum its number of values is stored (``counted``): a sum of nulls only is null. Sums keep the scale of their input.
+    """
+    sums, w = sums or {}, F.col("_w")
+    delta = signed.groupBy(*table.keys).agg(F.sum(w).alias("n"), *[F.sum(w * v).alias(k) for k, v in sums.items()],
+                                            *[F.sum(F.when(v.isNotNull(), w)).alias(counted(k)) for k, v in sums.items()])
+    columns = ["n", *sums, *map(counted, sums)]
     rows = with_stored(delta.dropna(subset=table.keys), table, refresh.base, columns)
-    types = {"n": "long", **{k: SUM for k in sums}}
+    types = {**{c: "long" for c in columns}, **{k: _sum_type(signed.select(v.alias("v")).schema["v"].dataType) for k, v in sums.items()}}
     total = {c: (F.coalesce(F.col(f"old_{c}").cast(types[c]), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).cast(types[c]) for c in columns}
+    total |= {k: F.when(total[counted(k)] > 0, total[k]) for k in sums}
     rows = rows.select(*table.keys, *[v.alias(c) for c, v in total.items()])
     refresh.put(table, rows.withColumn("_deleted", F.col("n") == 0))
 
@@ -120,6 +132,10 @@ class GroupCount:
         self.store, self.source, self.sums = store, source, sums or {}
         self.table = KeyedTable(store, name, keys, buckets)
 
+    def read(self) -> DataFrame:
+        """Keys, ``n`` and the sums."""
+        return self.table.read().drop(*map(counted, self.sums))
+
     def refresh(self, batch: DataFrame) -> dict:
         refresh = Refresh(self.store)
         changes = refresh.take(self.source, batch)
@@ -205,12 +221,12 @@ class CustomerView:
         if totals is None:
             schema = f"customer_id long, orders long, sold {SUM}, open_orders long, last_order_at timestamp_ntz"
             totals = ids.sparkSession.createDataFrame([], schema)
-        rows = customer_360_rows(customers, totals)
+        rows = customer_360_rows(customers, totals).withColumn("_there", F.lit(True))
         # an affected customer that is not there has no view row: an order may come first, or stay behind
-        changes = refresh.keep(ids.join(rows, "customer_id", "left").withColumn("_deleted", F.col("email").isNull()))
+        changes = refresh.keep(ids.join(rows, "customer_id", "left").withColumn("_deleted", F.col("_there").isNull()).drop("_there"))
         refresh.put(self.view, changes)
         signed = signed_changes(self.view, changes, refresh.base, ["tier", "orders", "lifetime_value"])
-        merge_signed(refresh, self.tiers, signed, {"orders": F.col("orders"), "revenue": F.col("lifetime_value")})
+        merge_signed(refresh, self.tiers, signed, {"orders": F.col("orders"), "revenue": F.col("lifetime_value").cast(MONEY)})
 
 
 class InventoryView:
@@ -231,7 +247,8 @@ class InventoryView:
         ids = refresh.keep(changed[0].unionByName(changed[1]).distinct() if len(changed) == 2 else changed[0])
         left, right = (refresh.rows(t, ids, ["product_id"]) for t in (self.products, self.inventory))
         if left is not None and right is not None:
-            rows = inventory_live(left, right)
-            refresh.put(self.view, ids.join(rows, "product_id", "left").withColumn("_deleted", F.col("available").isNull()))
+            rows = inventory_live(left, right).withColumn("_there", F.lit(True))
+            changes = ids.join(rows, "product_id", "left").withColumn("_deleted", F.col("_there").isNull()).drop("_there")
+            refresh.put(self.view, changes)
         return refresh.commit()
 

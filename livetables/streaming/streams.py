@@ -54,11 +54,9 @@ def stream_append(stream: DataFrame, table: LogTable, checkpoint: str, every: st
     return start(stream, table.append, checkpoint, every=every)
 
 
-def stream_lake_append(stream: DataFrame, path: str, checkpoint: str, every: str | None = LAKE_INTERVAL) -> StreamingQuery:
-    """Every version of every key, through the engine's own exactly-once file sink."""
-    trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    return (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())
+def stream_lake_append(stream: DataFrame, table: LogTable, checkpoint: str, every: str | None = LAKE_INTERVAL) -> StreamingQuery:
+    """Every version of every key. The table's own offsets skip what it has, also when the checkpoint is lost."""
+    return start(stream, table.append, checkpoint, every=every)
 
 
 def stream_lake_upsert(stream: DataFrame, table: KeyedTable, checkpoint: str, every: str | None = LAKE_INTERVAL) -> StreamingQuery:

@@ -108,3 +108,14 @@ def test_grants_keep_after_table_is_gone(spark):
     g = gov.grant(spark.createDataFrame([("t", "r")], "topic string, role string"), spark.createDataFrame([("t", "r"), ("later", "r")], "topic string, role string"))
     assert rows(g) == [("later", "r"), ("t", "r")]
     assert rows(gov.visible_tables(spark.createDataFrame([("t",), ("u",)], "topic string"), g, ["r"]), "topic") == [("t",)]
+
+
+def test_written_table_and_long_names(spark):
+    long_name = "n" * 300
+    sql = [("INSERT INTO a.`b c`.d SELECT 1", "d"), ("create or replace table if not exists `x` AS SELECT 1", "x"), ("CREATE TABLE t$1 AS SELECT 1", "t$1"),
+           ("insert overwrite p . q SELECT", "q"), ("SELECT 1", None), ("CREATE VIEW v AS SELECT 1", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(sql)], "i int, sql string").select("i", gov.written_table("sql").alias("w"))
+    assert dict(got.collect()) == {i: w for i, (_, w) in enumerate(sql)}
+    statements = spark.createDataFrame([("s", f"INSERT INTO out SELECT * FROM {long_name} JOIN a$b")], "name string, sql string")
+    topics = spark.createDataFrame([(long_name,), ("a$b",), ("a",), ("b",)], "topic string")
+    assert {r.reads for r in gov.statement_edges(statements, topics).collect()} == {long_name, "a$b"}

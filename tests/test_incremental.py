@@ -108,7 +108,7 @@ def test_group_count_equals_batch(spark, store):
     for low, high in ((0, 30), (30, 31), (31, 999)):
         counts.refresh(log.filter((F.col("_offset") >= low) & (F.col("_offset") < high)))
     want = cl.latest_by_key(log, ["order_id"]).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total").cast("decimal(38,2)").alias("total"))
-    assert rows(counts.table.read(), "customer_id", "n", "total") == rows(want)
+    assert rows(counts.read(), "customer_id", "n", "total") == rows(want)
 
 
 def test_inventory_view_equals_batch(spark, store):
@@ -134,3 +134,28 @@ def test_inventory_view_equals_batch(spark, store):
 def test_empty_refresh(spark, store):
     refresh = Refresh(store)
     assert refresh.commit() == {"commit": 0, "tables": {}}
+
+
+def test_rows_with_null_columns_stay_in_the_views(spark, store):
+    customers = spark.createDataFrame([(1, None, "A", "B", "FR", "gold", 0, 0, None, False)], CUSTOMERS)
+    view = CustomerView(store)
+    view.refresh(customers, None)
+    assert rows(view.view.read(), "customer_id", "email", "orders") == [(1, None, 0)]
+    stock = InventoryView(TableStore(spark, workdir(spark, "test")))
+    products = spark.createDataFrame([(1, "s", "n", "c", 1.0, 0, 0, None, False)],
+                                     "product_id long, sku string, name string, category string, price double, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean")
+    inventory = spark.createDataFrame([(1, "main", None, 3, 0, 0, None, False)],
+                                      "product_id long, warehouse string, on_hand long, reserved long, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean")
+    stock.refresh(products, inventory)
+    assert rows(stock.view.read(), "product_id", "available") == [(1, None)]
+
+
+def test_sums_keep_scale_and_nulls(spark, store):
+    from decimal import Decimal
+    schema = "id long, k long, v decimal(18,4), _partition int, _offset long, _deleted boolean"
+    counts = GroupCount(store, KeyedTable(store, "values", ["id"]), "sums", ["k"], {"v": F.col("v")})
+    small = Decimal("0.0040")
+    counts.refresh(spark.createDataFrame([(1, 1, small, 0, 0, False), (2, 1, small, 0, 1, False), (3, 2, None, 0, 2, False)], schema))
+    assert rows(counts.read(), "k", "n", "v") == [(1, 2, Decimal("0.0080")), (2, 1, None)]
+    counts.refresh(spark.createDataFrame([(1, 1, None, 0, 3, False), (2, 1, None, 0, 4, False), (3, 2, small, 0, 5, False)], schema))
+    assert rows(counts.read(), "k", "n", "v") == [(1, 2, None), (2, 1, small)]

@@ -132,3 +132,11 @@ def test_iso_time(spark, ts, text):
     df = spark.createDataFrame([(ts,)], "x string").select(F.col("x").cast("timestamp").alias("x"))
     assert df.select(iso_time("x", "timestamp")).first()[0] == text
     assert df.select(iso_time(F.col("x").cast("timestamp_ntz"), "timestamp_ntz")).first()[0] == text[:-1]
+
+
+def test_overlong_decimals_fail(spark):
+    from livetables.functions.casts import cast_expr
+    read = lambda b: spark.createDataFrame([(bytearray(b),)], "b binary").select(cast_expr(F.col("b"), "decimal(10,2)")).first()[0]
+    assert str(read(b"\x00" * 20 + b"\x01\x00")) == "2.56" and str(read(b"\xff" * 20)) == "-0.01"
+    with pytest.raises(Exception, match="more than 16 bytes"):
+        read(b"\x01" + b"\x00" * 16)

@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 import os
 
 import pytest
@@ -163,20 +164,37 @@ def test_append_ignores_duplicates_and_tombstones(spark, store):
     assert table.read().count() == 150 and len(table.state()["files"]["0"]) == 1
 
 
-def test_bulk_load_is_not_kept_and_gives_the_same_table(spark, store, sf, monkeypatch):
-    monkeypatch.setattr("livetables.operators.tables.KEEP_BYTES", 0)
-    full = fx.orders_cdc(spark, sf).drop("op")
-    table = KeyedTable(store, "orders", ["order_id"])
-    table.merge(full)
-    assert rows(table.read(), "order_id", "status") == rows(cl.latest_by_key(full, ["order_id"]), "order_id", "status")
-    clicks = LogTable(store, "clicks")
-    clicks.append(fx.clicks_replayed(spark, sf))
-    assert rows(clicks.read(), "event_id") == rows(fx.clicks(spark, sf), "event_id")
-    kept = KeyedTable(store, "kept", ["order_id"])
-    monkeypatch.undo()
-    kept.merge(full)
-    same = ("_partition", "next_offset", "last_record_ts")
-    assert rows(kept.progress(), *same) == rows(table.progress(), *same)
+def test_offsets_come_from_all_records_and_replays_restore_nothing(spark, store):
+    """Key 1 moves from partition 0 to partition 1, null keys stand last in two partitions; the batches are read from Parquet, as a stream's are."""
+    records = [(1, "old", 0, 10), (1, "new", 1, 50), (2, "b", 1, 20), (None, "x", 0, 11), (None, "y", 1, 51)]
+    path = f"{store.root}/log"
+    spark.createDataFrame([(i, n, p, o, T + dt.timedelta(minutes=o), False) for i, n, p, o in records], LOG).write.parquet(path)
+    batch = spark.read.parquet(path)
+    table = KeyedTable(store, "moved", ["id"], order=cl.ACROSS_PARTITIONS)
+    table.merge(batch)
+    assert table.offsets() == {"0": 12, "1": 52}
+    assert table.state()["last_record_ts"].startswith((T + dt.timedelta(minutes=51)).isoformat())
+    commit = store.snapshot()["commit"]
+    table.merge(batch.filter("_partition = 0"))
+    assert store.snapshot()["commit"] == commit and rows(table.read(), "id", "name") == [(1, "new"), (2, "b")]
+
+
+def test_writers_of_different_tables_do_not_conflict(spark, store):
+    def write(name):
+        table = KeyedTable(TableStore(spark, store.root), name, ["id"])
+        for i in range(2):
+            table.merge(log(spark, (i, f"{name}{i}", i)))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, ["a", "b", "c", "d"]))
+    for name in "abcd":
+        assert rows(KeyedTable(store, name, ["id"]).read(), "id", "name") == [(0, f"{name}0"), (1, f"{name}1")]
+
+
+def test_log_table_may_keep_deletes(spark, store):
+    table = LogTable(store, "history", deletes=True)
+    table.compact()
+    table.append(log(spark, (1, "a", 0), (1, None, 1)))
+    assert rows(table.read(), "id", "name", "_deleted") == [(1, "a", False), (1, None, True)]
 
 
 def test_fold_work_is_bounded_by_the_batch(spark, store):
