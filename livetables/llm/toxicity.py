@@ -93,7 +93,7 @@ def features(words: list[str]) -> set[str]:
 class Lexicon:
     weights: dict[str, float]
     exceptions: set[str] = field(default_factory=set)
-    model: tuple[float, float, float] = (-4.0, 0.9, 4.0)      # of a constant, log(1 + weight), weight per word
+    model: tuple[float, float, float] = (-4.0, 2.5, 2.0)      # of a constant, log(1 + weight), weight per word
     _machine: ahocorasick.Automaton | None = None
 
     def __getstate__(self):
