@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from livetables.registry import core
 from tests.check import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = core.QUERIES, core.ORACLES     # those of the optional subpackage have their own tests
 
 
 @pytest.fixture(scope="module")
