@@ -209,13 +209,12 @@ def fn_pad_format(spark, d):
     return fx.load(spark, d, "part").select("p_partkey", padded.alias("padded"), F.format_string("SKU-%s", padded).alias("sku"))
 
 
-# The literal array of the seed data.
-COUNTRIES = ["FR", "US", "DE", "GB", "NL", "ES", "IT", "BE", "CA", "JP"]
+DEPOTS = ["north", "east", "south", "west", "harbour"]
 
 
-@query("fn_array_index", oracle(body=f"SELECT c_custkey, ({COUNTRIES})[1 + (c_custkey * 3) % 10] AS country FROM customer"))
+@query("fn_array_index", oracle(body=f"SELECT c_custkey, ({DEPOTS})[1 + c_custkey % 5] AS depot FROM customer"))
 def fn_array_index(spark, d):
-    return fx.load(spark, d, "customer").select("c_custkey", scalars.pick(COUNTRIES, 1 + (F.col("c_custkey") * 3) % 10).alias("country"))
+    return fx.load(spark, d, "customer").select("c_custkey", scalars.pick(DEPOTS, 1 + F.col("c_custkey") % 5).alias("depot"))
 
 
 @query("fn_interval", oracle("orders_t", body="""
