@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length, with exception phrases.
 
-Folding lower-cases, strips accents, maps homoglyphs and fullwidth forms to Latin letters, and turns digits and signs inside
-words into the letters they stand for. The folded text is its words between single blanks.
+Folding lower-cases, maps homoglyphs and fullwidth forms to Latin letters, and turns digits and signs inside words into the letters
+they stand for. The folded text is its words between single blanks; a word with accents stands there with and without them, as accents
+tell words of some languages apart and disguise those of others.
 
 The lexicon holds whole words (" w ") and beginnings of words (" w"). A few fixed terms are always in it; the others are learned from
 labelled rows: terms found in significantly more toxic than clean documents are candidates, and a greedy cover keeps one only
@@ -9,7 +10,8 @@ while it still explains toxic documents that no kept term explains, so that the
 times do not enter. Its weight is the log ratio of its rates. Phrases of two words around a term that clean documents have and
 toxic ones don't become exceptions, beside the fixed ones: such a hit counts nothing.
 
-A document's score is a logistic function of its summed weights, and of the same divided by its length, fitted on the same rows.
+A document's score is a logistic function of the logarithms of its summed weights and of their density, the same sum divided by the length. It is
+fitted on the same rows.
 
 Labelled rows are joined to texts as a bounded sample (``max_labelled``, in the order of a hash of doc_id), the only thing here
 that is broadcast besides the lexicon (at most ``MAX_TERMS``). Repeated texts count once.
@@ -26,6 +28,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import ahocorasick
@@ -53,6 +56,7 @@ MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6)
 SIGNIFICANT = 30.0       # likelihood ratio statistic
 MIN_RATIO = 4              # of the rates of a term in toxic and clean documents
+SHORT = 30                 # words added to each text, so that one weak term does not decide on a text of a few words
 THRESHOLD = 0.7
 
 _letters = str.maketrans({**HOMOGLYPHS, "ß": "ss"})
@@ -61,19 +65,45 @@ _marks = re.compile("[\u0300-\u036f]")
 _words = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str | None) -> list[str]:
-    """The folded words of a text."""
+def accented(text: str | None) -> list[str]:
+    """The folded words of a text, with their accents."""
     if not text:
         return []
     t = text.lower()
     if not t.isascii():
-        t = t.translate(_letters)
-        t = _marks.sub("", unicodedata.normalize("NFKD", t))
+        t = _marks.sub("", unicodedata.normalize("NFKC", t.translate(_letters)))
     if any(c in t for c in SUBSTITUTES):
         t = " ".join(_decode(x) for x in t.split())
     return _words.findall(t)
 
 
+@lru_cache(1 << 16)
+def _bare(word: str) -> str:
+    return "".join(_words.findall(_marks.sub("", unicodedata.normalize("NFKD", word))))
+
+
+def bare(word: str) -> str:
+    """A folded word without its accents."""
+    return word if word.isascii() else _bare(word)
+
+
+def fold(text: str | None) -> list[str]:
+    """The folded words of a text, without accents."""
+    return [bare(w) for w in accented(text)]
+
+
+def spellings(words: list[str]) -> tuple[list[str], list[int]]:
+    """What terms are looked for in: each word, and after one with accents the same without; and which word each belongs to."""
+    out, of = [], []
+    for i, w in enumerate(words):
+        out.append(w)
+        of.append(i)
+        if (b := bare(w)) != w:
+            out.append(b)
+            of.append(i)
+    return out, of
+
+
 def _decode(token: str) -> str:
     """Letters for the digits and signs within a word that has letters; signs at its ends are no part of it."""
     core = token.strip("$@")
@@ -83,7 +113,7 @@ def _decode(token: str) -> str:
 def features(words: list[str]) -> set[str]:
     """Terms a document may add to a lexicon: its words, and the beginnings of the longer ones."""
     out = set()
-    for w in set(words):
+    for w in set(spellings(words)[0]):
         out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in PREFIXES if len(w) > n)
     return out
@@ -93,7 +123,7 @@ def features(words: list[str]) -> set[str]:
 class Lexicon:
     weights: dict[str, float]
     exceptions: set[str] = field(default_factory=set)
-    model: tuple[float, float, float] = (-4.0, 2.5, 2.0)      # of a constant, log(1 + weight), weight per word
+    model: tuple[float, float, float] = (-4.0, 2.5, 0.3)      # of a constant, log(1 + weight), log(1 + weight per 100 words)
     _machine: ahocorasick.Automaton | None = None
 
     def __getstate__(self):
@@ -111,7 +141,8 @@ class Lexicon:
         """(word, term, weight): for each word with a term, the heaviest one, unless an exception phrase holds the word."""
         if not words or not self.weights:
             return []
-        text = " " + " ".join(words) + " "
+        spelled, of = spellings(words)
+        text = " " + " ".join(spelled) + " "
         best: dict[int, tuple[float, str]] = {}
         for end, (term, w) in self.machine().iter(text):
             start = end - len(term) + 1
@@ -121,18 +152,20 @@ class Lexicon:
         if best:
             number = {}
             at = 0
-            for i, w in enumerate(words):
+            for i, w in zip(of, spelled):
                 number[at] = i
                 at += len(w) + 1
-            for start, (w, term) in sorted(best.items()):
-                i = number[start]
+            heaviest: dict[int, tuple[float, str]] = {}
+            for start, found in best.items():
+                heaviest[number[start]] = max(found, heaviest.get(number[start], found))
+            for i, (w, term) in sorted(heaviest.items()):
                 if not any(p in self.exceptions for p in phrases(words, i)):
                     out.append((i, term, w))
         return out
 
     def inputs(self, words: list[str], hits: list | None = None) -> tuple[float, float]:
         total = sum(w for _, _, w in (self.hits(words) if hits is None else hits))
-        return log(1 + total), total / (10 + len(words))
+        return log(1 + total), log(1 + 100 * total / (SHORT + len(words)))
 
     def score(self, words: list[str], hits: list | None = None) -> float:
         a, b = self.inputs(words, hits)
@@ -141,7 +174,9 @@ class Lexicon:
 
 
 def phrases(words: list[str], i: int) -> list[str]:
-    return [" ".join(words[max(i - 1, 0):i + 1])] * (i > 0) + [" ".join(words[i:i + 2])] * (i + 1 < len(words))
+    """The word with its neighbour before and after it, without accents."""
+    near = [bare(w) for w in words[max(i - 1, 0):i + 2]]
+    return [" ".join(near[:2])] * (i > 0) + [" ".join(near[-2:])] * (i + 1 < len(words))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int) -> DataFrame:
@@ -159,7 +194,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         n = [0, 0]
         for t, y in zip(column(part, "text").to_pylist(), column(part, "y").to_pylist()):
-            counts[y != 0].update(features(fold(t)))
+            counts[y != 0].update(features(accented(t)))
             n[y != 0] += 1
         terms = list(counts[0] | counts[1])
         yield pa.record_batch({"term": pa.array(terms + [None], pa.string()), "toxic": pa.array([counts[1][t] for t in terms] + [n[1]], pa.int64()),
@@ -180,8 +215,8 @@ def _finds(lexicon: Lexicon):
         for part in slices(batches, "text"):
             rows = []
             for t, y in zip(column(part, "text").to_pylist(), column(part, "y").to_pylist()):
-                words = fold(t)
-                text = " " + " ".join(words) + " "
+                words = accented(t)
+                text = " " + " ".join(spellings(words)[0]) + " "
                 found = {term for _, (term, _) in lexicon.machine().iter(text)} if lexicon.weights else set()
                 around = {p for i, _, _ in lexicon.hits(words) for p in phrases(words, i)} if y == 0 else set()
                 rows.append({"y": int(y != 0), "found": sorted(found), "around": sorted(around)})
@@ -261,7 +296,7 @@ def _phrases_of(wanted: set[str]):
 def _inputs(lexicon: Lexicon):
     def run(batches):
         for part in slices(batches, "text"):
-            rows = [lexicon.inputs(fold(t)) for t in column(part, "text").to_pylist()]
+            rows = [lexicon.inputs(accented(t)) for t in column(part, "text").to_pylist()]
             yield pa.record_batch({"a": pa.array([r[0] for r in rows], pa.float64()), "b": pa.array([r[1] for r in rows], pa.float64()),
                                    "y": pa.array([float(y != 0) for y in column(part, "y").to_pylist()], pa.float64())})
     return run
@@ -297,7 +332,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for part in slices(batches, "text"):
             scores, hits = [], []
             for t in column(part, "text").to_pylist():
-                words = fold(t)
+                words = accented(t)
                 found = shared.value.hits(words)
                 scores.append(shared.value.score(words, found))
                 hits.append([{"term": term.strip(), "weight": w} for _, term, w in found])
@@ -312,5 +347,5 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield part.filter(pa.array([shared.value.score(fold(t)) < threshold for t in column(part, "text").to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([shared.value.score(accented(t)) < threshold for t in column(part, "text").to_pylist()], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

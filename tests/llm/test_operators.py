@@ -160,6 +160,10 @@ def test_toxicity(spark, hard, empty):
     assert toxicity.fold("1d10t! ІDІОТ $cum$ Ünï tr@sh 2024 &&&") == ["idiot", "idiot", "cum", "uni", "trash"]
     lexicon = toxicity.Lexicon({" trash ": 5.0, " clow": 4.0}, {"trash can"})
     assert [t for _, t, _ in lexicon.hits(toxicity.fold("the trash can and a CL0WN, trash trashed"))] == [" clow", " trash "]
+    accents = toxicity.Lexicon({" réeux": 2.0, " clow": 4.0})
+    words = toxicity.accented("Réeuxpa reeuxpa CLÓWN clown re\u0301euxa")
+    assert [(i, t) for i, t, _ in accents.hits(words)] == [(0, " réeux"), (2, " clow"), (3, " clow"), (4, " réeux")]
+    assert {" réeu", " reeu"} <= toxicity.features(words)
     rnd = random.Random(4)
     bad = lambda: " ".join(rnd.choice(["zorgle", "zorglon"]) if rnd.random() < 0.1 else w for w in prose(rnd, 60).split()) + " zorgle"
     records = [(i, bad() if i % 5 == 0 else prose(rnd, 60), "s") for i in range(600)]
@@ -290,6 +294,26 @@ def test_pipeline_stages(spark, hard, empty, sf):
     assert {r.doc_id for r in docs.collect()} <= {1, 6, 7, 9, 10, 40, 41, 42, 43}
 
 
+@pytest.mark.parametrize("name,label,size", [("op3_quality_classifier", "quality", "sf0.01"), ("op5_toxicity", "toxic", "sf0.1")])
+def test_held_out_accuracy(spark, name, label, size):
+    """Over whole tables: a held-out row of label 1 scores above one of label 0 in at least 90 % of all such pairs.
+
+    sf0.01 has too few toxic rows for the insults of each language to be significant (0.89 there).
+    """
+    sf = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(F.col(label).isNotNull()).select("doc_id", label)
+    got = q.QUERIES[name](spark, sf).filter("held_out").join(labels, "doc_id").select("score", label).collect()
+    high, low = [r.score for r in got if r[label]], [r.score for r in got if not r[label]]
+    assert len(high) > 5 and len(low) > 5
+    assert sum((x > y) + (x == y) / 2 for x in high for y in low) >= 0.9 * len(high) * len(low)
+
+
+def test_repeated_passages_query_is_brute_force(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = q.QUERIES["op7_repeated_passages"](spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(got) == sorted([(r.doc_id, *w) for r, w in zip(texts, passages_by_hand([r.text for r in texts], 200))], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_queries(spark, sf, name):
     got = q.QUERIES[name](spark, sf)
