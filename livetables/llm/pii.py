@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Seeds: e-mail addresses, IP addresses, card and phone numbers, by their shape (``base_spans``).
-2. Candidates: every token with enough digits, or an @, that no seed covers. Seeds and candidates alike have contexts: the word
-   before, the two words before, the two words after, as lexical patterns (lower-cased, digits as 0).
+2. Candidates, by the loose shape of each kind and where no seed is: tokens with enough digits, or an @; digit groups joined by blanks, brackets,
+   dots or dashes; hex groups with colons. Seeds and candidates alike have contexts: the word before, the two words before, the two
+   words after, as lexical patterns (lower-cased, digits as 0). A candidate within another one counts only if the outer one is too long for a phone number.
 3. Graph: patterns and instances (digests of the texts of seeds and candidates) are joined by the places where they meet. Rounds over
    that graph, all joins and sums: a pattern scores the share of its places that are instances believed so far, per
    kind; an instance is believed as far as its best pattern is.
@@ -24,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from livetables.llm.base import Steps, column, free_name, row_key
@@ -34,7 +35,8 @@ MIN_SUPPORT = 5
 CONFIDENCE = 0.9
 ROUNDS = 3
 MIN_DIGITS = 6
-LONGEST = 64             # code points of an identifier; longer tokens are no candidates
+PHONE_DIGITS, CARD_DIGITS = 15, 19      # at most
+LONGEST = 64             # code points of a word in a context
 
 # fixed values: the shapes of the seeds
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,6 +47,13 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digits = re.compile(r"[0-9]+")
 _space = re.compile(r"\s")
 _edges = "\"'`.,;:!?()[]{}<>*%&$#|="
+# the shapes of the candidates
+_start = re.compile(r"[0-9]+|@")
+_groups = re.compile(rf"(?<![^\s{re.escape(_edges)}])(?<![0-9][:.,])[+(]{{0,2}}[0-9]++(?:[ ().+/-]+[0-9]++)*+\)?")
+_glued = re.compile(rf"[:.,]?[0-9]|[^\s\w{re.escape(_edges)}]*\w")
+_colons = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_run = re.compile(r"[\w:]*")
+_hex = re.compile(r"(?:\w*[^\W0-9A-Fa-f]\w*:)?((?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*+)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*+)?|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){2,}+):?")
 
 SPAN = "struct<kind:string,first:int,last:int>"
 PLACE = "struct<first:int,last:int,shape:string,instance:string,kind:string,contexts:array<string>>"
@@ -86,15 +95,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens between whitespace, stripped at the ends, that may be identifiers and that no span touches."""
-    covered = sorted((a, z) for _, a, z in spans)
-    done, i = 0, 0
-    for m in _digits.finditer(text):
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens between whitespace, stripped at the ends, with enough digits or an @."""
+    done = 0
+    for m in _start.finditer(text):
         if m.start() < done:
             continue
         first = m.start()
-        while first > done and m.start() - first <= LONGEST and not text[first - 1].isspace():
+        while first > done and not text[first - 1].isspace():
             first -= 1
         end = _space.search(text, m.end())
         last = done = end.start() if end else len(text)
@@ -102,15 +110,89 @@ def _candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[
             first += 1
         while last > first and text[last - 1] in _edges:
             last -= 1
-        while i < len(covered) and covered[i][1] <= first:
-            i += 1
         token = text[first:last]
-        if len(token) <= LONGEST and sum(c in "0123456789" for c in token) >= MIN_DIGITS and not (i < len(covered) and covered[i][0] < last):
+        if _digit_count(token) >= MIN_DIGITS or "@" in token and any(map(str.isalnum, token)):
             yield first, last
 
 
+def _digit_count(token: str) -> int:
+    return sum(map(len, _digits.findall(token)))
+
+
+def _digit_groups(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Digit groups joined by blanks, brackets, dots or dashes. Of more digits than any kind has, as many as a phone or a card has from either end."""
+    for m in _groups.finditer(text, start, stop):
+        first, last = m.span()
+        if _glued.match(text, last):
+            last = max(text.rfind(" ", first, last), first)
+        body = text[first:last].rstrip(" .+/-(")
+        last = first + len(body)
+        if body.endswith(")") and ("(" not in body or body.startswith("(") and body.count("(") == body.count(")") == 1):
+            last -= 1
+            if body.startswith("("):
+                first += 1
+        elif "(" in body[:2] and ")" not in body:
+            first += body.index("(") + 1
+        body = text[first:last]
+        n = _digit_count(body)
+        if n <= CARD_DIGITS:
+            if n >= MIN_DIGITS:
+                yield first, last
+            continue
+        words = [(first + w.start(), first + w.end()) for w in re.finditer("[^ ]+", body)]
+        for most in (PHONE_DIGITS, CARD_DIGITS):
+            for part in (words, words[::-1]):
+                n = used = 0
+                for a, z in part:
+                    n += _digit_count(text[a:z])
+                    if n > most:
+                        n -= _digit_count(text[a:z])
+                        break
+                    used += 1
+                if used and n >= MIN_DIGITS:
+                    yield min(part[0][0], part[used - 1][0]), max(part[0][1], part[used - 1][1])
+
+
+def _hex_groups(text: str) -> Iterator[tuple[int, int]]:
+    """Hex groups with two colons or more, also after a name with a colon."""
+    done = 0
+    for m in _colons.finditer(text):
+        first = m.start()
+        if first < done:
+            continue
+        while first > done and (text[first - 1].isalnum() or text[first - 1] in "_:"):
+            first -= 1
+        done = _run.match(text, m.end()).end()
+        found = _hex.fullmatch(text, first, done)
+        if found and any(map(str.isalnum, found[1])):
+            yield found.span(1)
+
+
+def _candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Places that may be identifiers and that no span touches."""
+    covered = sorted((a, z) for _, a, z in spans)
+    found = set(_hex_groups(text)) if ":" in text else set()
+    if _start.search(text):
+        found.update(_tokens(text))
+        at = 0
+        for a, z in [*covered, (len(text), len(text))]:
+            if a > at:
+                found.update(_digit_groups(text, at, a))
+            at = max(at, z)
+    out, i, reach = [], 0, 0      # reach: the end of an outer candidate that is short enough to hold no other
+    for first, last in sorted(found, key=lambda s: (s[0], -s[1])):
+        while i < len(covered) and covered[i][1] <= first:
+            i += 1
+        if last > reach and not (i < len(covered) and covered[i][0] < last):
+            out.append((first, last))
+            if _digit_count(text[first:last]) <= PHONE_DIGITS:
+                reach = last
+    return out
+
+
 def _shape(token: str) -> str:
-    return re.sub(r"[^\W\d_]", "a", _digits.sub(lambda m: "0" * len(m.group()), token))
+    """Letters as a, one for neighbouring ones, and digits as 0, at most one more than any kind has."""
+    return re.sub(r"[^\W\d_]+", "a", _digits.sub(lambda m: "0" * min(len(m.group()), CARD_DIGITS + 1), token))
 
 
 def _word(text: str, at: int, step: int) -> tuple[str, int]:
@@ -192,6 +274,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
         .select("row_key", "p.first", "p.last", "p.shape", F.explode("p.contexts").alias("pattern"))
     ranked = F.struct(F.col("score"), (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("order"), F.col("kind"))
     best = open_.join(patterns, "pattern").filter(_fits("kind", "shape")).groupBy("row_key", "first", "last").agg(F.max(ranked).alias("b"))
+    # of candidates within each other the outer one
+    before = Window.partitionBy("row_key").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("reach", F.max("last").over(before)).filter("reach IS NULL OR last > reach")
     added = best.groupBy(F.col("row_key").alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "first", "last"))).alias("added"))
     added = steps.keep(added, "added")
     out = scanned.join(added, F.col("row_key") == F.col("_k"), "left")
