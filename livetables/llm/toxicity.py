@@ -14,7 +14,7 @@ A document's score is a logistic function of the logarithms of its summed weight
 fitted on the same rows.
 
 Labelled rows are joined to texts as a bounded sample (``max_labelled``, in the order of a hash of doc_id), the only thing here
-that is broadcast besides the lexicon (at most ``MAX_TERMS``). Repeated texts count once.
+that is broadcast besides the lexicon. All its significant terms reach the cover, and all its exceptions the lexicon. Repeated texts count once.
 
 Null, empty and wordless texts have no hits and get the score of a clean document. Repeated rows get a row each. Labels that are null are ignored;
 of several labels of a doc_id the highest counts. Without labelled toxic rows only the fixed terms are used. An empty table
@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 from math import log
 
 import ahocorasick
@@ -52,7 +53,6 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 BASE_WEIGHT = 6.0
 MAX_LABELLED = 20_000
-MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6)
 SIGNIFICANT = 30.0       # likelihood ratio statistic
 MIN_RATIO = 4              # of the rates of a term in toxic and clean documents
@@ -209,18 +209,25 @@ def _ratio_statistic(toxic: str, clean: str, n_toxic: int, n_clean: int):
     return 2 * (part(t, p * n_toxic) + part(c, p * n_clean) + part(F.lit(n_toxic) - t, (1 - p) * n_toxic) + part(F.lit(n_clean) - c, (1 - p) * n_clean))
 
 
-def _finds(lexicon: Lexicon):
-    """Rows (y, n_words, terms found, phrases around them)."""
+def _found(lexicon: Lexicon, number: dict[str, int]):
+    """The numbers of the terms in each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows = []
-            for t, y in zip(column(part, "text").to_pylist(), column(part, "y").to_pylist()):
-                words = accented(t)
-                text = " " + " ".join(spellings(words)[0]) + " "
-                found = {term for _, (term, _) in lexicon.machine().iter(text)} if lexicon.weights else set()
-                around = {p for i, _, _ in lexicon.hits(words) for p in phrases(words, i)} if y == 0 else set()
-                rows.append({"y": int(y != 0), "found": sorted(found), "around": sorted(around)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("y", pa.int32()), ("found", pa.list_(pa.string())), ("around", pa.list_(pa.string()))]))
+            for t in column(part, "text").to_pylist():
+                text = " " + " ".join(spellings(accented(t))[0]) + " "
+                rows.append(sorted({number[term] for _, (term, _) in lexicon.machine().iter(text)}))
+            yield pa.record_batch({"found": pa.array(rows, pa.list_(pa.int32()))})
+    return run
+
+
+def _around(lexicon: Lexicon):
+    """The phrases around the hits of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            words = map(accented, column(part, "text").to_pylist())
+            rows = [sorted({p for i, _, _ in lexicon.hits(w) for p in phrases(w, i)}) for w in words]
+            yield pa.record_batch({"around": pa.array(rows, pa.list_(pa.string()))})
     return run
 
 
@@ -228,26 +235,34 @@ def _log_ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return log((toxic + 0.5) / (n_toxic + 1)) - log((clean + 0.5) / (n_clean + 1))
 
 
-def _cover(found: list[set[str]], terms: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[str]:
-    """Terms in the order of how much they say about toxic documents that no earlier one explains, while that is significant."""
-    docs_of = defaultdict(set)
-    for i, terms_here in enumerate(found):
-        for t in terms_here:
-            docs_of[t].add(i)
-    left, kept = dict(docs_of), []
-    while left:
-        # of terms that explain as many, a whole word says more than a beginning
-        best = max(left, key=lambda t: (len(left[t]) * _log_ratio(*terms[t], n_toxic, n_clean), t.endswith(" "), len(t), t))
-        new = left.pop(best)
-        if len(new) * log(max(n_toxic + n_clean, 2) / max(n_toxic, 1)) * 2 < SIGNIFICANT:
+def _cover(found: list[np.ndarray], terms: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[str]:
+    """Terms in the order of how much they say about toxic documents that no earlier one explains, while that is significant.
+
+    ``found`` has the numbers of the terms of each document. What a term explains only shrinks, so the last value of those further down bounds theirs.
+    """
+    names, rates = list(terms), [_log_ratio(*c, n_toxic, n_clean) for c in terms.values()]
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    number = np.concatenate(found) if found else np.zeros(0, np.int32)
+    doc = doc[np.argsort(number, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(names)))])
+    open_, text_order = np.ones(len(found), bool), {t: i for i, t in enumerate(sorted(names))}
+    # of terms that explain as many, a whole word says more than a beginning
+    entry = lambda k, n: (-n * rates[k], not names[k].endswith(" "), -len(names[k]), -text_order[names[k]], n, k)
+    heap = [entry(k, int(first[k + 1] - first[k])) for k in range(len(names)) if first[k + 1] > first[k]]
+    heapify(heap)
+    kept = []
+    while heap:
+        *_, n, k = heap[0]
+        mine = doc[first[k]:first[k + 1]]
+        now = int(open_[mine].sum())
+        if now < n:
+            heapreplace(heap, entry(k, now)) if now else heappop(heap)
+            continue
+        if n * log(max(n_toxic + n_clean, 2) / max(n_toxic, 1)) * 2 < SIGNIFICANT:
             break
-        kept.append(best)
-        for t in list(left):
-            rest = left[t] - new
-            if rest:
-                left[t] = rest
-            else:
-                del left[t]
+        heappop(heap)
+        kept.append(names[k])
+        open_[mine] = False
     return kept
 
 
@@ -263,16 +278,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
         return Lexicon(weights, set(BASE_EXCEPTIONS))
     statistic = _ratio_statistic("toxic", "clean", n_toxic, n_clean)
     strong = counts.filter(F.col("term").isNotNull() & (F.col("toxic") * n_clean > MIN_RATIO * F.col("clean") * n_toxic)).withColumn("s", statistic) \
-        .filter(F.col("s") >= SIGNIFICANT).orderBy(F.desc("s"), "term").limit(MAX_TERMS).collect()
+        .filter(F.col("s") >= SIGNIFICANT).orderBy("term").collect()
     terms = {r.term: (r.toxic, r.clean) for r in strong}
     rate = lambda t: _log_ratio(*terms[t], n_toxic, n_clean)
     wide = Lexicon({t: rate(t) for t in terms}, set())
-    toxic_docs = sample.filter("y <> 0").mapInArrow(_finds(wide), "y int, found array<string>, around array<string>").select("found").collect()
-    kept = _cover([set(r.found) for r in toxic_docs], terms, n_toxic, n_clean)
+    toxic_docs = sample.filter("y <> 0").mapInArrow(_found(wide, {t: i for i, t in enumerate(terms)}), "found array<int>").toArrow()["found"]
+    kept = _cover([f.values.to_numpy() for f in toxic_docs], terms, n_toxic, n_clean)
     weights |= {t: rate(t) for t in kept}
     lexicon = Lexicon(weights, set(BASE_EXCEPTIONS))
-    around = sample.filter("y = 0").mapInArrow(_finds(lexicon), "y int, found array<string>, around array<string>") \
-        .select(F.explode("around").alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "p").limit(MAX_TERMS)
+    around = sample.filter("y = 0").mapInArrow(_around(lexicon), "around array<string>") \
+        .select(F.explode("around").alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter("n >= 3")
     common = {r.p for r in around.collect()}
     if common:
         toxic_too = sample.filter("y <> 0").mapInArrow(_phrases_of(common), "p string").distinct().collect()

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from livetables.llm import pii
+from livetables.llm import pii, toxicity
 from livetables.llm.base import ready
 from tests.llm.test_operators import docs_of, prose
 
@@ -36,3 +37,35 @@ def test_pii_discovers_the_loose_shapes_of_each_kind(spark):
         assert found[1000 + i] == [(kind, 4 + len(context), 4 + len(context) + len(what))]
         assert clean[1000 + i] == f"so {context} [{kind.upper()}], thanks"
         assert found[2000 + i] == []
+
+
+def test_toxicity_learns_beside_many_near_copies(spark):
+    """Near copies of a long toxic text have more significant terms than any list of the most significant ones; so have texts with many phrases around a term."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    long, other = [word() for _ in range(700)], [word() for _ in range(1200)]
+    toxic = [" ".join([*long, word()]) for _ in range(200)] + [f"{word()} {word()} zorgle {word()}" for _ in range(60)]
+    clean = [" ".join(word() for _ in range(20)) for _ in range(1000)] + [" ".join(["zorgle " + w for w in other] + [word()]) for _ in range(6)]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(toxic + clean)])
+    labels = spark.createDataFrame([(i, None, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, quality int, toxic int")
+    learned = toxicity.learn(docs, labels)
+    assert " zorgle " in learned.weights and len(learned.weights) < 20
+    assert {f"zorgle {w}" for w in other} | {f"{w} zorgle" for w in other[:-1]} <= learned.exceptions
+
+
+def test_toxicity_cover_is_brute_force():
+    rnd = random.Random(1)
+    for _ in range(200):
+        names = [f" {'ab' * rnd.randrange(1, 3)}{i}{rnd.choice(['', ' '])}" for i in range(rnd.randrange(1, 40))]
+        terms = {t: (rnd.randrange(1, 60), rnd.randrange(3)) for t in names}
+        found = [np.array(sorted(rnd.sample(range(len(names)), rnd.randrange(min(6, len(names) + 1)))), np.int32) for _ in range(100)]
+        left, want = {t: {d for d, f in enumerate(found) if i in f} for i, t in enumerate(names)}, []
+        left = {t: d for t, d in left.items() if d}
+        while left:
+            best = max(left, key=lambda t: (len(left[t]) * toxicity._log_ratio(*terms[t], 100, 900), t.endswith(" "), len(t), t))
+            new = left.pop(best)
+            if len(new) * np.log(10) * 2 < toxicity.SIGNIFICANT:
+                break
+            want.append(best)
+            left = {t: d - new for t, d in left.items() if d - new}
+        assert toxicity._cover(found, terms, 100, 900) == want
