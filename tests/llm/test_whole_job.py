@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from livetables.llm import pii, toxicity
+from livetables.llm import license_scan, pii, toxicity
 from livetables.llm.base import ready
 from tests.llm.test_operators import docs_of, prose
 
@@ -69,3 +69,16 @@ def test_toxicity_cover_is_brute_force():
             want.append(best)
             left = {t: d - new for t, d in left.items() if d - new}
         assert toxicity._cover(found, terms, 100, 900) == want
+
+
+def test_license_scan_confirms_no_sibling_of_a_family(spark):
+    rnd = random.Random(9)
+    siblings = ["This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Affero General Public License, version 3.",
+                license_scan.NOTICES[8][1].replace("version 3", "version 2"), license_scan.NOTICES[8][1].replace("General", "Affero General"),
+                "Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+                "Licensed under CC BY-NC-ND 4.0.", "Licensed under the Apache License, Version 1.1."]
+    texts = [(i, prose(rnd, 30) + "\n" + prose(rnd, 12), "s") for i in range(60)] + [(100 + i, t, "s") for i, t in enumerate(siblings)]
+    texts += [(200 + i, t, "s") for i, (_, t) in enumerate(license_scan.NOTICES)]
+    got = {r.doc_id: (r.n_licence, r.families) for r in license_scan.licences(docs_of(spark, texts)).collect()}
+    assert [got[100 + i] for i in range(len(siblings))] == [(0, "")] * len(siblings)
+    assert [got[200 + i] for i in range(len(license_scan.NOTICES))] == [(1, f) for f, _ in license_scan.NOTICES]
