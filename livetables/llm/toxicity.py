@@ -17,7 +17,8 @@ Labelled rows are joined to texts as a bounded sample (``max_labelled``, in the
 that is broadcast besides the lexicon. All its significant terms reach the cover, and all its exceptions the lexicon. Repeated texts count once.
 
 Null, empty and wordless texts have no hits and get the score of a clean document. Repeated rows get a row each. Labels that are null are ignored;
-of several labels of a doc_id the highest counts. Without labelled toxic rows only the fixed terms are used. An empty table
+of several labels of a doc_id the highest counts, of several texts the one with the smallest hash. Without labelled toxic rows, and where no term is
+significant, only the fixed terms are used. An empty table
 gives an empty result. Columns beyond those named are ignored, or kept by ``without_toxic``.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from livetables.llm.base import Steps, column, held_out, slices
+from livetables.llm.base import Steps, column, held_out, slices, text_key
 
 # fixed values: insults that are in every lexicon
 BASE_TERMS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "imbecile"]
@@ -184,8 +185,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_labelled
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")) \
         .filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     few = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    return rows.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).agg(F.max(F.struct("y", "text")).alias("r")).select("r.text", "r.y")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), "text").join(F.broadcast(few), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("k", "y", "text")).alias("r")).select("r.*")      # so that rows are bounded as well as ids
+    return one.groupBy("k").agg(F.max(F.struct("y", "text")).alias("r")).select("r.text", "r.y")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +283,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
         .filter(F.col("s") >= SIGNIFICANT).orderBy("term").collect()
     terms = {r.term: (r.toxic, r.clean) for r in strong}
     rate = lambda t: _log_ratio(*terms[t], n_toxic, n_clean)
-    wide = Lexicon({t: rate(t) for t in terms}, set())
-    toxic_docs = sample.filter("y <> 0").mapInArrow(_found(wide, {t: i for i, t in enumerate(terms)}), "found array<int>").toArrow()["found"]
-    kept = _cover([f.values.to_numpy() for f in toxic_docs], terms, n_toxic, n_clean)
-    weights |= {t: rate(t) for t in kept}
+    if terms:
+        wide = Lexicon({t: rate(t) for t in terms}, set())
+        toxic_docs = sample.filter("y <> 0").mapInArrow(_found(wide, {t: i for i, t in enumerate(terms)}), "found array<int>").toArrow()["found"]
+        kept = _cover([f.values.to_numpy() for f in toxic_docs], terms, n_toxic, n_clean)
+        weights |= {t: rate(t) for t in kept}
     lexicon = Lexicon(weights, set(BASE_EXCEPTIONS))
     around = sample.filter("y = 0").mapInArrow(_around(lexicon), "around array<string>") \
         .select(F.explode("around").alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter("n >= 3")
