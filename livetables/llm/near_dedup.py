@@ -7,13 +7,15 @@
    values - certainly where the sketches are whole, otherwise but for about one pair in 10^10 - so each set enters only the
    lists of its rarest n - overlap + 1 values. Short lists give pairs. A list of more than ``list_cap`` sets gives, in one step,
    stars around its most common members; then only pairs of sets that are still in different components are left to find, and these
-   come from the full sets (step 4).
+   come from the full sets (step 4). Each list entry carries a bitmap of its set's retained values; two bitmaps bound the overlap from
+   above, so a pair that cannot overlap enough is ruled out by the join that would make it.
 3. Union sketch: the k smallest values of both sketches together, and the share of them that both have, estimate the
    similarity. Pairs that the estimate puts clearly below the threshold go. Exact similarity of the full sets decides on the
    rest.
 4. The sets of long lists are joined once more without any sketch: their shingles are counted among them, each set is listed under
-   the rarest of its shingles (prefix filter: enough of them that a linked pair must meet), and sizes and places in that order bound the
-   overlap before a pair is made. Pairs within one component are left out. Exact similarity decides.
+   the rarest of its shingles (prefix filter: enough of them that a linked pair must meet), and sizes, places in that order and bitmaps of
+   the full sets bound the overlap before a pair is made. Pairs within one component are left out. Exact similarity decides. What a list
+   compares inside the join still grows with the square of those of its members that stay in different components; what it makes does not.
 5. Components of the links give each document the smallest doc_id it can reach.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer than ``shingle`` words the whole sequence is one shingle. Null and empty texts, and
@@ -25,7 +27,9 @@ larger than any other; a group of nulls only has a null component. Columns beyon
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,11 @@ K = 64
 LIST_CAP = 64
 STAR = 3
 MISS = 1e-10
+SKETCH_BITS = 512        # of the bitmap of the retained values
+SET_BITS = 512           # of each of the two bitmaps of a full set
 
-SKETCHES = "doc_id long, row_key string, n long, s1 long, s2 long, sketch array<long>"
+SKETCHES = "doc_id long, row_key string, n long, s1 long, s2 long, sketch array<long>, bits array<long>, over long"
+MAPS = "id long, once array<long>, twice array<long>, more long"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -55,6 +62,30 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, in
     return h, row, b.n
 
 
+def bitmaps(h: np.ndarray, row: np.ndarray, n: int, bits: int, levels: int) -> tuple[list[pa.Array], pa.Array]:
+    """Per row, for each level the places that at least so many values fall on, and how many values are in no level.
+
+    Two sets share at most as many values as the levels have places in common, and the lesser of what is in no level.
+    """
+    at = (h & np.uint64(bits - 1)).astype(np.int64)
+    count = np.bincount(row * bits + at, minlength=n * bits).reshape(n, bits)
+    pack = lambda level: pa.array(np.packbits(count >= level, axis=1, bitorder="little").view(np.int64).ravel())
+    return [list_array(pack(i + 1), np.full(n, bits // 64)) for i in range(levels)], pa.array(np.maximum(count - levels, 0).sum(axis=1))
+
+
+SKETCH_MAP, SET_MAP = [f"bits{i}" for i in range(SKETCH_BITS // 64)], [f"{level}{i}" for level in ("once", "twice") for i in range(SET_BITS // 64)]
+
+
+def _flat(*levels: str, bits: int):
+    """The words of bitmaps as columns of their own: a condition over arrays of them would be too long to be compiled."""
+    return [F.col(c)[i].alias(f"{c}{i}") for c in levels for i in range(bits // 64)]
+
+
+def _in_common(x: str, y: str, words: list[str], over: str):
+    """The most values that two sets can share, by their bitmaps."""
+    return reduce(add, [F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.col(f"{y}.{w}"))) for w in words]) + F.least(f"{x}.{over}", f"{y}.{over}")
+
+
 def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         h, row, n = shingle_sets(column(part, "text"), size)
@@ -65,8 +96,9 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[p
         for seed in (np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ seed), dtype=np.uint64)])
             digest.append(signed(total[first[1:]] - total[first[:-1]]))
+        (bits,), over = bitmaps(h[small], row[small], n, SKETCH_BITS, 1)
         yield pa.record_batch({"doc_id": column(part, "doc_id"), "row_key": column(part, "row_key"), "n": pa.array(count), "s1": pa.array(digest[0]),
-                               "s2": pa.array(digest[1]), "sketch": list_array(pa.array(signed(h[small])), np.minimum(count, k))})
+                               "s2": pa.array(digest[1]), "sketch": list_array(pa.array(signed(h[small])), np.minimum(count, k)), "bits": bits, "over": over})
 
 
 def _least_overlap(k: int, percent: int) -> int:
@@ -124,13 +156,27 @@ def _full_lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         yield pa.record_batch({"id": column(part, "id").take(pa.array(row)), "value": pa.array(signed(h))})
 
 
+def _full_maps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        h, row, n = shingle_sets(column(part, "text"), size)
+        (once, twice), more = bitmaps(h, row, n, SET_BITS, 2)
+        yield pa.record_batch({"id": column(part, "id"), "once": once, "twice": twice, "more": more})
+
+
+def _sketches_fit(x: str, y: str):
+    """The bitmaps of the retained values allow the overlap that a linked pair has."""
+    return _in_common(x, y, SKETCH_MAP, "over") >= F.greatest(f"{x}.need", f"{y}.need")
+
+
 def _pair(x: str, y: str):
     return F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")
 
 
 def _cross_pairs(steps: Steps, texts: DataFrame, sets: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of sets in different components whose full sets may be similar enough (step 4)."""
-    members = sets.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+    maps = texts.mapInArrow(lambda it: _full_maps(it, size), MAPS)
+    members = sets.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").join(maps, "id") \
+        .select("id", "n", *_flat("once", "twice", bits=SET_BITS), "more", F.coalesce("root", "id").alias("root"))
     values = steps.keep(texts.mapInArrow(lambda it: _full_lists(it, size), "id long, value long"), "values")
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("id")
@@ -139,13 +185,14 @@ def _cross_pairs(steps: Steps, texts: DataFrame, sets: DataFrame, roots: DataFra
     placed = shared.join(members, "id").withColumn("place", F.col("place") + F.col("n") - F.col("n_shared"))
     # a linked pair overlaps in ``percent`` of the larger set, and in 2 p / (1 + p) of the smaller one
     prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    lists = steps.keep(prefix.select("value", "id", "n", "root", "place"), "prefixes")
+    lists = steps.keep(prefix.select("value", "id", "n", "root", "place", *SET_MAP, "more"), "prefixes")
     steps.drop(values)
     smaller = lists.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1)
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1     # where this is the first value they share
     apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) \
-        & (100 * F.col("x.n") >= percent * F.col("y.n")) & (most >= need)
+        & (100 * F.col("x.n") >= percent * F.col("y.n")) & (most >= need) \
+        & (_in_common("x", "y", SET_MAP, "more") >= need)
     return smaller.alias("x").join(lists.alias("y"), apart).select(*_pair("x", "y")).distinct()
 
 
@@ -154,13 +201,14 @@ def sketch_table(steps: Steps, docs: DataFrame, shingle: int, k: int) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row_key"), "text")
     rows = docs.mapInArrow(lambda it: sketches(it, shingle, k), SKETCHES)
     g = F.when(F.col("n") > 0, F.concat(F.hex("s1"), F.lpad(F.hex("s2"), 16, "0"), F.lit("."), F.col("n").cast("string")))
-    return steps.keep(rows.select("doc_id", "row_key", "n", g.alias("g"), "sketch"), "sketches")
+    return steps.keep(rows.select("doc_id", "row_key", "n", g.alias("g"), "sketch", "bits", "over"), "sketches")
 
 
-def set_table(steps: Steps, table: DataFrame) -> DataFrame:
-    """One row per class of equal sets, with a number."""
-    one = table.filter("g IS NOT NULL").groupBy("g").agg(F.min(F.struct("row_key", "n", "sketch")).alias("s"))
-    return steps.keep(one.select(F.monotonically_increasing_id().alias("id"), "g", "s.row_key", "s.n", "s.sketch"), "sets")
+def set_table(steps: Steps, table: DataFrame, percent: int, k: int) -> DataFrame:
+    """One row per class of equal sets, with a number; ``need`` is the least overlap of its sketch with one it is linked to."""
+    one = table.filter("g IS NOT NULL").groupBy("g").agg(F.min(F.struct("row_key", "n", "sketch", "bits", "over")).alias("s"))
+    need = F.when(F.col("s.n") <= k * percent // 100, F.ceil(F.col("s.n") * percent / 100)).otherwise(F.lit(_least_overlap(k, percent)))
+    return steps.keep(one.select(F.monotonically_increasing_id().alias("id"), "g", "s.row_key", "s.n", "s.sketch", "s.bits", "s.over", need.alias("need")), "sets")
 
 
 def link_sets(steps: Steps, docs: DataFrame, sets: DataFrame, shingle: int, percent: int, k: int, list_cap: int) -> DataFrame:
@@ -171,23 +219,26 @@ def link_sets(steps: Steps, docs: DataFrame, sets: DataFrame, shingle: int, perc
     shared = values.join(common, "value").withColumn("place", F.row_number().over(own.orderBy("df", "value"))).withColumn("n_shared", F.count("*").over(own))
     kept = F.least(F.col("n"), F.lit(k))
     shared = shared.withColumn("alone", kept - F.col("n_shared"))
-    overlap = F.when(F.col("n") <= k * percent // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(_least_overlap(k, percent)))
-    lists = steps.keep(shared.filter(F.col("place") + F.col("alone") <= kept - overlap + 1).select("value", "id", "n", "alone"), "lists")
+    entries = shared.join(sets.select("id", *_flat("bits", bits=SKETCH_BITS), "over", "need"), "id").filter(F.col("place") + F.col("alone") <= kept - F.col("need") + 1)
+    lists = steps.keep(entries.select("value", "id", "n", "alone", *SKETCH_MAP, "over", "need"), "lists")
     steps.drop(values)
     lengths = lists.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
     short = lists.join(lengths.filter(F.col("members") <= list_cap), "value")
     crowded = steps.keep(lists.join(lengths.filter(F.col("members") > list_cap), "value"), "long-lists")
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & _sizes_fit("x", "y", percent))
+    meet = (F.col("x.value") == F.col("y.value")) & _sizes_fit("x", "y", percent) & _sketches_fit("x", "y")
+    pairs = short.alias("x").join(short.alias("y"), meet & (F.col("x.id") < F.col("y.id")))
     # the members with the fewest values of their own stand in the middle of a long list
-    centre = crowded.groupBy("value").agg(*[F.min(F.struct("alone", F.xxhash64("id", F.lit(i)).alias("h"), "id", "n")).alias(f"c{i}") for i in range(STAR)])
-    centre = centre.select("value", F.explode(F.array_distinct(F.array(*[F.struct(f"c{i}.id", f"c{i}.n") for i in range(STAR)]))).alias("c")).select("value", "c.id", "c.n")
+    entry = ["id", "n", *SKETCH_MAP, "over", "need"]
+    centre = crowded.groupBy("value").agg(*[F.min(F.struct("alone", F.xxhash64("id", F.lit(i)).alias("h"), *entry)).alias(f"c{i}") for i in range(STAR)])
+    centre = centre.select("value", F.explode(F.array_distinct(F.array(*[F.struct(*[f"c{i}.{c}" for c in entry]) for i in range(STAR)]))).alias("c")).select("value", "c.*")
     # a member is compared in a few of its lists, which near copies choose alike; what that leaves open is found from the full sets
     place = lambda *order: F.row_number().over(own.orderBy(*order, "value"))
     chosen = crowded.withColumn("by_value", place()).withColumn("by_size", place("members")).withColumn("from_largest", place(F.desc("members"))) \
         .filter("by_value <= 2 OR by_size = 1 OR from_largest = 1")
-    star = chosen.alias("x").join(centre.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.id") != F.col("y.id")) & _sizes_fit("x", "y", percent))
+    star = chosen.alias("x").join(centre.alias("y"), meet & (F.col("x.id") != F.col("y.id")))
     candidates = steps.keep(pairs.select(*_pair("x", "y")).unionByName(star.select(*_pair("x", "y"))).distinct(), "candidates")
     pairs = steps.keep(_estimated(candidates, sets, k, percent), "pairs")
+    steps.drop(lists, candidates)
     crowd = steps.keep(crowded.select("id").distinct(), "crowd")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd).distinct()
     wanted = steps.keep(sets.join(wanted, "id").select("id", "row_key"), "wanted")
@@ -196,18 +247,21 @@ def link_sets(steps: Steps, docs: DataFrame, sets: DataFrame, shingle: int, perc
     texts = steps.keep(texts, "texts")
     links = steps.keep(_verified(pairs, texts, shingle, percent), "links")
     roots = components(steps, links)
-    if crowd.isEmpty():
-        return roots
-    more = _cross_pairs(steps, texts.join(crowd, "id"), sets.join(crowd, "id"), roots, shingle, percent)
-    more = steps.keep(_verified(steps.keep(more, "pairs"), texts, shingle, percent), "links")
-    return components(steps, links.unionByName(more))
+    steps.drop(pairs, crowded, wanted)
+    if not crowd.isEmpty():
+        cross = steps.keep(_cross_pairs(steps, texts.join(crowd, "id"), sets.join(crowd, "id"), roots, shingle, percent), "pairs")
+        more = steps.keep(_verified(cross, texts, shingle, percent), "links")
+        roots = components(steps, links.unionByName(more))
+        steps.drop(cross, more)
+    steps.drop(crowd, texts, links)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K, list_cap: int = LIST_CAP) -> DataFrame:
     """Per row of (doc_id, text): n_shingles, component_id, kept (doc_id = component_id), row_key, and ``group_id``, the number of the group."""
     steps = Steps(docs.sparkSession, "near-dedup")
     table = sketch_table(steps, docs, shingle, k)
-    sets = set_table(steps, table)
+    sets = set_table(steps, table, percent, k)
     roots = link_sets(steps, docs, sets, shingle, percent, k, list_cap)
     group = steps.keep(sets.select("id", F.col("g").alias("_g")).join(roots, F.col("id") == F.col("node"), "left")
                        .select("_g", F.coalesce("root", "id").alias("group_id")), "groups")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from livetables.llm import license_scan, pii, toxicity
+from livetables.llm import license_scan, near_dedup, pii, toxicity
 from livetables.llm.base import ready
 from tests.llm.test_operators import docs_of, prose
 
@@ -53,6 +53,44 @@ def test_toxicity_learns_beside_many_near_copies(spark):
     assert {f"zorgle {w}" for w in other} | {f"{w} zorgle" for w in other[:-1]} <= learned.exceptions
 
 
+def test_toxicity_without_a_significant_term(spark):
+    """Labels of both kinds, but too few for any term to say something: the fixed lexicon decides, and a doc_id with many texts counts once."""
+    rnd = random.Random(5)
+    records = [(i, prose(rnd, 40) + (" you idiot" if i % 10 == 0 else ""), "s") for i in range(20)] + [(1, prose(rnd, 40), "s") for _ in range(30)]
+    docs = docs_of(spark, records)
+    labels = spark.createDataFrame([(i, None, int(i % 10 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
+    learned = toxicity.learn(docs, labels)
+    assert set(learned.weights) == {f" {t} " for t in toxicity.BASE_TERMS}
+    assert toxicity.score(docs, learned).count() == 50 == toxicity.without_toxic(docs, learned).count() + docs.join(toxicity.score(docs, learned).filter("score >= 0.7"), "doc_id", "left_semi").count()
+    assert toxicity.labelled_sample(docs, labels, "toxic", 1000).count() == labels.filter(~toxicity.held_out()).count()
+
+
+def test_near_dedup_makes_pairs_in_proportion(spark, monkeypatch):
+    """Texts of ten slots with ten variants each share long lists everywhere, but no two are similar: the joins must not make their pairs."""
+    rnd = random.Random(11)
+    variants = [[prose(rnd, 12, 10**6) for _ in range(10)] for _ in range(10)]
+    made = []
+    keep = near_dedup.Steps.keep
+
+    def counted(self, df, label):
+        out = keep(self, df, label)
+        if label in ("candidates", "pairs"):
+            made[-1] += out.count()
+        return out
+    monkeypatch.setattr(near_dedup.Steps, "keep", counted)
+    for n in (400, 1600):
+        seen = set()
+        while len(seen) < n:
+            t = tuple(rnd.randrange(10) for _ in range(10))
+            if all(sum(x == y for x, y in zip(t, u)) < 8 for u in seen):
+                seen.add(t)
+        docs = docs_of(spark, [(i, " ".join(variants[k][v] for k, v in enumerate(t)), "s") for i, t in enumerate(sorted(seen))])
+        made.append(0)
+        got = near_dedup.near_duplicates(docs, shingle=4, list_cap=8)
+        assert got.filter("kept").count() == n
+    assert made[1] <= 8 * max(made[0], 200)
+
+
 def test_toxicity_cover_is_brute_force():
     rnd = random.Random(1)
     for _ in range(200):
