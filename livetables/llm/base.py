@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 import livetables
 from livetables.session import configure, workdir
@@ -77,16 +78,24 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``members``, and a few others: a Bloom filter before an exact join, so that a large row that finds no partner is not
-    shuffled. The filter has a fixed size (``FILTER_BITS``); with more members than it can tell apart it lets more rows pass, never fewer.
-    """
-    hashes = lambda c: [F.xxhash64(c, F.lit(i)) for i in range(3)]
-    bit = members.select(F.explode(F.array(*hashes(F.col(key)))).alias("h")).select(F.pmod("h", F.lit(FILTER_BITS)).alias("b"))
+def _bloom(key: str, members: DataFrame) -> np.ndarray:
+    """The words of a Bloom filter of ``FILTER_BITS`` bits."""
+    bit = members.select(F.explode(F.array(*_bloom_hashes(key))).alias("h")).select(F.pmod("h", F.lit(FILTER_BITS)).alias("b"))
     words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).toArrow()
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     filled[words["w"].to_numpy()] = words["v"].to_numpy()
-    shared, columns = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64)), df.columns
+    return filled.view(np.uint64)
+
+
+def _bloom_hashes(key: str):
+    return [F.xxhash64(F.col(key), F.lit(i)) for i in range(3)]
+
+
+def marked_members(df: DataFrame, key: str, members: DataFrame, mark: str) -> DataFrame:
+    """``df`` with a flag ``mark``: the row's ``key`` is in ``members``, or one of a few others. The Bloom filter has a fixed size
+    (``FILTER_BITS``); with more members than it can tell apart it flags more rows, never fewer.
+    """
+    shared, columns = df.sparkSession.sparkContext.broadcast(_bloom(key, members)), df.columns
 
     def run(it):
         for batch in it:
@@ -94,8 +103,16 @@ def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
             for i in range(3):
                 b = column(batch, f"_h{i}").to_numpy() % FILTER_BITS
                 may &= (shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(columns).filter(pa.array(may))
-    return df.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hashes(F.col(key)))]).mapInArrow(run, df.schema)
+            yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, pa.array(may)], [*columns, mark])
+    return df.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(_bloom_hashes(key))]).mapInArrow(run, StructType([*df.schema, StructField(mark, BooleanType())]))
+
+
+def probable_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``members``, and a few others: a Bloom filter before an exact join, so that a large row that finds no partner is not
+    shuffled.
+    """
+    mark = free_name(df.columns, "may")
+    return marked_members(df, key, members, mark).filter(F.col(mark)).drop(mark)
 
 
 def free_name(columns: list[str], name: str) -> str:

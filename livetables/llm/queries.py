@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetables.llm import decontamination, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules, repeated_passages, toxicity, url_filter
+from livetables.llm import (decontamination, dual_tree_search, license_scan, mixing, near_dedup, pii, quality_classifier, quality_rules,
+                            repeated_passages, source_divergence, substring_dedup, toxicity, url_filter)
 from livetables.llm.base import held_out, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +194,74 @@ RULES_SQL = fr"""
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf, "documents")), "v2")
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "kept")
+
+
+SEARCH_SQL = fr"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM documents),
+    sized AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+    totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+    tfs AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+    wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{ALNUM}')) AS term FROM benchmark),
+    dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM dfs, totals),
+    scored AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+        FROM wanted JOIN tfs USING (term) JOIN weights USING (term) JOIN sized USING (doc_id), totals GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return dual_tree_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+DIVERGENCE_SQL = fr"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    occurrences AS (SELECT doc_id, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS total FROM occurrences GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+    cells AS (SELECT lang, source, term, CAST(count(*) AS BIGINT) AS n FROM occurrences JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    groups_ AS (SELECT DISTINCT lang, source FROM d),
+    langs AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(total) AS BIGINT) AS n_lang FROM kept GROUP BY lang),
+    sums AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n_group FROM cells GROUP BY lang, source),
+    grid AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(s.n_group, 0) + 2 * l.v) AS p,
+               1 + (1000000000 * (k.total + 2)) // (l.n_lang + 2 * l.v) AS q
+        FROM groups_ g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+        LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    sums_of_pairs AS (
+        SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+        FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums_of_pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM grid WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf, "documents"))
+
+
+SUBSTRING_SQL = fr"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+    starts AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+    smallest AS (SELECT g, min(doc_id) AS least FROM starts GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, i + j AS i FROM starts JOIN smallest USING (g), unnest(range(0, 50)) AS t(j) WHERE doc_id > least),
+    words AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+
+@query("op13_substring_dedup", SUBSTRING_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
