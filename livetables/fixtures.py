@@ -18,10 +18,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = load(spark, sf_dir, "customer")
     idle = base.filter("c_custkey % 100 = 0").withColumn("c_custkey", -1 - F.col("c_custkey"))
     cid = F.col("c_custkey")
-    tier = F.when(cid % 10 == 0, "platinum").when(cid % 4 == 0, "gold").otherwise("standard")
+    tier = F.when(F.col("c_acctbal") > 8000, "platinum").when(F.col("c_acctbal") > 4000, "gold").otherwise("standard")
     return base.unionByName(idle).select(
         cid.alias("customer_id"),
-        F.concat(F.lit("customer"), cid.cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@mail.test")).alias("email"),
         F.col("c_name").alias("first_name"),
         F.col("c_mktsegment").alias("last_name"),
         F.col("c_nationkey").cast("string").alias("country"),
@@ -55,9 +55,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("p_partkey")
     return load(spark, sf_dir, "part").select(
         pid.alias("product_id"),
-        F.lit("main").alias("warehouse"),
-        (20 + (pid * 13) % 200).alias("on_hand"),
-        ((pid * 7) % 60).alias("reserved"),
+        F.col("p_brand").alias("warehouse"),
+        (F.col("p_size") * 3).cast("long").alias("on_hand"),
+        (pid % 23).alias("reserved"),
+        (F.make_timestamp_ntz(*map(F.lit, (2024, 3, 1, 0, 0, 0))) + F.make_dt_interval(F.lit(0), F.lit(0), (pid % 10000).cast("int"))).alias("updated_at"),
     )
 
 
@@ -168,6 +169,7 @@ def inventory_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
         live(F.col("warehouse")).alias("warehouse"),
         live(F.col("on_hand")).alias("on_hand"),
         live(F.when(F.col("rec_no") == 0, F.lit(0).cast("long")).otherwise(F.col("reserved"))).alias("reserved"),
+        live(F.when(F.col("rec_no") == 0, F.col("updated_at") - F.make_dt_interval(F.lit(1))).otherwise(F.col("updated_at"))).alias("updated_at"),
         F.lit(0).alias("_partition"),
         (F.col("rec_no") * F.lit(OFFSET_STEP) + F.col("product_id")).alias("_offset"),
         F.make_timestamp_ntz(F.lit(2024), F.lit(1), (F.col("rec_no") + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)).alias("_timestamp"),
@@ -247,3 +249,13 @@ def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 0, framed_key).otherwise(plain_key).alias("key"),
         F.unhex(F.concat(head, F.hex(F.encode(body, "UTF-8")))).alias("value"),
     )
+
+
+def framed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw records keyed by user: both sides framed, two versions of the key and three of the value; an error event is a tombstone."""
+    head = lambda i: F.concat(F.lit("00"), F.lpad(F.hex(i), 8, "0"))
+    frame = lambda i, body: F.unhex(F.concat(head(i), F.hex(F.encode(body, "UTF-8"))))
+    value = frame(F.col("event_id") % 3 + 1, F.to_json(F.struct("event_id", "user_id", "event_type")))
+    return clicks(spark, sf_dir).select(
+        frame(F.col("event_id") % 2 + 11, F.to_json(F.struct("user_id"))).alias("key"),
+        F.when(F.col("event_type") != "error", value).alias("value"), "_partition", "_offset", "_timestamp")

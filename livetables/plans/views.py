@@ -58,7 +58,7 @@ def inventory_live(products: DataFrame, inventory: DataFrame) -> DataFrame:
     available = F.col("on_hand") - F.col("reserved")
     return products.join(inventory, "product_id", "inner").select(
         "product_id", "sku", "name", "category", F.col("price").cast("double").alias("price"),
-        "on_hand", "reserved", available.alias("available"), (available <= LOW_STOCK).alias("low_stock"))
+        "on_hand", "reserved", available.alias("available"), (available <= LOW_STOCK).alias("low_stock"), "updated_at")
 
 
 def keyed_by_text(view: DataFrame, key: str) -> DataFrame:

@@ -8,11 +8,14 @@ from livetables import fixtures as fx
 from livetables.functions.casts import flatten_nested, logical_cast
 from livetables.operators import changelog as cl
 from livetables.operators.store import TableStore
+from livetables.operators.tables import KeyedTable
 from livetables.plans.catalog import create_view
 from livetables.plans.views import customer_360
 from livetables.registry.core import oracle, query
+from livetables.registry.writes import by_time
 from livetables.session import workdir
 from livetables.sources import topics
+from livetables.sources.records import keyed_changes
 from livetables.sources.wire import decode_topic, split_frame
 
 ORDER_COLUMNS = "order_id, customer_id, status, CAST(total AS DOUBLE) AS total, created_at"
@@ -69,11 +72,21 @@ def initial_snapshot_then_changes(spark, d):
 
 
 @query("topic_projection", oracle("orders_t", body="""
-    SELECT order_id AS key_order_id, customer_id AS key_customer_id, customer_id, status, CAST(total AS DOUBLE) AS total FROM orders_t"""))
+    SELECT 'record' AS topic, 'key_order_id,key_customer_id' AS not_null, order_id AS key_order_id, customer_id AS key_customer_id, NULL AS raw_key,
+           CASE WHEN order_id % 10 > 0 THEN customer_id END AS customer_id, CASE WHEN order_id % 10 > 0 THEN status END AS status,
+           CASE WHEN order_id % 10 > 0 THEN CAST(total AS DOUBLE) END AS total, order_id % 10 = 0 AS _deleted FROM orders_t
+    UNION ALL SELECT 'raw', 'key', NULL, NULL, lpad(hex(order_id), 16, '0'), CASE WHEN order_id % 10 > 0 THEN customer_id END,
+           CASE WHEN order_id % 10 > 0 THEN status END, CASE WHEN order_id % 10 > 0 THEN CAST(total AS DOUBLE) END, order_id % 10 = 0 FROM orders_t"""))
 def topic_projection(spark, d):
-    raw = fx.orders(spark, d).select(F.struct("order_id", "customer_id").alias("key"),
-                                     F.struct("customer_id", "status", F.col("total").cast("double").alias("total")).alias("value"))
-    return topics.project_topic(raw, compacted=True)
+    """Two compacted topics: with a record key whose names clash with the value's, and with a number as key, which stays bytes. Every tenth record is a tombstone."""
+    value = F.struct("customer_id", "status", F.col("total").cast("double").alias("total"))
+    live = F.when(F.col("order_id") % 10 > 0, value).alias("value")
+    orders = fx.orders(spark, d)
+    record = orders.select(F.struct("order_id", "customer_id").alias("key"), live)
+    raw = orders.select(F.col("order_id").alias("key"), live)
+    columns = lambda df, name: topics.project_topic(df, compacted=True, deletes=True).withColumns(
+        {"topic": F.lit(name), "not_null": F.lit(",".join(topics.infer_spec(df.schema, compacted=True).not_null))})
+    return columns(record, "record").unionByName(columns(raw, "raw").withColumn("raw_key", F.hex("key")).drop("key"), allowMissingColumns=True)
 
 
 @query("wire_header", """
@@ -91,13 +104,34 @@ def wire_header(spark, d):
         F.decode("_body", "UTF-8").alias("value_text"))
 
 
-@query("decode_by_schema_id", """
+KEY_SCHEMAS = {11: "user_id long", 12: "user_id long"}
+VALUE_SCHEMAS = {1: "event_id long, user_id long", 2: "event_id long, user_id long, event_type string", 3: "event_id long, user_id long, event_type string"}
+
+
+@query("decode_by_schema_id", oracle("clicks", body="""
+    SELECT user_id, CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+           CASE WHEN event_type <> 'error' AND event_id % 3 > 0 THEN event_type END AS event_type, _partition, _offset, _timestamp, event_type = 'error' AS _deleted FROM clicks"""))
+def decode_by_schema_id(spark, d):
+    """Raw records as keyed changes: framed keys, three versions of the value, tombstones."""
+    return keyed_changes(fx.framed_changes(spark, d), VALUE_SCHEMAS, KEY_SCHEMAS)
+
+
+@query("records_to_table", oracle("user_state", body="""
+    SELECT user_id, event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, _timestamp FROM user_state"""))
+def records_to_table(spark, d):
+    """The same records, merged into a table in three batches, the second one twice."""
+    table = KeyedTable(TableStore(spark, workdir(spark, "records")), "users", ["user_id"])
+    first, second, third = by_time(fx.framed_changes(spark, d))
+    for batch in (first, second, second, third):
+        table.merge(keyed_changes(batch, VALUE_SCHEMAS, KEY_SCHEMAS))
+    return table.read()
+
+
+@query("decode_versions", """
     SELECT event_id, CAST(event_id % 3 + 1 AS INTEGER) AS _schema_id, user_id,
            CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type FROM events""")
-def decode_by_schema_id(spark, d):
-    schemas = {1: "event_id long, user_id long", 2: "event_id long, user_id long, event_type string",
-               3: "event_id long, user_id long, event_type string"}
-    return decode_topic(split_frame(fx.framed(spark, d), "value").drop("key", "value"), schemas)
+def decode_versions(spark, d):
+    return decode_topic(split_frame(fx.framed(spark, d), "value").drop("key", "value"), VALUE_SCHEMAS)
 
 
 @query("logical_type_cast", oracle("orders_t", body="""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructType
+from pyspark.sql.types import BinaryType, DataType, IntegralType, StringType, StructType
 
 from livetables.operators.layout import APPEND, UPSERT, LayoutError
 
@@ -59,7 +59,7 @@ def infer_spec(schema: StructType, compacted: bool) -> TopicSpec:
 
     A change envelope keeps the columns of its after image and retracts. A record key gives
     not-null key columns, all prefixed ``key_`` if any name is also a value column; another key
-    is one ``key`` column.
+    is one ``key`` column, not null in a compacted topic.
     """
     value = schema["value"].dataType
     if not isinstance(value, StructType):
@@ -72,11 +72,24 @@ def infer_spec(schema: StructType, compacted: bool) -> TopicSpec:
     prefix = "key_" if set(names) & set(value.names) else ""
     keys = tuple(prefix + n for n in names)
     mode = UPSERT if compacted and keys else APPEND
-    return TopicSpec(keys, tuple(value.names), mode, prefix, keys if record_key else ())
+    return TopicSpec(keys, tuple(value.names), mode, prefix, keys if record_key or compacted else ())
 
 
-def project_topic(df: DataFrame, compacted: bool) -> DataFrame:
-    """Key and value columns of a raw (key, value) topic, named by ``infer_spec``."""
+def key_bytes(key: Column, kind: DataType) -> Column:
+    """A key that is neither a record nor text, as bytes: big-endian for whole numbers, else the UTF-8 bytes of its text."""
+    if isinstance(kind, BinaryType):
+        return key
+    if isinstance(kind, IntegralType):
+        digits = 2 * {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}[kind.simpleString()]
+        return F.unhex(F.right(F.lpad(F.hex(key.cast("long")), 16, "0"), F.lit(digits)))
+    return F.encode(key.cast("string"), "UTF-8")
+
+
+def project_topic(df: DataFrame, compacted: bool, deletes: bool = False) -> DataFrame:
+    """Key and value columns of a raw (key, value) topic, named by ``infer_spec``.
+
+    A key that is neither a record nor text stays bytes. With ``deletes`` a compacted topic also has ``_deleted``: its null values are tombstones.
+    """
     spec = infer_spec(df.schema, compacted)
     system = [c for c in df.columns if c.startswith("_")]
     if spec.mode == RETRACT:
@@ -85,10 +98,11 @@ def project_topic(df: DataFrame, compacted: bool) -> DataFrame:
     if isinstance(key, StructType):
         keys = [F.col(f"key.{n}").alias(spec.key_prefix + n) for n in key.names]
     elif key is not None:
-        keys = [F.col("key").cast(key if isinstance(key, (StringType, BinaryType)) else "string").alias(spec.keys[0])]
+        keys = [(F.col("key") if isinstance(key, StringType) else key_bytes(F.col("key"), key)).alias(spec.keys[0])]
     else:
         keys = []
-    return df.select(*keys, "value.*", *system)
+    gone = [F.col("value").isNull().alias("_deleted")] if deletes and spec.mode == UPSERT else []
+    return df.select(*keys, "value.*", *system, *gone)
 
 
 def list_tables(topics: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 HEADER_BYTES = 5  # fixed value: magic byte 0x00 and a big-endian int
 
@@ -34,6 +34,31 @@ def split_frame(df: DataFrame, column: str, is_key: bool = False) -> DataFrame:
     return df.withColumns({"_schema_id": ident, "_body": body, "_framed": framed})
 
 
+def body_types(df: DataFrame, schemas: dict[int, DataType | str], fmt: str = "json") -> dict[int, DataType]:
+    """The type that each schema's bodies have in Spark."""
+    if fmt == "avro":
+        from pyspark.sql.avro.functions import from_avro
+        empty = F.lit(None).cast("binary")
+        return {i: df.select(from_avro(empty, s).alias("v")).schema["v"].dataType for i, s in schemas.items()}
+    return {i: s if isinstance(s, DataType) else DataType.fromDDL(s) for i, s in schemas.items()}
+
+
+def parsed_bodies(df: DataFrame, name: str, types: dict[int, DataType], schemas: dict[int, DataType | str], fmt: str = "json") -> DataFrame:
+    """Add ``<name>_<id>`` per schema: the body ``<name>_body`` of the rows whose ``<name>_id`` it is, null elsewhere."""
+    body, ident = F.col(f"{name}_body"), F.col(f"{name}_id")
+
+    def parse(i: int):
+        if fmt == "avro":
+            from pyspark.sql.avro.functions import from_avro
+            return from_avro(body, schemas[i])
+        text = F.decode(body, "UTF-8")
+        if isinstance(types[i], StructType):
+            return F.from_json(text, types[i])
+        # a JSON reader wants a record: a body of another type becomes the field of one
+        return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), StructType([StructField("v", types[i])]))["v"]
+    return df.withColumns({f"{name}_{i}": F.when(ident == i, parse(i)) for i in types})
+
+
 def decode_topic(df: DataFrame, schemas: dict[int, StructType | str], fmt: str = "json") -> DataFrame:
     """Decode ``_body`` by ``_schema_id``; columns a version lacks are null.
 
@@ -42,19 +67,13 @@ def decode_topic(df: DataFrame, schemas: dict[int, StructType | str], fmt: str =
     data: each row takes the branch of its id, and an unknown id fails the query.
     """
     ident = F.col("_schema_id")
-    if fmt == "avro":
-        from pyspark.sql.avro.functions import from_avro
-        parsed = {i: from_avro(F.col("_body"), s) for i, s in schemas.items()}
-        types = {i: df.select(c.alias("v")).schema["v"].dataType for i, c in parsed.items()}
-    else:
-        types = {i: s if isinstance(s, StructType) else StructType.fromDDL(s) for i, s in schemas.items()}
-        parsed = {i: F.from_json(F.decode("_body", "UTF-8"), t) for i, t in types.items()}
+    types = body_types(df, schemas, fmt)
     fields: dict[str, object] = {}
     for t in types.values():
         for f in t.fields:
             if fields.setdefault(f.name, f.dataType) != f.dataType:
                 raise WireFormatError(f"field {f.name} has several types")
-    decoded = df.withColumns({f"_value_{i}": F.when(ident == i, parsed[i]) for i in schemas})
+    decoded = parsed_bodies(df.withColumns({"_value_id": ident, "_value_body": F.col("_body")}), "_value", types, schemas, fmt)
     unknown = F.when(ident.isNotNull() & ~ident.isin(*schemas), F.raise_error(F.concat(F.lit("unknown schema id "), ident.cast("string"))).cast("int"))
     decoded = decoded.withColumn("_schema_id", F.coalesce(unknown, ident))
 

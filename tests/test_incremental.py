@@ -116,9 +116,9 @@ def test_inventory_view_equals_batch(spark, store):
     import datetime as dt
     t = dt.datetime(2026, 1, 1)
     P = "product_id long, sku string, name string, category string, price decimal(18,2), _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean"
-    I = "product_id long, warehouse string, on_hand long, reserved long, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean"
+    I = "product_id long, warehouse string, on_hand long, reserved long, updated_at timestamp_ntz, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean"
     products = [(rnd.randrange(12), *((None,) * 4 if (gone := rnd.random() < 0.3) else ("s", f"n{i}", "c", rnd.randrange(9))), 0, i, t, gone) for i in range(40)]
-    stock = [(rnd.randrange(12), *((None,) * 3 if (gone := rnd.random() < 0.3) else ("main", rnd.randrange(20), rnd.randrange(20))), 0, i, t, gone) for i in range(40)]
+    stock = [(rnd.randrange(12), *((None,) * 4 if (gone := rnd.random() < 0.3) else ("main", rnd.randrange(20), rnd.randrange(20), t)), 0, i, t, gone) for i in range(40)]
     from decimal import Decimal
     products = [tuple(Decimal(v) if j == 4 and v is not None else v for j, v in enumerate(r)) for r in products]
     p, s = spark.createDataFrame(products, P), spark.createDataFrame(stock, I)
@@ -144,8 +144,8 @@ def test_rows_with_null_columns_stay_in_the_views(spark, store):
     stock = InventoryView(TableStore(spark, workdir(spark, "test")))
     products = spark.createDataFrame([(1, "s", "n", "c", 1.0, 0, 0, None, False)],
                                      "product_id long, sku string, name string, category string, price double, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean")
-    inventory = spark.createDataFrame([(1, "main", None, 3, 0, 0, None, False)],
-                                      "product_id long, warehouse string, on_hand long, reserved long, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean")
+    inventory = spark.createDataFrame([(1, "main", None, 3, None, 0, 0, None, False)],
+                                      "product_id long, warehouse string, on_hand long, reserved long, updated_at timestamp_ntz, _partition int, _offset long, _timestamp timestamp_ntz, _deleted boolean")
     stock.refresh(products, inventory)
     assert rows(stock.view.read(), "product_id", "available") == [(1, None)]
 
