@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from livetables.operators import changelog
+from livetables.operators.lookup import Scope
+from livetables.operators.pruning import keys_reached
 from livetables.operators.layout import (APPEND, UPSERT, Layout, LayoutError, conform, infer_mode,
                                          merge_layout)
 from livetables.operators.store import TableStore
@@ -29,6 +31,7 @@ FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base a
 FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
 FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
 FEW_BUCKETS = 16         # a batch of keys touches them all
+JOIN_VERSIONS = 8        # so many small versions of a log become one
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
 BUCKET = StructField("_bucket", IntegerType())
@@ -64,9 +67,20 @@ class _Table:
         return (snapshot or self.store.snapshot())["tables"].get(self.name)
 
     def status(self) -> str:
+        """``FAILED`` until ``resume``, else whether data has arrived."""
+        if self.store.mark(self.name) is not None:
+            return "FAILED"
         state = self.state()
         return "WAITING_FOR_DATA" if state is None or not state["files"] else "ACTIVE"
 
+    def failure(self) -> str | None:
+        """Why the table is ``FAILED``."""
+        return self.store.mark(self.name)
+
+    def resume(self) -> None:
+        """Take part again after a failure. The next batch starts at the table's own offsets."""
+        self.store.set_mark(self.name, None)
+
     def offsets(self, snapshot: dict | None = None) -> dict[str, int]:
         return (self.state(snapshot) or {}).get("offsets", {})
 
@@ -189,15 +203,31 @@ class KeyedTable(_Table):
 
     def get(self, *key) -> DataFrame | None:
         """Point lookup: reads the one bucket the key hashes to."""
-        state = self.state()
+        snapshot = self.store.snapshot()
+        state = self.state(snapshot)
         if state is None:
             return None
-        layout = Layout.from_json(state["layout"])
-        literal = {k: F.lit(v).cast(layout.schema[k].dataType) for k, v in zip(self.keys, key, strict=True)}
-        n = state["buckets"]
-        bucket = self.spark.range(1).select(bucket_of([literal[k] for k in state["bucket_by"]], n)).first()[0]
-        rows = self.read(buckets=[bucket])
-        return rows.filter(reduce(lambda a, b: a & b, [F.col(k) == literal[k] for k in self.keys]))
+        schema = Layout.from_json(state["layout"]).schema
+        value = dict(zip(self.keys, key, strict=True))
+        rows = self.read(snapshot, self._buckets_of(state, [tuple(value[k] for k in state["bucket_by"])]))
+        return rows.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v).cast(schema[k].dataType) for k, v in value.items()]))
+
+    def _buckets_of(self, state: dict, keys: Sequence[tuple]) -> list[int]:
+        """The buckets of some values of the ``bucket_by`` columns. The relation is local and the values are constants, so no job runs."""
+        schema = Layout.from_json(state["layout"]).schema
+        hashed = lambda key: bucket_of([F.lit(v).cast(schema[c].dataType) for c, v in zip(state["bucket_by"], key)], state["buckets"])
+        one = self.spark.sql("SELECT * FROM VALUES (0) AS t(x)")
+        return sorted(set(one.select(F.array(*map(hashed, keys))).collect()[0][0])) if keys else []
+
+    def matching(self, where: tuple | None, snapshot: dict | None = None, table: str = "", alias: str | None = None) -> DataFrame | None:
+        """The rows among which those that meet a lookup condition are: of the buckets of the keys it names, or all rows if it leaves the keys open."""
+        snapshot = snapshot or self.store.snapshot()
+        state = self.state(snapshot)
+        if state is None:
+            return None
+        scope = Scope(Layout.from_json(state["layout"]).schema, table or self.name, alias)
+        keys = keys_reached(where, scope, state["bucket_by"])
+        return self.read(snapshot, None if keys is None else self._buckets_of(state, keys))
 
     def read_keys(self, keys_df: DataFrame, snapshot: dict | None = None, on: Sequence[str] | None = None) -> DataFrame | None:
         """Rows of many keys: only their buckets are read, then a semi-join. ``on`` defaults to the key
@@ -402,23 +432,45 @@ class LogTable(_Table):
         incoming = Layout((), StructType([StructField(f.name, f.dataType, True, f.metadata) for f in fresh.schema]))
         state = self.state(snapshot)
         if state is None:
-            state, layout = {"mode": APPEND, "files": {"0": []}}, incoming
+            state, layout = {"mode": APPEND, "files": {"0": []}, "sizes": []}, incoming
         else:
             layout = merge_layout(Layout.from_json(state["layout"]), incoming)
         version = self.store.new_version(snapshot)
-        conform(fresh, layout.schema).write.parquet(f"{self.store.data_path(self.name)}/_v={version}")
-        files = {"0": [*state["files"].get("0", []), version]}
-        return self._progressed({**state, "layout": layout.to_json(), "files": files}, staged.offsets, staged.record_ts)
+        path = f"{self.store.data_path(self.name)}/_v={version}"
+        conform(fresh, layout.schema).write.parquet(path)
+        versions, sizes = [*state["files"].get("0", []), version], [*state.get("sizes", []), self.store.bytes_of(path)]
+        state = {**state, "layout": layout.to_json(), "files": {"0": versions}, "sizes": sizes}
+        first = _small_tail(sizes, JOIN_VERSIONS)
+        return self._progressed(state if first is None else self._joined(state, first, snapshot), staged.offsets, staged.record_ts)
+
+    def _joined(self, state: dict, first: int, snapshot: dict) -> dict:
+        """The state with the versions from ``first`` on as one."""
+        schema = Layout.from_json(state["layout"]).schema
+        versions, root = state["files"]["0"], self.store.data_path(self.name)
+        version = self.store.new_version(snapshot)
+        tail = self._scan(schema, [f"{root}/_v={v}" for v in versions[first:]])
+        tail.select(*schema.names).hint("rebalance").write.parquet(f"{root}/_v={version}")
+        return {**state, "files": {"0": [*versions[:first], version]}, "sizes": [*state["sizes"][:first], self.store.bytes_of(f"{root}/_v={version}")]}
 
     def compact(self) -> dict:
-        """Rewrite many small versions as one."""
+        """Rewrite all versions as one. An append joins the newest small ones by itself."""
         snapshot = self.store.snapshot()
         state = self.state(snapshot)
         if state is None or len(state["files"].get("0", [])) < 2:
             return snapshot
-        version = self.store.new_version(snapshot)
-        self.read(snapshot).hint("rebalance").write.parquet(f"{self.store.data_path(self.name)}/_v={version}")
-        return self.store.commit(snapshot, {self.name: {**state, "files": {"0": [version]}}})
+        return self.store.commit(snapshot, {self.name: self._joined(state, 0, snapshot)})
+
+
+def _small_tail(sizes: Sequence[int], least: int) -> int | None:
+    """Where the newest versions begin that are worth joining: ``least`` of them or more, none larger than all newer ones together.
+
+    A row is rewritten only with about as many bytes of newer rows, so a log of n commits has some ``least`` * log(n) versions, and each row is rewritten log(n) times.
+    """
+    total, first = 0, len(sizes)
+    while first > 0 and (total == 0 or sizes[first - 1] <= total):
+        first -= 1
+        total += sizes[first]
+    return first if len(sizes) - first >= least else None
 
 
 def open_table(store: TableStore, name: str, keys: Sequence[str] = (), mode: str | None = None, compacted: bool = False,

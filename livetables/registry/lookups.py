@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from livetables import fixtures as fx
 from livetables.operators.lookup import Agg, Col, Lit, keyed_membership, lookup, scan
+from livetables.operators.serving import AuditSink, Caller, serve
 from livetables.operators.store import TableStore
 from livetables.operators.tables import KeyedTable
 from livetables.plans import reports
@@ -62,7 +63,7 @@ def cmp_literal(spark, d):
     return out
 
 
-_where("cmp_reversed", ("and", ("<", Lit(50), Col("user_id")), (">=", 40, Col("score"))), "50 < user_id AND 40 >= score")
+_where("cmp_reversed", ("and", ("<", Lit(5), Col("user_id")), (">=", 40, Col("score"))), "5 < user_id AND 40 >= score")
 _where("cmp_columns", ("or", ("<", "user_id", Col("score")), ("=", Col("event_id"), Col("_offset"))), "user_id < score OR event_id = _offset")
 _where("between", ("or", ("between", "score", 10, 20), ("not_between", "value", 1, 90)), "score BETWEEN 10 AND 20 OR value NOT BETWEEN 1 AND 90")
 _where("in_list", ("and", ("in", "event_type", ["click", "view"]), ("not_in", "score", [1, 2, 3])),
@@ -91,8 +92,19 @@ def orders_table(spark, d, buckets: int = 6) -> KeyedTable:
 @query("point_lookup", oracle("orders_cdc", body="""
     SELECT order_id, customer_id, status, CAST(total AS DOUBLE) AS total FROM orders_cdc WHERE order_id = 77 AND op = 'u'"""))
 def point_lookup(spark, d):
-    rows = orders_table(spark, d).get(77)
-    return lookup(rows, ["order_id", "customer_id", "status", "total"], ("=", "order_id", 77)).withColumn("total", F.col("total").cast("double"))
+    """As a caller asks for it; only the key's bucket is read."""
+    with AuditSink(spark, workdir(spark, "audit")) as audit:
+        found = serve(spark, Caller("shop", ["engineer"]), "orders", {"orders": orders_table(spark, d)}, fx.grants(spark, d), audit,
+                      select=["order_id", "customer_id", "status", "total"], where=("and", ("=", "order_id", 77), ("not", ("is_null", "status"))))
+    return spark.createDataFrame(found.rows, "order_id long, customer_id long, status string, total decimal(18,2)").withColumn("total", F.col("total").cast("double"))
+
+
+@query("keys_lookup", oracle("orders_t", body="""
+    SELECT order_id, customer_id, status FROM orders_t WHERE order_id IN (1, 2, 3, 33, 69, 71, 77, 99) AND order_id % 10 <> 0"""))
+def keys_lookup(spark, d):
+    """A condition that names several keys, by ``in``, ``or`` and equality: the rows come from their buckets."""
+    where = ("or", ("in", "order_id", [1, 2, 3, 33]), ("and", ("in", "order_id", [69, 71, 77, 5]), ("<>", "order_id", 5)), ("=", Lit(99), Col("order_id")))
+    return scan(orders_table(spark, d, buckets=32).matching(where), ["order_id", "customer_id", "status"], where)
 
 
 @query("keyed_membership", oracle("orders_t", "customers", body="""

@@ -1,15 +1,19 @@
 import datetime as dt
-from concurrent.futures import ThreadPoolExecutor
 import os
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from livetables import fixtures as fx
 from livetables.operators import changelog as cl
 from livetables.operators.layout import LayoutError
+from livetables.operators.lookup import Col, Lit, Scope, condition, scan
+from livetables.operators.pruning import keys_reached
 from livetables.operators.store import CommitConflict, TableStore
-from livetables.operators.tables import KeyedTable, LogTable, open_table, set_mode
+from livetables.operators.tables import KeyedTable, LogTable, _small_tail, open_table, set_mode
 from livetables.plans.catalog import create_view, drop_view, refresh_view
 from tests.conftest import rows
 
@@ -143,7 +147,7 @@ def test_old_snapshots_stay_readable_until_vacuum(spark, store):
     spark.range(1).write.parquet(orphan)
     at_work = f"{store.data_path('t')}/_v={store.new_version(store.snapshot())}"
     spark.range(1).write.parquet(at_work)
-    assert store.vacuum(keep=1)
+    assert store.vacuum(keep=1, grace_seconds=-1)
     assert rows(table.read(), "name") == [("v3",)]
     assert not os.path.exists(orphan) and os.path.exists(at_work)
     assert store.versions() == [4]
@@ -277,3 +281,90 @@ def test_lag(spark):
 
 def test_store_root_has_no_trailing_slash(spark, store):
     assert TableStore(spark, store.root + "/").root == store.root
+
+
+def test_vacuum_beside_a_writer_loses_nothing(spark, store):
+    """A writer has written but not committed; another one commits twice and vacuums; then the first commits on top."""
+    a, b = KeyedTable(store, "a", ["id"]), KeyedTable(store, "b", ["id"])
+    a.merge(log(spark, (1, "x", 0)))
+    base = store.snapshot()
+    state = a.apply(log(spark, (2, "y", 1)), base)
+    b.merge(log(spark, (1, "p", 0)))
+    b.merge(log(spark, (2, "q", 1)))
+    store.vacuum(keep=1)
+    store.commit(base, {"a": state})
+    assert rows(a.read(), "id", "name") == [(1, "x"), (2, "y")] and rows(b.read(), "id") == [(1,), (2,)]
+
+
+def test_appends_join_their_small_versions(spark, store):
+    table = LogTable(store, "clicks")
+    for i in range(20):
+        table.append(log(spark, (i, f"n{i}", i)))
+    versions = table.state()["files"]["0"]
+    assert len(versions) <= 8 and len(table.state()["sizes"]) == len(versions)
+    assert rows(table.read(), "id", "name", "_offset") == sorted([(i, f"n{i}", i) for i in range(20)], key=repr)
+    table.append(log(spark, (3, "n3", 3)))
+    assert table.read().count() == 20
+
+
+def test_small_tail():
+    assert _small_tail([], 2) is None and _small_tail([5], 2) is None and _small_tail([5, 5], 2) == 0
+    assert _small_tail([100, 5, 5, 5], 3) == 1 and _small_tail([100, 5, 5, 5], 4) is None and _small_tail([15, 5, 5, 5], 4) == 0
+    sizes, rewritten = [], 0
+    for _ in range(2000):
+        sizes.append(1)
+        if (first := _small_tail(sizes, 8)) is not None:
+            rewritten += sum(sizes[first:])
+            sizes[first:] = [sum(sizes[first:])]
+    assert len(sizes) < 40 and rewritten < 12 * 2000
+
+
+def test_lookups_read_the_buckets_of_their_keys(spark, store):
+    table = KeyedTable(store, "shop.orders", ["id"], buckets=64)
+    assert table.matching(("=", "id", 1)) is None
+    table.merge(spark.range(5000).withColumn("v", F.col("id") * 2))
+    read = lambda where: len({p.split("_bucket=")[1].split("/")[0] for p in table.matching(where).inputFiles()})
+    assert read(("=", "id", 42)) == read(("and", (">", "v", 0), ("=", "ID", "42"))) == read(("=", Lit(42), Col("id"))) == 1
+    assert read(("in", "id", [1, 2, 3])) <= 3 and read(("not", ("and", ("<>", "id", 7), ("not_in", "id", [8])))) <= 2
+    assert read(("and", ("=", "id", 1), ("=", "id", 2))) == 0
+    for open_ in (None, (">", "id", 5), ("=", "v", 4), ("or", ("=", "id", 1), ("=", "v", 2)), ("not", ("=", "id", 1)), ("in", "id", list(range(1500))), ("=", Col("id"), Col("v"))):
+        assert read(open_) == 64
+    where = ("or", ("in", "id", [5, 6]), ("and", ("=", "id", 9), ("=", "v", 1)))
+    assert rows(scan(table.matching(where), "*", where)) == [(5, 10), (6, 12)]
+    group, tracker = "no-job", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "buckets")
+    table._buckets_of(table.state(), [("1",), ("2",)])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup(group)
+
+
+def test_bindings_of_two_columns(spark):
+    scope = Scope(StructType.fromDDL("a int, b string, c int"), "t", "x")
+    reached = lambda where: keys_reached(where, scope, ["a", "b"])
+    assert reached(("and", ("=", "x.a", 1), ("in", "b", ["p", "q"]))) == [("1", "p"), ("1", "q")]
+    assert reached(("or", ("and", ("=", "a", 1), ("=", "b", "p")), ("and", ("=", "b", "q"), ("=", "A", 2), (">", "c", 1)))) == [("1", "p"), ("2", "q")]
+    assert reached(("=", "a", 1)) is None and reached(("or", ("and", ("=", "a", 1), ("=", "b", "p")), ("=", "a", 3))) is None
+    assert reached(("and", ("=", "a", 1), ("=", "nowhere", 2), ("=", "b", "p"))) == [("1", "p")]
+    assert reached(("and", ("in", "a", list(range(100))), ("in", "b", [str(i) for i in range(100)]))) is None
+
+
+def test_bindings_hold_for_random_conditions(spark):
+    """Whatever a condition is, each row that meets it has a key that the analysis reaches."""
+    rnd = random.Random(5)
+    data = [(a, b) for a in range(6) for b in range(4)]
+    df = spark.createDataFrame(data, "a int, b int")
+
+    def make(depth):
+        kind = rnd.randrange(6 if depth else 3)
+        column = rnd.choice("ab")
+        return [lambda: ("=", column, rnd.randrange(6)), lambda: (rnd.choice(["in", "not_in"]), column, [rnd.randrange(6) for _ in range(2)]), lambda: (rnd.choice([">", "<>", "<="]), column, rnd.randrange(6)),
+                lambda: ("not", make(depth - 1)), lambda: ("and", make(depth - 1), make(depth - 1)), lambda: ("or", make(depth - 1), make(depth - 1))][kind]()
+    wheres = [make(3) for _ in range(150)]
+    scope = Scope(df)
+    met = df.select("a", "b", *[condition(w, scope).alias(f"c{i}") for i, w in enumerate(wheres)]).collect()
+    bounded = 0
+    for i, w in enumerate(wheres):
+        keys = keys_reached(w, scope, ["a", "b"])
+        bounded += keys is not None
+        assert keys is None or {(str(r["a"]), str(r["b"])) for r in met if r[f"c{i}"]} <= set(keys)
+    assert bounded > 5
