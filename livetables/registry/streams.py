@@ -17,6 +17,7 @@ from livetables.session import workdir
 from livetables.sources.topics import TopicSpec, read_log, write_log
 from livetables.streaming import streams
 from livetables.streaming.incremental import CustomerView, GroupCount, InventoryView
+from livetables.streaming.windows import ClosingWindows
 
 
 def arrive(spark, batches: Iterable[DataFrame], run: Callable[[DataFrame, str], object], fresh_checkpoints: bool = False) -> None:
@@ -36,7 +37,8 @@ def arrive(spark, batches: Iterable[DataFrame], run: Callable[[DataFrame, str],
 @query("stream_upsert_table", oracle("user_state", body=USER_STATE))
 def stream_upsert_table(spark, d):
     table = KeyedTable(store(spark), "users", ["user_id"])
-    arrive(spark, by_time(fx.user_state_log(spark, d)), lambda log, cp: streams.stream_upsert(log, table, cp, every=None))
+    # each step is one file, and commits in pieces
+    arrive(spark, by_time(fx.user_state_log(spark, d)), lambda log, cp: streams.stream_upsert(log, table, cp, every=None, most=streams.BATCH_RECORDS))
     return table.read().select(USER_COLUMNS)
 
 
@@ -116,13 +118,40 @@ def incr_group_count(spark, d):
 
 
 @query("watermark_180ms", oracle("clicks", body="""
-    SELECT date_trunc('day', _timestamp) AS window_start, count(*) AS n FROM clicks GROUP BY ALL"""))
+    SELECT date_trunc('day', _timestamp) AS window_start, count(*) AS n,
+           date_trunc('day', _timestamp) + INTERVAL 1 DAY <= (SELECT max(_timestamp) FROM clicks) - INTERVAL 180 MILLISECOND AS closed FROM clicks GROUP BY ALL"""))
 def watermark_180ms(spark, d):
+    """Windows of two topics, of which one never sends: it does not hold the windows of the other back."""
+    windows = ClosingWindows(store(spark), "per_day", "1 day", ["clicks", "silent"], idle=0)
+    log = fx.clicks(spark, d).withColumn("topic", F.lit("clicks"))
+    split = lambda batch: windows.refresh({t: batch.filter(F.col("topic") == t) for t in ("clicks", "silent")})
+    arrive(spark, by_time(log), lambda s, cp: streams.start(s, split, cp, every=None))
+    return windows.read()
+
+
+@query("windowed_counts", oracle("clicks", body="""
+    SELECT date_trunc('day', _timestamp) AS window_start, count(*) AS n FROM clicks GROUP BY ALL"""))
+def windowed_counts(spark, d):
+    """The engine's own windows, in update mode."""
     table = KeyedTable(store(spark), "clicks_per_day", ["window_start"])
     arrive(spark, by_time(fx.clicks(spark, d)), lambda log, cp: streams.stream_windowed_counts(log, "1 day", table, cp, every=None))
     return table.read()
 
 
+@query("stream_topics", oracle("clicks", "user_state", body="""
+    SELECT 'clicks' AS topic, event_id, user_id, event_type FROM clicks UNION ALL SELECT 'users', event_id, user_id, event_type FROM user_state"""))
+def stream_topics(spark, d):
+    """One stream of two topics, each into its own table."""
+    tables = store(spark)
+    users, clicks = KeyedTable(tables, "users", ["user_id"]), LogTable(tables, "clicks")
+    state, log = fx.user_state_log(spark, d).withColumn("topic", F.lit("users")), fx.clicks(spark, d).withColumn("topic", F.lit("clicks"))
+    columns = {"users": fx.user_state_log(spark, d).columns, "clicks": fx.clicks(spark, d).columns}
+    both = state.unionByName(log, allowMissingColumns=True)
+    arrive(spark, by_time(both), lambda s, cp: streams.stream_tables(s, {"users": users, "clicks": clicks}, cp, columns=columns, every=None))
+    pick = lambda t, name: t.read().select(F.lit(name).alias("topic"), "event_id", "user_id", "event_type")
+    return pick(clicks, "clicks").unionByName(pick(users, "users"))
+
+
 @query("late_rows", oracle("user_state", body=USER_STATE))
 def late_rows(spark, d):
     """Record times run backwards: keyed state follows offsets, so no late record is lost."""

@@ -53,4 +53,13 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write once, read back: cuts lineage, survives lost executors, and gives Spark the true size."""
     path = workdir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written folders that no plan reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

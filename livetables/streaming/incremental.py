@@ -16,7 +16,7 @@ from pyspark.sql.types import DataType, DecimalType, FractionalType
 from livetables.operators.changelog import signed_diff
 from livetables.operators.store import TableStore
 from livetables.operators.tables import DEFAULT_BUCKETS, KeyedTable
-from livetables.session import materialize
+from livetables.session import discard, materialize
 from livetables.plans.views import MONEY, customer_360_rows, inventory_live, is_open, sold_total
 
 SUM = "decimal(38,2)"
@@ -33,12 +33,22 @@ class Refresh:
         self.store, self.base = store, store.snapshot()
         self._writes: dict[str, Future] = {}
         self._changes: dict[str, DataFrame] = {}
+        self._steps: list[str] = []
         self._pool = ThreadPoolExecutor(4)
 
-    @staticmethod
-    def keep(df: DataFrame) -> DataFrame:
-        """Rows that several steps use, written out: it keeps the plans of those steps short."""
-        return materialize(df, "step")
+    def __enter__(self) -> Refresh:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Wait for writes at work, also after an error; then the steps go."""
+        self._pool.shutdown(cancel_futures=True)
+        discard(self.store.spark, *self._steps)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Rows that several steps use, written out until the refresh ends: it keeps the plans of those steps short."""
+        out = materialize(df, "step")
+        self._steps.append(out._written_to)
+        return out
 
     def take(self, table: KeyedTable, batch: DataFrame | None) -> DataFrame | None:
         """The new changes of an input, one per key, and their write."""
@@ -73,11 +83,8 @@ class Refresh:
         return kept.unionByName(live.select(*[c for c in live.columns if c in kept.columns]), allowMissingColumns=True)
 
     def commit(self) -> dict:
-        try:
-            pending = {n: w.result() for n, w in self._writes.items()}
-            return self.store.commit(self.base, pending) if pending else self.base
-        finally:
-            self._pool.shutdown()
+        pending = {n: w.result() for n, w in self._writes.items()}
+        return self.store.commit(self.base, pending) if pending else self.base
 
 
 def signed_changes(table: KeyedTable, changes: DataFrame, base: dict, columns: list[str]) -> DataFrame:
@@ -137,12 +144,12 @@ class GroupCount:
         return self.table.read().drop(*map(counted, self.sums))
 
     def refresh(self, batch: DataFrame) -> dict:
-        refresh = Refresh(self.store)
-        changes = refresh.take(self.source, batch)
-        if changes is not None:
-            columns = [c for c in changes.columns if not c.startswith("_")]
-            merge_signed(refresh, self.table, signed_changes(self.source, changes, refresh.base, columns), self.sums)
-        return refresh.commit()
+        with Refresh(self.store) as refresh:
+            changes = refresh.take(self.source, batch)
+            if changes is not None:
+                columns = [c for c in changes.columns if not c.startswith("_")]
+                merge_signed(refresh, self.table, signed_changes(self.source, changes, refresh.base, columns), self.sums)
+            return refresh.commit()
 
 
 class CustomerView:
@@ -163,15 +170,15 @@ class CustomerView:
         self.tiers = KeyedTable(store, "tier_totals", ["tier"], 1)
 
     def refresh(self, customers: DataFrame | None, orders: DataFrame | None) -> dict:
-        refresh = Refresh(self.store)
-        changed_customers, changed_orders = refresh.take_both((self.customers, customers), (self.orders, orders))
-        affected = [] if changed_customers is None else [changed_customers.select("customer_id")]
-        if changed_orders is not None:
-            affected.append(self._merge_totals(refresh, changed_orders))
-        if affected:
-            ids = refresh.keep(affected[0].unionByName(affected[1]).distinct()) if len(affected) == 2 else affected[0]
-            self._merge_view(refresh, ids)
-        return refresh.commit()
+        with Refresh(self.store) as refresh:
+            changed_customers, changed_orders = refresh.take_both((self.customers, customers), (self.orders, orders))
+            affected = [] if changed_customers is None else [changed_customers.select("customer_id")]
+            if changed_orders is not None:
+                affected.append(self._merge_totals(refresh, changed_orders))
+            if affected:
+                ids = refresh.keep(affected[0].unionByName(affected[1]).distinct()) if len(affected) == 2 else affected[0]
+                self._merge_view(refresh, ids)
+            return refresh.commit()
 
     def _merge_totals(self, refresh: Refresh, changes: DataFrame) -> DataFrame:
         signed = signed_changes(self.orders, changes, refresh.base, ["customer_id", "status", "total", "created_at"])
@@ -239,7 +246,10 @@ class InventoryView:
         self.view = KeyedTable(store, "inventory_live", ["product_id"], buckets)
 
     def refresh(self, products: DataFrame | None, inventory: DataFrame | None) -> dict:
-        refresh = Refresh(self.store)
+        with Refresh(self.store) as refresh:
+            return self._merged(refresh, products, inventory)
+
+    def _merged(self, refresh: Refresh, products: DataFrame | None, inventory: DataFrame | None) -> dict:
         taken = refresh.take_both((self.products, products), (self.inventory, inventory))
         changed = [c.select("product_id") for c in taken if c is not None]
         if not changed:

@@ -1,5 +1,6 @@
 """Incremental = batch, for random changes in random batches; replays and reordering change nothing."""
 
+import os
 import random
 
 import pytest
@@ -132,8 +133,29 @@ def test_inventory_view_equals_batch(spark, store):
 
 
 def test_empty_refresh(spark, store):
-    refresh = Refresh(store)
-    assert refresh.commit() == {"commit": 0, "tables": {}}
+    with Refresh(store) as refresh:
+        assert refresh.commit() == {"commit": 0, "tables": {}}
+
+
+def test_an_error_ends_the_writes_and_steps_go(spark, store, monkeypatch):
+    customers, orders = history(4, 40)
+    view = CustomerView(store)
+    c, o = spark.createDataFrame(customers, CUSTOMERS), spark.createDataFrame(orders, ORDERS)
+    made, keep = [], Refresh.keep
+
+    def kept(self, df):
+        made.append((self, out := keep(self, df)))
+        return out
+    monkeypatch.setattr(Refresh, "keep", kept)
+    monkeypatch.setattr(CustomerView, "_merge_view", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        view.refresh(c, o)
+    assert made and all(refresh._pool._shutdown and not any(t.is_alive() for t in refresh._pool._threads) for refresh, _ in made)
+    assert not any(os.path.exists(out._written_to.removeprefix("file:")) for _, out in made)
+    monkeypatch.undo()
+    view.refresh(c, o)
+    want = customer_360(cl.latest_by_key(c, ["customer_id"]), cl.latest_by_key(o, ["order_id"]))
+    assert rows(view.view.read(), *want.columns) == rows(want)
 
 
 def test_rows_with_null_columns_stay_in_the_views(spark, store):
