@@ -8,18 +8,21 @@ resources(kind, name), produced(kind, name, topic), reads(kind, name, topic).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from livetables.session import workdir
+from livetables.session import discard, materialize, workdir
 
 SUPER_ROLES = ("admin", "engineer")  # fixed values: roles that see every table
 
 # The scheme of each kind of dataset.
 SCHEMES = {"source": "postgres", "topic": "kafka", "lake": "iceberg", "serving": "context"}
 
+EDGE_BUCKETS = 64
+PAGE = 1000      # values of a list
+
 # ---- grants
 
 def visible_tables(tables: DataFrame, grants: DataFrame, roles: Sequence[str], super_roles: Sequence[str] = SUPER_ROLES) -> DataFrame:
@@ -91,95 +94,173 @@ def dataset_split(uri: Column | str) -> tuple[Column, Column]:
     return F.substring(uri, F.lit(1), separator - 1), F.substring(uri, separator + 3, F.length(uri))
 
 
-def lineage_edges(sources: DataFrame, views: DataFrame, lake: DataFrame, serving: DataFrame) -> DataFrame:
+def lineage_edges(sources: DataFrame, views: DataFrame, lake: DataFrame, serving: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """All edges of the declared resources.
 
     sources(name, connection, table, topic); views(name, topic, input); lake(name, namespace, table, topic);
-    serving(name, topic).
+    serving(name, topic); statements(name, reads, writes) as ``statement_edges`` gives them: each topic a statement reads leads to the table it writes.
     """
     def edge(df, source, target, kind):
         return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("via_kind"), F.col("name").alias("via_name"))
 
     lake_name = F.concat_ws(".", "namespace", F.translate("table", ".", "_"))
-    return (edge(sources, dataset("source", "connection", "table"), dataset("topic", "topic"), "SOURCE")
+    edges = (edge(sources, dataset("source", "connection", "table"), dataset("topic", "topic"), "SOURCE")
             .unionByName(edge(views, dataset("topic", "input"), dataset("topic", "topic"), "MATERIALIZED_VIEW"))
             .unionByName(edge(lake, dataset("topic", "topic"), dataset("lake", F.lit("lake"), lake_name), "ICEBERG_TABLE"))
             .unionByName(edge(serving, dataset("topic", "topic"), dataset("serving", "topic"), "CONTEXT_TABLE")))
+    if statements is None:
+        return edges
+    return edges.unionByName(edge(statements.filter("writes IS NOT NULL").dropDuplicates(), dataset("topic", "reads"), dataset("topic", "writes"), "STATEMENT"))
+
+
+class EdgeIndex:
+    """Edges clustered by one end, so that the edges of some datasets are read without the others.
+
+    The edges are written once into ``buckets`` folders by the hash of that end. Build it once for many closures over the same edges.
+    """
+
+    def __init__(self, edges: DataFrame, upstream: bool = False, buckets: int = EDGE_BUCKETS):
+        self.near, self.far = ("target", "source") if upstream else ("source", "target")
+        self.upstream, self.buckets, self.schema, self.spark = upstream, buckets, edges.schema, edges.sparkSession
+        self.path = workdir(self.spark, "edges")
+        edges.withColumn("_bucket", self._bucket(self.near)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.near).write.partitionBy("_bucket").parquet(self.path)
+        self.rows = self.spark.read.schema(StructType([*self.schema, StructField("_bucket", IntegerType())])).parquet(self.path)
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def touching(self, nodes: DataFrame) -> DataFrame:
+        """The edges whose near end is among the nodes (column ``node``)."""
+        wanted = [r["b"] for r in nodes.select(self._bucket("node").alias("b")).distinct().collect()]
+        return self.rows.filter(F.col("_bucket").isin(wanted)).drop("_bucket").join(nodes, F.col(self.near) == F.col("node"), "left_semi")
 
+    def drop(self) -> None:
+        discard(self.spark, self.path)
 
-def lineage_closure(edges: DataFrame, start: str | DataFrame, upstream: bool = False) -> DataFrame:
+
+def lineage_closure(edges: DataFrame | EdgeIndex, start: str | DataFrame, upstream: bool = False) -> DataFrame:
     """Every edge reachable from some datasets, once.
 
-    Each round follows the edges of the datasets found last and drops those seen before, so a
-    cycle ends. Rounds are written out: lineage stays short, a lost executor costs one round, and
-    the size of the next frontier is known before Spark chooses the join.
+    Semi-naive: each round follows the edges of the datasets found last, reading only the folders of an ``EdgeIndex`` that can hold them, and keeps the far ends not seen
+    before, so a cycle ends. Rounds are written out: lineage stays short, a lost executor costs one round, and the size of the next frontier is
+    known before Spark chooses the join. Lists of seen datasets, and an index made here, are deleted at the end; the rounds' edges are the result.
     """
-    spark = edges.sparkSession
-    near, far = ("target", "source") if upstream else ("source", "target")
+    index = edges if isinstance(edges, EdgeIndex) else EdgeIndex(edges, upstream)
+    if index.upstream != upstream:
+        raise ValueError("the index is clustered by the other end")
+    spark = index.spark
     frontier = spark.createDataFrame([(start,)], "node string") if isinstance(start, str) else start.toDF("node").distinct()
     root = workdir(spark, "closure")
-    step_schema, node_schema = edges.schema, frontier.schema
-    rounds, nodes = [], [f"{root}/nodes/0"]
+    node_schema, rounds, nodes = frontier.schema, [], [f"{root}/nodes/0"]
     frontier.write.parquet(nodes[0])
-    while True:
+    left = 1
+    while left:
         k = len(rounds)
         frontier = spark.read.schema(node_schema).parquet(nodes[-1])
-        step = edges.join(frontier, F.col(near) == F.col("node"), "left_semi").dropDuplicates()
         rounds.append(f"{root}/edges/{k}")
-        step.write.parquet(rounds[-1])
-        found = spark.read.schema(step_schema).parquet(rounds[-1])
-        seen = spark.read.schema(node_schema).parquet(*nodes)
-        fresh = found.select(F.col(far).alias("node")).distinct().join(seen, "node", "left_anti")
+        index.touching(frontier).dropDuplicates().write.parquet(rounds[-1])
+        seen, counted = spark.read.schema(node_schema).parquet(*nodes), Observation()
+        ends = spark.read.schema(index.schema).parquet(rounds[-1]).select(F.col(index.far).alias("node")).distinct()
         nodes.append(f"{root}/nodes/{k + 1}")
-        fresh.write.parquet(nodes[-1])
-        if spark.read.schema(node_schema).parquet(nodes[-1]).isEmpty():
-            return spark.read.schema(step_schema).parquet(*rounds)
+        ends.join(seen, "node", "left_anti").observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(nodes[-1])
+        left = counted.get["n"]
+    discard(spark, f"{root}/nodes")
+    if index is not edges:
+        index.drop()
+    return spark.read.schema(index.schema).parquet(*rounds)
 
 
 def written_table(sql: str) -> Column:
-    """The last part of the name of the table a statement creates or inserts into; null for other statements."""
-    tokens = F.regexp_extract_all(sql, F.lit(r"`[^`]*`|[\w$]+|[^\s\w$`]"), F.lit(0))
+    """The last part of the name of the table a statement creates or inserts into; null for other statements.
+
+    Only the statement's beginning is cut into tokens, up to the first sign that can stand neither in its keywords nor in a name.
+    """
+    beginning = F.regexp_extract(sql, r"^(?:\s+|`[^`]*`|[\w$]+|\.)*", 0)
+    # bound to a variable: each use of the array would cut the text again
+    return F.get(F.transform(F.array(F.regexp_extract_all(beginning, F.lit(r"`[^`]*`|[\w$]+|\."), F.lit(0))), _written), F.lit(0))
+
+
+def _written(tokens: Column) -> Column:
     word = lambda i: F.upper(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")))
-    after = lambda i, *words: [(word(i + k) == w) for k, w in enumerate(words)]
-    every = lambda tests: reduce(lambda a, b: a & b, tests)
-    replaced = F.when(every(after(1, "OR", "REPLACE")), 3).otherwise(1)
-    table = F.upper(F.coalesce(F.get(tokens, replaced), F.lit(""))) == "TABLE"
-    unless = F.array_join(F.transform(F.slice(tokens, replaced + 2, 3), F.upper), " ") == "IF NOT EXISTS"
-    first = F.when((word(0) == "CREATE") & table, replaced + 1 + F.when(unless, 3).otherwise(0)) \
-        .when((word(0) == "INSERT") & word(1).isin("INTO", "OVERWRITE"), F.lit(2))
-    # the name goes on while a dot follows a part
-    start = F.struct(F.lit(None).cast("string").alias("part"), F.lit(True).alias("open"), F.lit(False).alias("ended"))
+    create = lambda i: F.when((word(i) == "IF") & (word(i + 1) == "NOT") & (word(i + 2) == "EXISTS"), i + 3).otherwise(i)
+    first = F.when((word(0) == "INSERT") & word(1).isin("INTO", "OVERWRITE"), F.lit(2)) \
+        .when((word(0) == "CREATE") & (word(1) == "TABLE"), create(2)) \
+        .when((word(0) == "CREATE") & (word(1) == "OR") & (word(2) == "REPLACE") & (word(3) == "TABLE"), create(4))
+    # every second token is a part while a dot stands before it; the name ends at the first pair that is none
+    rest = F.slice(tokens, first + 1, F.size(tokens) + 1)
     named = lambda t: t.rlike(r"^(`[^`]+`|[\w$]+)$")
-    step = lambda acc, t: F.when(acc["ended"], acc).when(acc["open"] & named(t), F.struct(t.alias("part"), F.lit(False).alias("open"), F.lit(False).alias("ended"))) \
-        .when(~acc["open"] & (t == "."), F.struct(acc["part"].alias("part"), F.lit(True).alias("open"), F.lit(False).alias("ended"))) \
-        .otherwise(F.struct(acc["part"].alias("part"), acc["open"].alias("open"), F.lit(True).alias("ended")))
-    last = F.aggregate(F.slice(tokens, first + 1, F.greatest(F.size(tokens), F.lit(1))), start, step, lambda acc: acc["part"])
-    return F.when(first.isNotNull(), F.translate(last, "`", ""))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(rest) / 2).cast("int")),
+                        lambda i: named(F.coalesce(F.get(rest, 2 * i), F.lit(""))) & ((i == 0) | (F.get(rest, 2 * i - 1) == ".")))
+    broken = F.array_position(pairs, F.lit(False))
+    parts = F.when(broken > 0, broken - 1).otherwise(F.size(pairs)).cast("int")
+    return F.when(first.isNotNull() & (parts > 0), F.translate(F.get(rest, 2 * (parts - 1)), "`", ""))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that each cost much work, dealt out to all cores if they come in fewer partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
     """Edges of SQL statements: the table each writes, and the known topics it names as a whole.
 
     A topic is named in backquotes, or bare: not after a word character, dot or backquote, and not
-    before a word character or backquote. All whole names a text could contain are cut out of it and
-    joined on equality; names are of letters, digits, ``.``, ``_``, ``-``, ``$``.
+    before a word character or backquote. Names are of letters, digits, ``.``, ``_``, ``-``, ``$``. The words of all texts, and what
+    stands in backquotes, are joined with the topics on equality, each once; only words that hold a separator are also cut into the shorter names they begin with.
     """
-    st = statements.select("name", "sql", written_table("sql").alias("_written"))
+    st = spread(statements.select("name", "sql"))
     quoted = F.regexp_extract_all("sql", F.lit(r"(?=`([^`]+)`)"), F.lit(1))
     starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.$`])(?=([\w.$-]+`?))"), F.lit(1))
-    # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
-    prefixes = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
-    cut = lambda run: F.when(run.contains(".") | run.contains("-"), F.flatten(F.transform(F.array(F.split(run, "(?=[.-])")), prefixes))).otherwise(F.array(run))
-    bare = F.flatten(F.transform(F.array_distinct(starts), cut))
+    marked = lambda names, whole: F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("run"), F.lit(whole).alias("whole")))
     # outer: else the engine adds a filter that works the array out a second time
-    names = st.select("name", "_written", F.explode_outer(F.array_distinct(F.concat(quoted, bare))).alias("topic"))
+    named = st.select("name", written_table("sql").alias("_written"), F.explode_outer(F.concat(marked(quoted, True), marked(starts, False))).alias("n")) \
+        .select("name", "_written", "n.run", "n.whole")
+    # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
+    pieces = F.split("run", "(?=[.-])")
+    shorter = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
+    cut = ~F.col("whole") & (F.col("run").contains(".") | F.col("run").contains("-"))
+    names = named.select("name", "_written", F.explode_outer(F.when(cut, shorter).otherwise(F.array("run"))).alias("topic"))
     reads = (names.filter(F.col("_written").isNull() | (F.col("topic") != F.col("_written")))
              .join(topics.select("topic").distinct(), "topic", "left_semi"))
-    return reads.select("name", F.col("topic").alias("reads"), F.col("_written").alias("writes"))
+    return reads.select("name", F.col("topic").alias("reads"), F.col("_written").alias("writes")).distinct()
+
+
+def usage_pairs(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> DataFrame:
+    """One row for each topic, role (``produced_by`` or ``used_by``) and resource: what a topic with many readers is asked for."""
+    label = F.concat_ws(" ", "kind", "name").alias("resource")
+    sides = [df.select("topic", F.lit(role).alias("role"), label) for df, role in ((produced, "produced_by"), (reads, "used_by"))]
+    internal = F.col("topic").startswith("_") | F.col("topic").startswith("connect-")
+    return sides[0].unionByName(sides[1]).dropDuplicates().join(topics.select("topic").distinct().filter(~internal), "topic", "left_semi")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], by: str, number: str = "rank") -> DataFrame:
+    """Rows numbered from 1 within their keys in the order of ``by``, although one key may hold a third of them.
+
+    Rows are dealt out by ranges of (keys, by), so a large key lies in many ranges; they are numbered within each range, and each range adds what the ranges before it hold
+    of the key. The ranges are written out, as the second pass must see the same ones. Rows must be distinct in (keys, by).
+    """
+    order = [*keys, by]
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    held = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(by))
+    ranked = dealt.withColumn("_local", local).join(held.withColumn("_before", before).drop("_n"), [*keys, "_range"])
+    return ranked.withColumn(number, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
+
+
+def pages(rows: DataFrame, keys: Sequence[str], by: str, size: int = PAGE) -> DataFrame:
+    """Sorted lists of at most ``size`` values of ``by`` per page: keys, ``page`` from 1, ``items``."""
+    placed = numbered(rows.select(*keys, by), keys, by).withColumn("page", (F.floor((F.col("rank") - 1) / size) + 1).cast("int"))
+    return placed.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(by)).alias("items"))
 
 
 def topic_usage(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> DataFrame:
-    """Topic, the resources that write it, and those that read it, as comma lists."""
+    """Topic, the resources that write it, and those that read it, as comma lists.
+
+    A list is one value, so this view is for topics with few readers; ``usage_pairs`` and ``pages`` of it serve any.
+    """
     label = F.concat_ws(" ", "kind", "name")
     producer = (produced.select("topic", label.alias("by")).dropDuplicates()
                 .groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("by")), ", ").alias("produced_by")))
@@ -191,17 +272,21 @@ def topic_usage(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> Dat
             .select("topic", F.coalesce("produced_by", F.lit("")).alias("produced_by"), F.coalesce("used_by", F.lit("")).alias("used_by")))
 
 
-def drop_blockers(produced: DataFrame, reads: DataFrame) -> DataFrame:
-    """For every resource, the others that read a topic it writes."""
+def drop_blockers(produced: DataFrame, reads: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """For every resource, the others that depend on it: those that read a topic it writes, and of a connection the sources(name, connection) that use it."""
     writer = produced.select("kind", "name", "topic").dropDuplicates()
     reader = reads.select(F.concat_ws(" ", "kind", "name").alias("blocked_by"), "topic").dropDuplicates()
-    return (writer.join(reader, "topic")
-            .filter(F.col("blocked_by") != F.concat_ws(" ", "kind", "name"))
-            .select("kind", "name", "blocked_by").dropDuplicates())
+    found = writer.join(reader, "topic").filter(F.col("blocked_by") != F.concat_ws(" ", "kind", "name")).select("kind", "name", "blocked_by")
+    if sources is not None:
+        found = found.unionByName(sources.select(F.lit("connection").alias("kind"), F.col("connection").alias("name"), F.concat(F.lit("source "), "name").alias("blocked_by")))
+    return found.dropDuplicates()
+
 
+def openlineage_events(edges: DataFrame, namespace: str, producer: str, event_time: str, most: int = PAGE) -> DataFrame:
+    """RUNNING events of each job with its distinct inputs and outputs, at most ``most`` of either in an event.
 
-def openlineage_events(edges: DataFrame, namespace: str, producer: str, event_time: str) -> DataFrame:
-    """One RUNNING event per job with its distinct inputs and outputs."""
+    Events of a run add up, so a job with more datasets has several, numbered by ``part`` from 1, with the same run id.
+    """
     def side(column):
         ns, name = dataset_split(column)
         return F.struct(ns.alias("namespace"), name.alias("name"))
@@ -209,13 +294,14 @@ def openlineage_events(edges: DataFrame, namespace: str, producer: str, event_ti
     ends = F.array(F.struct(F.lit(0).alias("side"), side("source").alias("dataset")),
                    F.struct(F.lit(1).alias("side"), side("target").alias("dataset")))
     distinct = edges.select("via_name", F.explode(ends).alias("e")).select("via_name", "e.side", "e.dataset").dropDuplicates()
-    listed = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.col("dataset"))))
-    jobs = distinct.groupBy("via_name").agg(listed(0).alias("inputs"), listed(1).alias("outputs"))
+    paged = pages(distinct, ["via_name", "side"], "dataset", most)
+    listed = lambda n: F.coalesce(F.first(F.when(F.col("side") == n, F.col("items")), ignorenulls=True), F.array().cast("array<struct<namespace:string,name:string>>"))
+    jobs = paged.groupBy("via_name", F.col("page").alias("part")).agg(listed(0).alias("inputs"), listed(1).alias("outputs"))
     event = F.to_json(F.struct(
         F.lit("RUNNING").alias("eventType"), F.lit(event_time).alias("eventTime"),
         F.struct(F.substring(F.sha2("via_name", 256), 1, 32).alias("runId")).alias("run"),
         F.struct(F.lit(namespace).alias("namespace"), F.col("via_name").alias("name")).alias("job"),
         "inputs", "outputs", F.lit(producer).alias("producer"),
         F.lit("https://openlineage.io/spec/2-0-2/OpenLineage.json#/definitions/RunEvent").alias("schemaURL")))
-    return jobs.select("via_name", F.size("inputs").alias("n_inputs"), F.size("outputs").alias("n_outputs"), event.alias("event"))
+    return jobs.select("via_name", "part", F.size("inputs").alias("n_inputs"), F.size("outputs").alias("n_outputs"), event.alias("event"))
 

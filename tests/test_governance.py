@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from livetables.operators import governance as gov
@@ -81,11 +82,60 @@ def test_usage_and_blockers(spark):
     topics = spark.createDataFrame([("orders",), ("v",), ("_schemas",), ("connect-offsets",), ("idle",)], "topic string")
     assert rows(gov.topic_usage(topics, produced, used)) == [
         ("idle", "", ""), ("orders", "source shop", "lake orders, view v"), ("v", "view v", "serving v, view v")]
-    assert rows(gov.drop_blockers(produced, used)) == [("source", "shop", "lake orders"), ("source", "shop", "view v"), ("view", "v", "serving v")]
+    blockers = [("source", "shop", "lake orders"), ("source", "shop", "view v"), ("view", "v", "serving v")]
+    assert rows(gov.drop_blockers(produced, used)) == blockers
+    sources = spark.createDataFrame([("shop", "pg"), ("crm", "pg")], "name string, connection string")
+    assert rows(gov.drop_blockers(produced, used, sources)) == [("connection", "pg", "source crm"), ("connection", "pg", "source shop"), *blockers]
+    assert rows(gov.usage_pairs(topics, produced, used)) == [("orders", "produced_by", "source shop"), ("orders", "used_by", "lake orders"), ("orders", "used_by", "view v"),
+                                                             ("v", "produced_by", "view v"), ("v", "used_by", "serving v"), ("v", "used_by", "view v")]
+
+
+def test_pages_of_a_hot_topic(spark):
+    """A topic with most of the readers lies in many ranges; its pages are full, sorted and complete."""
+    readers = spark.range(3000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 40).cast("string"))).alias("topic"), F.format_string("r%05d", "id").alias("resource"))
+    placed = gov.numbered(readers.repartition(8), ["topic"], "resource")
+    want = {}
+    for topic, resource in sorted(tuple(r) for r in readers.collect()):
+        want.setdefault(topic, []).append(resource)
+    assert {(r.topic, r.resource): r["rank"] for r in placed.collect()} == {(t, x): i + 1 for t, xs in want.items() for i, x in enumerate(xs)}
+    got = {(r.topic, r.page): list(r["items"]) for r in gov.pages(readers, ["topic"], "resource", 100).collect()}
+    assert got == {(t, i // 100 + 1): xs[i:i + 100] for t, xs in want.items() for i in range(0, len(xs), 100)}
+
+
+def test_statement_edges_are_lineage(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    statements = statement(spark, "INSERT INTO out SELECT * FROM a JOIN `b.c` ON a.x = out.x", "a", "b.c", "out").unionByName(statement(spark, "SELECT * FROM a", "a"))
+    got = gov.lineage_edges(none("name string, connection string, table string, topic string"), none("name string, topic string, input string"),
+                            none("name string, namespace string, table string, topic string"), none("name string, topic string"), statements)
+    assert rows(got) == [("kafka://a", "kafka://out", "STATEMENT", "s"), ("kafka://b.c", "kafka://out", "STATEMENT", "s")]
+    assert rows(gov.lineage_closure(got, "kafka://a"), "target") == [("kafka://out",)]
+
+
+def test_closure_reads_the_frontiers_part_only(spark, monkeypatch):
+    """A chain beside many edges of others: each round reads a few folders; an index serves several closures and stays."""
+    many = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("source"), F.concat(F.lit("y"), "id").alias("target"), F.lit("VIEW").alias("via_kind"), F.lit("v").alias("via_name"))
+    chain = edges(spark, *[(f"c{i}", f"c{i + 1}") for i in range(4)])
+    index = gov.EdgeIndex(many.unionByName(chain), buckets=32)
+    read, touching = [], gov.EdgeIndex.touching
+
+    def watched(self, nodes):
+        out = touching(self, nodes)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        read.append(nodes.count() + ("PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [(_bucket" in plan))
+        return out
+    monkeypatch.setattr(gov.EdgeIndex, "touching", watched)
+    assert gov.lineage_closure(index, "c0").count() == 4 and gov.lineage_closure(index, "c2").count() == 2
+    assert read == [2] * (5 + 3)
+    with pytest.raises(ValueError):
+        gov.lineage_closure(index, "c0", upstream=True)
+    index.drop()
 
 
 def test_openlineage(spark):
     e = spark.createDataFrame([("kafka://a", "kafka://v", "VIEW", "v"), ("kafka://b", "kafka://v", "VIEW", "v"), ("kafka://a", "kafka://v", "VIEW", "v")], EDGE)
+    parts = gov.openlineage_events(e, "ns", "me", "2026-01-01T00:00:00Z", most=1).orderBy("part").collect()
+    assert [(r["part"], r["n_inputs"], r["n_outputs"]) for r in parts] == [(1, 1, 1), (2, 1, 0)] and json.loads(parts[1]["event"])["outputs"] == []
+    assert len({json.loads(r["event"])["run"]["runId"] for r in parts}) == 1
     row = gov.openlineage_events(e, "ns", "me", "2026-01-01T00:00:00Z").first()
     event = json.loads(row["event"])
     assert (row["n_inputs"], row["n_outputs"]) == (2, 1)
