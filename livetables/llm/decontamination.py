@@ -11,8 +11,9 @@ but not none, is one pattern of its own length, and patterns of one length are s
 
 Many stretches of a batch are searched side by side: each lane of ``LANE`` words moves by its own shift.
 
-Patterns come to the tasks in blocks of about ``max_patterns``, each a broadcast of bounded size; with more patterns the
-documents are read once per block, and the hits of the blocks are united per document.
+Patterns come to the tasks in blocks of about ``max_patterns``, each a broadcast of bounded size. With more patterns the
+documents are read once per block: a block is searched, its hits are written, and it leaves the driver and the executors before the next one
+comes. The hits of the blocks are united per document.
 
 Null and empty texts have no words: no hits, never contaminated. Repeated rows get a row each. Items without words
 match nothing. Without items nothing is hit; without documents the result is empty. A null item_id counts as one item,
@@ -176,19 +177,17 @@ def pattern_table(items: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("pattern").agg(F.collect_set(F.struct("item_id")).alias("items"))
 
 
-def searchers(items: DataFrame, window: int, max_patterns: int) -> list:
-    """Broadcast searchers over blocks of about ``max_patterns`` patterns; none where there is no pattern."""
-    spark = items.sparkSession
-    steps = Steps(spark, "decontamination")
-    table = steps.keep(pattern_table(items, window), "patterns")
-    n = table.count()
-    blocks = -(-n // max_patterns)
-    shared = []
-    for i in range(blocks):
-        mine = table if blocks == 1 else table.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i)
-        shared.append(spark.sparkContext.broadcast(Searcher([(r.pattern, [x.item_id for x in r["items"]]) for r in mine.collect()])))
-    steps.drop(table)
-    return shared or [spark.sparkContext.broadcast(Searcher([]))]
+class Blocks:
+    """The patterns of all items, written once and handed out as broadcast searchers of about ``max_patterns`` patterns."""
+
+    def __init__(self, items: DataFrame, window: int, max_patterns: int):
+        self.steps = Steps(items.sparkSession, "decontamination")
+        self.table = self.steps.keep(pattern_table(items, window), "patterns")
+        self.n = max(1, -(-self.table.count() // max_patterns))
+
+    def searcher(self, i: int):
+        mine = self.table if self.n == 1 else self.table.filter(F.pmod(F.xxhash64("pattern"), F.lit(self.n)) == i)
+        return self.table.sparkSession.sparkContext.broadcast(Searcher([(r.pattern, [x.item_id for x in r["items"]]) for r in mine.collect()]))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_patterns: int = MAX_PATTERNS) -> DataFrame:
@@ -196,7 +195,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_patte
 
     ``docs`` has doc_id and text, ``items`` has item_id and text. ``text_key`` tells rows of one doc_id apart.
     """
-    shared = searchers(items, window, max_patterns)
+    blocks = Blocks(items, window, max_patterns)
+    steps = blocks.steps
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
 
     def search(one):
@@ -206,12 +206,17 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_patte
                 yield pa.record_batch({"doc_id": column(part, "doc_id"), "text_key": column(part, "text_key"), **found.columns()})
         return docs.mapInArrow(run, HITS)
 
-    out = search(shared[0])
-    if len(shared) == 1:
-        return out
-    steps = Steps(docs.sparkSession, "decontamination")
-    out = steps.keep(out, "block")
-    rest = [steps.keep(search(s).filter("n_hit > 0"), "block") for s in shared[1:]]
+    if blocks.n == 1:
+        one = blocks.searcher(0)
+        steps.drop(blocks.table)
+        return search(one)
+    found = []
+    for i in range(blocks.n):
+        one = blocks.searcher(i)
+        found.append(steps.keep(search(one) if i == 0 else search(one).filter("n_hit > 0"), "block"))
+        one.destroy()
+    steps.drop(blocks.table)
+    out, *rest = found
     hits = out.filter("n_hit > 0")
     for r in rest:
         hits = hits.unionByName(r)
@@ -250,13 +255,15 @@ def contaminated():
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """``docs`` with all its columns, without the contaminated rows."""
-    shared = searchers(items, window, max_patterns)
-    if len(shared) == 1:
-        one = shared[0]
+    blocks = Blocks(items, window, max_patterns)
+    if blocks.n == 1:
+        one = blocks.searcher(0)
+        blocks.steps.drop(blocks.table)
 
         def run(it):
             for part in slices(it, "text"):
                 yield part.filter(pa.array(~one.value.search(column(part, "text")).contaminated()))
         return docs.mapInArrow(run, docs.schema)
+    blocks.steps.drop(blocks.table)
     bad = find_hits(docs, items, window, max_patterns).filter(contaminated()).select("doc_id", "text_key").distinct().alias("b")
     return docs.alias("d").join(bad, (F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))) & (text_key("d.text") == F.col("b.text_key")), "left_anti")
