@@ -183,17 +183,21 @@ RULES_SQL = fr"""
                coalesce(l.n, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
                length(text) - length(regexp_replace(text, '!', '', 'g')) AS n_bangs
         FROM words LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
-    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 40 * word_chars
-                OR 10 * n_bangs > 5 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+    judged AS (
+        SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+                       + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+                       + CASE WHEN 100 * n_upper > 40 * word_chars THEN 16 ELSE 0 END + CASE WHEN 10 * n_bangs > 5 * n_words THEN 32 ELSE 0 END
+                       + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 128 ELSE 0 END AS BIGINT) AS failures FROM measured)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures % 4 > 0 AS base_failed, failures, failures % 8 = 0 AS kept_v1, failures = 0 AS kept
     FROM judged"""
 
 
 @query("op10_quality_rules", RULES_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger's mask, and the verdicts of every version of the policy from it."""
     entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf, "documents")), "v2")
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "kept")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed("base").alias("base_failed"), "failures",
+                          (~quality_rules.failed("v1")).alias("kept_v1"), "kept")
 
 
 SEARCH_SQL = fr"""
