@@ -7,7 +7,7 @@ resources(kind, name), produced(kind, name, topic), reads(kind, name, topic).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -176,24 +176,32 @@ def written_table(sql: str) -> Column:
     Only the statement's beginning is cut into tokens, up to the first sign that can stand neither in its keywords nor in a name.
     """
     beginning = F.regexp_extract(sql, r"^(?:\s+|`[^`]*`|[\w$]+|\.)*", 0)
-    # bound to a variable: each use of the array would cut the text again
-    return F.get(F.transform(F.array(F.regexp_extract_all(beginning, F.lit(r"`[^`]*`|[\w$]+|\."), F.lit(0))), _written), F.lit(0))
+    return _let(F.regexp_extract_all(beginning, F.lit(r"`[^`]*`|[\w$]+|\."), F.lit(0)), _written)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _written(tokens: Column) -> Column:
-    word = lambda i: F.upper(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")))
-    create = lambda i: F.when((word(i) == "IF") & (word(i + 1) == "NOT") & (word(i + 2) == "EXISTS"), i + 3).otherwise(i)
-    first = F.when((word(0) == "INSERT") & word(1).isin("INTO", "OVERWRITE"), F.lit(2)) \
-        .when((word(0) == "CREATE") & (word(1) == "TABLE"), create(2)) \
-        .when((word(0) == "CREATE") & (word(1) == "OR") & (word(2) == "REPLACE") & (word(3) == "TABLE"), create(4))
-    # every second token is a part while a dot stands before it; the name ends at the first pair that is none
-    rest = F.slice(tokens, first + 1, F.size(tokens) + 1)
-    named = lambda t: t.rlike(r"^(`[^`]+`|[\w$]+)$")
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(rest) / 2).cast("int")),
-                        lambda i: named(F.coalesce(F.get(rest, 2 * i), F.lit(""))) & ((i == 0) | (F.get(rest, 2 * i - 1) == ".")))
-    broken = F.array_position(pairs, F.lit(False))
-    parts = F.when(broken > 0, broken - 1).otherwise(F.size(pairs)).cast("int")
-    return F.when(first.isNotNull() & (parts > 0), F.translate(F.get(rest, 2 * (parts - 1)), "`", ""))
+    def first(words: Column) -> Column:
+        word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+        create = lambda i: F.when((word(i) == "IF") & (word(i + 1) == "NOT") & (word(i + 2) == "EXISTS"), i + 3).otherwise(i)
+        return F.when((word(0) == "INSERT") & word(1).isin("INTO", "OVERWRITE"), F.lit(2)) \
+            .when((word(0) == "CREATE") & (word(1) == "TABLE"), create(2)) \
+            .when((word(0) == "CREATE") & (word(1) == "OR") & (word(2) == "REPLACE") & (word(3) == "TABLE"), create(4))
+
+    def parts(rest: Column) -> Column:
+        """How many parts the name has: every second token is one while a dot stands before it."""
+        named = lambda t: t.rlike(r"^(`[^`]+`|[\w$]+)$")
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(rest) / 2).cast("int")),
+                            lambda i: named(F.coalesce(F.get(rest, 2 * i), F.lit(""))) & ((i == 0) | (F.get(rest, 2 * i - 1) == ".")))
+        return _let(pairs, lambda p: F.coalesce(F.nullif(F.array_position(p, F.lit(False)), F.lit(0)) - 1, F.size(p)).cast("int"))
+
+    last = lambda rest: _let(parts(rest), lambda n: F.when(n > 0, F.translate(F.get(rest, 2 * (n - 1)), "`", "")))
+    head = F.transform(F.slice(tokens, 1, 7), F.upper)
+    return _let(_let(head, first), lambda at: F.when(at.isNotNull(), _let(F.slice(tokens, at + 1, F.size(tokens) + 1), last)))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -209,12 +217,12 @@ def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
     before a word character or backquote. Names are of letters, digits, ``.``, ``_``, ``-``, ``$``. The words of all texts, and what
     stands in backquotes, are joined with the topics on equality, each once; only words that hold a separator are also cut into the shorter names they begin with.
     """
-    st = spread(statements.select("name", "sql"))
+    st = spread(statements.select("name", "sql")).select("name", "sql", written_table("sql").alias("_written"))     # before the names multiply the rows
     quoted = F.regexp_extract_all("sql", F.lit(r"(?=`([^`]+)`)"), F.lit(1))
     starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.$`])(?=([\w.$-]+`?))"), F.lit(1))
     marked = lambda names, whole: F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("run"), F.lit(whole).alias("whole")))
     # outer: else the engine adds a filter that works the array out a second time
-    named = st.select("name", written_table("sql").alias("_written"), F.explode_outer(F.concat(marked(quoted, True), marked(starts, False))).alias("n")) \
+    named = st.select("name", "_written", F.explode_outer(F.concat(marked(quoted, True), marked(starts, False))).alias("n")) \
         .select("name", "_written", "n.run", "n.whole")
     # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
     pieces = F.split("run", "(?=[.-])")
