@@ -109,14 +109,73 @@ def test_toxicity_cover_is_brute_force():
         assert toxicity._cover(found, terms, 100, 900) == want
 
 
-def test_license_scan_confirms_no_sibling_of_a_family(spark):
+HELD_OUT = [      # wordings that are no notice of the module, wrapped as in source files
+    ("Apache-2.0", "/*\n * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this file\n * except in compliance with the License.\n */"),
+    ("Apache-2.0", "# Licensed under the Apache License, Version\n# 2.0. You may not use this file except in\n# compliance with the License."),
+    ("Apache-2.0", "The code is released under the Apache License 2.0."),
+    ("GPL-3.0", "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+                "    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."),
+    ("GPL-3.0", "// Distributed under the GNU General Public\n// License, version 3 or later."),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n"
+                " * version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("LGPL-2.1", ";; This library is free software; you can redistribute it and/or\n;; modify it under the terms of the GNU Lesser General Public\n"
+                 ";; License as published by the Free Software Foundation; either\n;; version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "<!-- You can redistribute it and/or modify it under the terms\n of the GNU Affero General Public License as published by the\n Free Software Foundation, version 3. -->"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction."),
+    ("MIT", "This package is released under the MIT license."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+                     "1. Redistributions of source code must retain the above copyright notice,\n   this list of conditions and the following disclaimer.\n"
+                     "2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation."),
+    ("BSD-2-Clause", "-- SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears in all copies."),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. */"),
+    ("CC-BY-3.0", "The text is licensed under a Creative Commons\nAttribution 3.0 License."),
+    ("CC-BY-SA-4.0", "This article is licensed under the Creative\nCommons Attribution-ShareAlike 4.0 License."),
+]
+FRESH = [      # written when the module was finished, and judged once
+    ("Apache-2.0", "This file is part of the project and is provided to you under the\nApache License, Version 2.0."),
+    ("Apache-2.0", "You may use this work under the Apache 2.0 licence."),
+    ("MIT", "# This source code is licensed under the MIT license found in the\n# LICENSE file in the root directory of this source tree."),
+    ("MIT", "License: MIT"),
+    ("GPL-3.0", "You should have received a copy of the GNU General Public License,\nversion 3, along with this program."),
+    ("GPL-3.0", "The tool is free software, covered by the GNU GPL v3."),
+    ("GPL-2.0", "dnl This file is free software; it is distributed under the\ndnl terms of the GNU General Public License version 2."),
+    ("LGPL-3.0", "You can use the library under the terms of the GNU Lesser\nGeneral Public License, version 3 or later."),
+    ("AGPL-3.0", "The server is available under the AGPL v3."),
+    ("BSD-3-Clause", "All code here is under the 3-clause BSD license."),
+    ("MPL-2.0", "Subject to the Mozilla Public\nLicense, version 2.0."),
+    ("CC-BY-4.0", "Photos are published under the Creative Commons Attribution 4.0 licence."),
+    ("CC-BY-NC-4.0", "You may share the text under CC BY-NC 4.0."),
+    ("CC0-1.0", "The data are released into the public domain under CC0 1.0 Universal."),
+]
+
+
+def test_license_scan_finds_wrapped_notices_and_confirms_no_sibling_of_a_family(spark):
     rnd = random.Random(9)
-    siblings = ["This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Affero General Public License, version 3.",
-                license_scan.NOTICES[8][1].replace("version 3", "version 2"), license_scan.NOTICES[8][1].replace("General", "Affero General"),
-                "Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
-                "Licensed under CC BY-NC-ND 4.0.", "Licensed under the Apache License, Version 1.1."]
-    texts = [(i, prose(rnd, 30) + "\n" + prose(rnd, 12), "s") for i in range(60)] + [(100 + i, t, "s") for i, t in enumerate(siblings)]
+    siblings = [("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+                ("GPL-2.0", license_scan.NOTICES[8][1].replace("version 3", "version 2")), ("AGPL-3.0", license_scan.NOTICES[8][1].replace("General", "Affero General")),
+                ("CC-BY-3.0", "Licensed under CC BY 3.0."), ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+                ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."), ("", "Licensed under the Apache License, Version 1.1.")]
+    strangers = [*license_scan.SIBLINGS, "This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY 2.5.", "Licensed under the Apache License,\nVersion 1.0.",
+                 "SPDX-License-Identifier: BSD-4-Clause", "The library opens at 3 and the public is licensed to read there."]
+    texts = [(i, prose(rnd, 30) + ".\n" + prose(rnd, 12), "s") for i in range(60)] + [(100 + i, t, "s") for i, (_, t) in enumerate(siblings)]
     texts += [(200 + i, t, "s") for i, (_, t) in enumerate(license_scan.NOTICES)]
+    around = lambda t: prose(rnd, 20) + ".\n\n" + t + "\n\n" + prose(rnd, 20)
+    texts += [(1000 + i, around(t), "s") for i, (_, t) in enumerate(HELD_OUT)] + [(1500 + i, around(t), "s") for i, (_, t) in enumerate(FRESH)]
+    texts += [(2000 + i, around(t), "s") for i, t in enumerate(strangers)]
     got = {r.doc_id: (r.n_licence, r.families) for r in license_scan.licences(docs_of(spark, texts)).collect()}
-    assert [got[100 + i] for i in range(len(siblings))] == [(0, "")] * len(siblings)
+    assert [got[100 + i] for i in range(len(siblings))] == [(int(f != ""), f) for f, _ in siblings]
     assert [got[200 + i] for i in range(len(license_scan.NOTICES))] == [(1, f) for f, _ in license_scan.NOTICES]
+    assert [got[2000 + i] for i in range(len(strangers))] == [(0, "")] * len(strangers)
+    for first, held_out, share in ((1000, HELD_OUT, 0.9), (1500, FRESH, 0.5)):
+        wrong = [(f, t, got[first + i]) for i, (f, t) in enumerate(held_out) if got[first + i] != (1, f)]
+        assert all(w == (0, "") for *_, w in wrong) and len(wrong) <= (1 - share) * len(held_out), wrong
+
+
+def test_paragraphs_of_a_text(spark):
+    text = "One line.\n * wrapped\n * header, v.\n * 2.0 of it\n *\n# Next\nno stop\r\n\n---\nLast: \nend -->"
+    got = [(r["at"], r.part, r.paragraph) for r in license_scan.paragraphs(docs_of(spark, [(1, text, "s"), (2, None, "s"), (3, "", "s"), (4, " \n--\n", "s")])).collect()]
+    # the line after the first one starts with a small letter, so it goes on
+    assert got == [(0, 0, "One line. wrapped header, v. 2.0 of it"), (0, 1, "One line."), (0, 2, "wrapped"), (0, 3, "header, v."), (0, 4, "2.0 of it"),
+                   (1, 0, "Next no stop"), (1, 1, "Next"), (1, 2, "no stop"), (2, 0, "Last: end"), (2, 1, "Last:"), (2, 2, "end")]
