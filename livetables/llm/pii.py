@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Seeds: e-mail addresses, IP addresses, card and phone numbers, by their shape (``base_spans``).
-2. Candidates, by the loose shape of each kind and where no seed is: tokens with enough digits, or an @; digit groups joined by blanks, brackets,
-   dots or dashes; hex groups with colons. Seeds and candidates alike have contexts: the word before, the two words before, the two
-   words after, as lexical patterns (lower-cased, digits as 0). A candidate within another one counts only if the outer one is too long for a phone number.
+2. Candidates, by the loose shape of each kind and where no seed is: tokens with the digits of a phone number at least, or an @; numbers with
+   two dots or more; digit groups joined by blanks, brackets, dots or dashes; hex groups with colons. Seeds and candidates alike have contexts: the
+   word before, the two words before, the two words after, as lexical patterns (lower-cased, digits as 0; a word of more than ``PIECE`` code points is taken in
+   pieces of that size, counted from the place). A candidate within another one counts only if the outer one is too long for a phone number.
 3. Graph: patterns and instances (digests of the texts of seeds and candidates) are joined by the places where they meet. Rounds over
-   that graph, all joins and sums: a pattern scores the share of its places that are instances believed so far, per
-   kind; an instance is believed as far as its best pattern is.
+   that graph, all joins and sums: a pattern scores, per kind, the share of its places that are instances believed so far; a place with a
+   candidate that could be of the kind, but is not believed yet, neither confirms nor refutes and weighs a tenth, any other one weighs whole. An instance is
+   believed as far as its best pattern is. Scores and beliefs are whole thousandths that only grow, so the rounds end, when none has changed.
 4. Patterns with ``min_support`` different believed instances and a score of ``confidence`` discover: a candidate in such a context, with
    the shape that the kind allows, becomes a span of that kind.
 
@@ -25,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from livetables.llm.base import Steps, column, free_name, row_key
@@ -33,10 +35,10 @@ from livetables.llm.base import Steps, column, free_name, row_key
 KINDS = ["email", "ip", "card", "phone"]
 MIN_SUPPORT = 5
 CONFIDENCE = 0.9
-ROUNDS = 3
-MIN_DIGITS = 6
+FULL = 1000              # scores and beliefs: whole thousandths
+MIN_DIGITS = 6           # of a phone number; a card has more
 PHONE_DIGITS, CARD_DIGITS = 15, 19      # at most
-LONGEST = 64             # code points of a word in a context
+PIECE = 64               # code points of a word in a context
 
 # fixed values: the shapes of the seeds
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +51,7 @@ _space = re.compile(r"\s")
 _edges = "\"'`.,;:!?()[]{}<>*%&$#|="
 # the shapes of the candidates
 _start = re.compile(r"[0-9]+|@")
+_dotted = re.compile(r"[0-9]++(?:\.[0-9]++){2,}+")
 _groups = re.compile(rf"(?<![^\s{re.escape(_edges)}])(?<![0-9][:.,])[+(]{{0,2}}[0-9]++(?:[ ().+/-]+[0-9]++)*+\)?")
 _glued = re.compile(rf"[:.,]?[0-9]|[^\s\w{re.escape(_edges)}]*\w")
 _colons = re.compile(r":[0-9A-Fa-f]{0,4}:")
@@ -96,7 +99,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens between whitespace, stripped at the ends, with enough digits or an @."""
+    """Tokens between whitespace, stripped at the ends, with enough digits, an @, or two dots between digits."""
     done = 0
     for m in _start.finditer(text):
         if m.start() < done:
@@ -111,7 +114,7 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         while last > first and text[last - 1] in _edges:
             last -= 1
         token = text[first:last]
-        if _digit_count(token) >= MIN_DIGITS or "@" in token and any(map(str.isalnum, token)):
+        if _digit_count(token) >= MIN_DIGITS or "@" in token and any(map(str.isalnum, token)) or _dotted.fullmatch(token):
             yield first, last
 
 
@@ -196,17 +199,16 @@ def _shape(token: str) -> str:
 
 
 def _word(text: str, at: int, step: int) -> tuple[str, int]:
-    """The word next to a place, going left (-1) or right (1), and where it ends; none if it is longer than ``LONGEST``."""
+    """The word next to a place, or its nearest ``PIECE`` code points, going left (-1) or right (1), and where that ends."""
     n = len(text)
     inside = lambda i: 0 <= (i - 1 if step < 0 else i) < n
     char = lambda i: text[i - 1 if step < 0 else i]
     while inside(at) and char(at).isspace():
         at += step
     end = at
-    while inside(end) and abs(end - at) <= LONGEST and not char(end).isspace():
+    while inside(end) and abs(end - at) < PIECE and not char(end).isspace():
         end += step
-    word = text[min(at, end):max(at, end)]
-    return ("" if len(word) > LONGEST else word), end
+    return text[min(at, end):max(at, end)], end
 
 
 def _contexts(text: str, first: int, last: int) -> list[str]:
@@ -234,46 +236,65 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                "places": pa.array(places, pa.list_(place))})
 
 
-def _fits(kind: str, shape: str):
+def _fits(kind: str, s: Column) -> Column:
     """A candidate of this shape (letters a, digits 0) can be an identifier of the kind that failed the strict form."""
-    s = F.col(shape)
     digits = F.char_length(s) - F.char_length(F.translate(s, "0", ""))
-    return F.when(F.col(kind) == "card", s.rlike(r"^[0 -]+$") & digits.between(12, 19)) \
-        .when(F.col(kind) == "phone", s.rlike(r"^[0 ().+/-]+$") & digits.between(6, 15)) \
-        .when(F.col(kind) == "ip", s.rlike(r"^[0a:.]+$") & s.rlike("[:.]")) \
-        .otherwise(s.contains("@"))
+    return {"card": s.rlike(r"^[0 -]+$") & digits.between(12, 19), "phone": s.rlike(r"^[0 ().+/-]+$") & digits.between(MIN_DIGITS, PHONE_DIGITS),
+            "ip": s.rlike(r"^[0a:.]+$") & s.rlike("[:.]"), "email": s.contains("@")}[kind]
 
 
-def bootstrap(steps: Steps, scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind, score) of the patterns that discover."""
+def _kinds(shape: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(_fits(k, shape), F.lit(k)) for k in KINDS]))
+
+
+def bootstrap(steps: Steps, scanned: DataFrame, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, kind, score, support) of the patterns that discover; scores in thousandths."""
     places = scanned.select(F.explode("places").alias("p"))
     graph = steps.keep(places.select(F.explode("p.contexts").alias("pattern"), "p.instance", "p.shape", "p.kind")
                        .groupBy("pattern", "instance", "shape", "kind").agg(F.count("*").alias("n")), "graph")
-    total = steps.keep(graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.countDistinct("instance").alias("instances")).filter(F.col("instances") >= min_support), "totals")
-    graph = steps.keep(graph.join(total.select("pattern"), "pattern", "left_semi"), "graph")
-    seeds = graph.filter("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("belief"))
-    believed = steps.keep(seeds, "believed")
-    for _ in range(rounds):
-        hits = graph.select("pattern", "instance", "n").join(believed, "instance").groupBy("pattern", "kind").agg(
-            F.sum(F.col("n") * F.col("belief")).alias("good"), F.countDistinct("instance").alias("support"))
-        patterns = steps.keep(hits.join(total, "pattern").select("pattern", "kind", (F.col("good") / F.col("total")).alias("score"), "support")
-                              .filter((F.col("support") >= min_support) & (F.col("score") >= confidence)), "patterns")
-        found = graph.filter("kind IS NULL").select("pattern", "instance", "shape").join(patterns, "pattern").filter(_fits("kind", "shape")) \
-            .groupBy("instance", "kind").agg(F.max("score").alias("belief"))
-        believed = steps.keep(seeds.unionByName(found).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "believed")
-    return patterns
-
-
-def find(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.countDistinct("instance").alias("instances")).filter(F.col("instances") >= min_support)
+    # an edge per kind that the place is, or may be
+    kinds = F.when(F.col("kind").isNull(), _kinds(F.col("shape"))).otherwise(F.array("kind"))
+    edges = graph.select("pattern", "instance", F.col("kind").isNull().alias("open"), F.explode(kinds).alias("kind"), "n")
+    edges = steps.keep(edges.join(total.select("pattern"), "pattern", "left_semi"), "edges")
+    sizes = edges.groupBy("pattern", "kind").agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("unseen"))
+    sizes = steps.keep(sizes.join(total.select("pattern", "total"), "pattern"), "sizes")
+    steps.drop(graph)
+    seeds = edges.filter(~F.col("open")).select("instance", "kind", F.lit(FULL).cast("long").alias("belief")).distinct()
+    believed, before, patterns = steps.keep(seeds, "believed"), None, None
+    while True:
+        mass = F.col("n") * F.col("belief")
+        hits = edges.join(believed, ["instance", "kind"]).groupBy("pattern", "kind").agg(
+            F.sum(mass).alias("good"), F.sum(F.when(F.col("open"), mass).otherwise(0)).alias("found"), F.countDistinct("instance").alias("support"))
+        # the weight of all places: whole ones, what is believed of the candidates, and a tenth of what is not
+        weight = f"{10 * FULL} * (total - unseen) + 9 * found + {FULL} * unseen"
+        found = hits.filter(F.col("support") >= min_support).join(sizes, ["pattern", "kind"]) \
+            .select("pattern", "kind", F.expr(f"{10 * FULL} * good div ({weight})").alias("score"), "support").filter(F.col("score") >= round(FULL * confidence))
+        found = steps.keep(found, "patterns")
+        if patterns is not None:
+            steps.drop(patterns)
+        patterns = found
+        now = patterns.agg(F.count("*"), F.sum("score"), F.sum("support")).first()
+        if now == before:
+            steps.drop(believed, edges, sizes)
+            return patterns
+        old, before = believed, now
+        new = edges.filter("open").join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("belief"))
+        believed = steps.keep(old.unionByName(new).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "believed")
+        steps.drop(old)
+
+
+def find(docs: DataFrame, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Per row of (doc_id, text): row_key, ``spans`` of the seeds and ``added`` spans."""
     steps = Steps(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row_key"), "text")
     scanned = steps.keep(rows.mapInArrow(scan, SCANNED), "scanned")
-    patterns = bootstrap(steps, scanned, rounds, min_support, confidence)
+    patterns = bootstrap(steps, scanned, min_support, confidence)
     open_ = scanned.select("row_key", F.explode("places").alias("p")).filter("p.kind IS NULL") \
-        .select("row_key", "p.first", "p.last", "p.shape", F.explode("p.contexts").alias("pattern"))
+        .select("row_key", "p.first", "p.last", F.explode(_kinds(F.col("p.shape"))).alias("kind"), F.col("p.contexts").alias("contexts")) \
+        .select("row_key", "first", "last", "kind", F.explode("contexts").alias("pattern"))
     ranked = F.struct(F.col("score"), (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("order"), F.col("kind"))
-    best = open_.join(patterns, "pattern").filter(_fits("kind", "shape")).groupBy("row_key", "first", "last").agg(F.max(ranked).alias("b"))
+    best = open_.join(patterns, ["pattern", "kind"]).groupBy("row_key", "first", "last").agg(F.max(ranked).alias("b"))
     # of candidates within each other the outer one
     before = Window.partitionBy("row_key").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("reach", F.max("last").over(before)).filter("reach IS NULL OR last > reach")
