@@ -57,6 +57,7 @@ class Staged:
     changes: DataFrame
     offsets: dict[str, int]
     record_ts: str | None
+    records: int | None = None      # fresh ones, where offsets tell
 
 
 class _Table:
@@ -108,12 +109,12 @@ class _Table:
         newest = F.max(F.col("_timestamp").cast("timestamp_ntz")) if stamped else F.lit(None).cast("timestamp_ntz")
         if not set(GUARD_COLUMNS) <= set(batch.columns):
             return Staged(reduced(fresh), {}, None)
-        ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts")).collect()
+        ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts"), F.count("*").alias("n")).collect()
         if not ends:
             return None
         ts = max((r["ts"] for r in ends if r["ts"]), default=None)
         offsets = {str(r["_partition"]): r["next_offset"] for r in ends}
-        return Staged(reduced(fresh), offsets, ts.isoformat(timespec="microseconds") if ts else None)
+        return Staged(reduced(fresh), offsets, ts.isoformat(timespec="microseconds") if ts else None, sum(r["n"] for r in ends))
 
     def drop(self) -> None:
         self.store.commit(self.store.snapshot(), {self.name: None})

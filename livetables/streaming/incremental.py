@@ -15,11 +15,12 @@ from pyspark.sql.types import DataType, DecimalType, FractionalType
 
 from livetables.operators.changelog import signed_diff
 from livetables.operators.store import TableStore
-from livetables.operators.tables import DEFAULT_BUCKETS, KeyedTable
+from livetables.operators.tables import DEFAULT_BUCKETS, KeyedTable, Staged
 from livetables.session import discard, materialize
 from livetables.plans.views import MONEY, customer_360_rows, inventory_live, is_open, sold_total
 
 SUM = "decimal(38,2)"
+SMALL = 2000        # records of a refresh whose steps are held as local rows
 
 
 class Refresh:
@@ -27,6 +28,10 @@ class Refresh:
 
     Tables are written by their own threads while the next step is planned: the writes do not
     depend on each other, only on rows that are kept.
+
+    A step has at most two rows per record (the old and the new one). So with at most ``SMALL`` records,
+    counted with their offsets, a kept step goes into the next plans as local rows; beyond that, or where the count is
+    not known, it is written to the shared folder. The rows are the same.
     """
 
     def __init__(self, store: TableStore):
@@ -34,6 +39,7 @@ class Refresh:
         self._writes: dict[str, Future] = {}
         self._changes: dict[str, DataFrame] = {}
         self._steps: list[str] = []
+        self._records: list[int | None] = []
         self._pool = ThreadPoolExecutor(4)
 
     def __enter__(self) -> Refresh:
@@ -45,14 +51,27 @@ class Refresh:
         discard(self.store.spark, *self._steps)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Rows that several steps use, written out until the refresh ends: it keeps the plans of those steps short."""
+        """Rows that several steps use, worked out once: it keeps the plans of those steps short."""
+        if self.small():
+            return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
         out = materialize(df, "step")
         self._steps.append(out._written_to)
         return out
 
+    def small(self) -> bool:
+        return None not in self._records and sum(self._records) <= SMALL
+
     def take(self, table: KeyedTable, batch: DataFrame | None) -> DataFrame | None:
         """The new changes of an input, one per key, and their write."""
+        return self._taken(table, self._staged(table, batch))
+
+    def _staged(self, table: KeyedTable, batch: DataFrame | None) -> Staged | None:
         staged = None if batch is None else table.stage(batch, self.base)
+        if staged is not None:
+            self._records.append(staged.records)
+        return staged
+
+    def _taken(self, table: KeyedTable, staged: Staged | None) -> DataFrame | None:
         if staged is None:
             return None
         changes = self.keep(staged.changes)
@@ -60,7 +79,8 @@ class Refresh:
         return changes
 
     def take_both(self, *inputs: tuple[KeyedTable, DataFrame | None]) -> list[DataFrame | None]:
-        return [f.result() for f in [self._pool.submit(self.take, t, b) for t, b in inputs]]
+        staged = [f.result() for f in [self._pool.submit(self._staged, t, b) for t, b in inputs]]
+        return [f.result() for f in [self._pool.submit(self._taken, t, s) for (t, _), s in zip(inputs, staged)]]
 
     def put(self, table: KeyedTable, rows: DataFrame) -> None:
         self._submit(table, rows)
@@ -123,7 +143,8 @@ def merge_signed(refresh: Refresh, table: KeyedTable, signed: DataFrame, sums: d
     delta = signed.groupBy(*table.keys).agg(F.sum(w).alias("n"), *[F.sum(w * v).alias(k) for k, v in sums.items()],
                                             *[F.sum(F.when(v.isNotNull(), w)).alias(counted(k)) for k, v in sums.items()])
     columns = ["n", *sums, *map(counted, sums)]
-    rows = with_stored(delta.dropna(subset=table.keys), table, refresh.base, columns)
+    delta = delta.dropna(subset=table.keys)
+    rows = with_stored(refresh.keep(delta) if refresh.small() else delta, table, refresh.base, columns)
     types = {**{c: "long" for c in columns}, **{k: _sum_type(signed.select(v.alias("v")).schema["v"].dataType) for k, v in sums.items()}}
     total = {c: (F.coalesce(F.col(f"old_{c}").cast(types[c]), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).cast(types[c]) for c in columns}
     total |= {k: F.when(total[counted(k)] > 0, total[k]) for k in sums}

@@ -11,6 +11,7 @@ from livetables.operators.store import TableStore
 from livetables.operators.tables import KeyedTable
 from livetables.plans.views import customer_360, inventory_live
 from livetables.session import workdir
+from livetables.streaming import incremental
 from livetables.streaming.incremental import CustomerView, GroupCount, InventoryView, Refresh
 from tests.conftest import rows
 
@@ -41,8 +42,10 @@ def history(seed, n=120):
     return customers, orders
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_customer_view_equals_batch(spark, seed):
+@pytest.mark.parametrize("seed, small", [(1, incremental.SMALL), (2, -1), (3, 25)])
+def test_customer_view_equals_batch(spark, monkeypatch, seed, small):
+    """With steps as local rows, as written rows, and with both in turn."""
+    monkeypatch.setattr(incremental, "SMALL", small)
     customers, orders = history(seed)
     rnd = random.Random(seed + 100)
     view = CustomerView(TableStore(spark, workdir(spark, "view")), buckets=rnd.choice([1, 3, 20]))
@@ -137,7 +140,9 @@ def test_empty_refresh(spark, store):
         assert refresh.commit() == {"commit": 0, "tables": {}}
 
 
-def test_an_error_ends_the_writes_and_steps_go(spark, store, monkeypatch):
+@pytest.mark.parametrize("small", [-1, incremental.SMALL])
+def test_an_error_ends_the_writes_and_steps_go(spark, store, monkeypatch, small):
+    monkeypatch.setattr(incremental, "SMALL", small)
     customers, orders = history(4, 40)
     view = CustomerView(store)
     c, o = spark.createDataFrame(customers, CUSTOMERS), spark.createDataFrame(orders, ORDERS)
@@ -151,7 +156,8 @@ def test_an_error_ends_the_writes_and_steps_go(spark, store, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         view.refresh(c, o)
     assert made and all(refresh._pool._shutdown and not any(t.is_alive() for t in refresh._pool._threads) for refresh, _ in made)
-    assert not any(os.path.exists(out._written_to.removeprefix("file:")) for _, out in made)
+    written = {p for refresh, _ in made for p in refresh._steps}
+    assert bool(written) == (small < 0) and not any(os.path.exists(p.removeprefix("file:")) for p in written)
     monkeypatch.undo()
     view.refresh(c, o)
     want = customer_360(cl.latest_by_key(c, ["customer_id"]), cl.latest_by_key(o, ["order_id"]))
