@@ -40,19 +40,21 @@ def recent(ts: Column | str, now: str, minutes: int) -> Column:
     return _col(ts) > F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
 
 
-def iso_time(c: Column | str, data_type: str) -> Column:
-    """A temporal value as ISO-8601 text: seconds and micros only where they are not zero."""
+def iso_time(c: Column | str, data_type: str, shortest: bool = True) -> Column:
+    """A temporal value as ISO-8601 text: seconds and micros only where they are not zero, or else (not ``shortest``) always, with three or six digits."""
     c = _col(c)
     if data_type == "date":
         return F.date_format(c, "yyyy-MM-dd")
     # the zero offset of an instant is written Z; a local timestamp has none
     zone = "X" if data_type == "timestamp" else ""
+    fraction = F.when(F.date_format(c, "SSSSSS").endswith("000"), F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss.SSS{zone}")) \
+        .otherwise(F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS{zone}"))
+    if not shortest:
+        return fraction
     whole = c == F.date_trunc("second", c)
     minute = c == F.date_trunc("minute", c)
-    text = (F.when(minute, F.date_format(c, f"yyyy-MM-dd'T'HH:mm{zone}"))
-            .when(whole, F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss{zone}"))
-            .when(F.date_format(c, "SSSSSS").endswith("000"), F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss.SSS{zone}")))
-    return text.otherwise(F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS{zone}"))
+    return (F.when(minute, F.date_format(c, f"yyyy-MM-dd'T'HH:mm{zone}"))
+            .when(whole, F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss{zone}")).otherwise(fraction))
 
 
 def json_value(c: Column | str, path: str = "$") -> Column:

@@ -134,6 +134,18 @@ def test_iso_time(spark, ts, text):
     assert df.select(iso_time(F.col("x").cast("timestamp_ntz"), "timestamp_ntz")).first()[0] == text[:-1]
 
 
+def test_iso_time_query_matches_its_sql_on_whole_seconds(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.check import compare
+    import duckdb
+    times = ["2024-01-01 00:00:00", "2024-01-01 10:00:00", "2024-01-01 10:00:05", "2024-01-01 10:00:05.12", "2024-01-01 10:00:05.000123", "2024-01-01 10:00:05.100001", "1969-12-31 23:59:59", None]
+    con = duckdb.connect()
+    values = ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in enumerate(times))
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, CAST(t AS TIMESTAMP) AS ts FROM (VALUES {values}) v(i, t)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert compare("fn_iso_time", entry.queries()["fn_iso_time"](spark, str(tmp_path)), con, entry.oracle_sql()["fn_iso_time"]) is None
+
+
 def test_overlong_decimals_fail(spark):
     from livetables.functions.casts import cast_expr
     read = lambda b: spark.createDataFrame([(bytearray(b),)], "b binary").select(cast_expr(F.col("b"), "decimal(10,2)")).first()[0]
