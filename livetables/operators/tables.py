@@ -9,12 +9,13 @@ few layers.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Sequence
 from copy import deepcopy
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -24,6 +25,7 @@ from livetables.operators.pruning import keys_reached
 from livetables.operators.layout import (APPEND, UPSERT, Layout, LayoutError, conform, infer_mode,
                                          merge_layout)
 from livetables.operators.store import TableStore
+from livetables.session import discard, workdir
 
 DEFAULT_BUCKETS = 6  # fixed value: partitions of a topic declared without a bucket count
 MAX_LAYERS = 8           # a read resolves at most this many layers
@@ -31,6 +33,7 @@ FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base a
 FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
 FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
 FEW_BUCKETS = 16         # a batch of keys touches them all
+GROUP_LEVELS = 6         # 2 ** 6 pieces of a batch are written together: one piece's state has at most 6 of their layers, next to the base and one older layer
 JOIN_VERSIONS = 8        # so many small versions of a log become one
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
@@ -43,6 +46,21 @@ def bucket_of(columns: Sequence[str | Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns]), F.lit(n)).cast("int")
 
 
+def piece_sizes(batch: DataFrame, most: int) -> tuple[Column, int]:
+    """The number, from 0, of the piece of at most ``most`` records that a record belongs to, and how many pieces there are.
+
+    Each partition of the topic gives a piece the same number of consecutive records, so offsets only grow from piece to piece.
+    """
+    counts = {r["_partition"]: r["n"] for r in batch.groupBy("_partition").agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) <= most:
+        return F.lit(0).cast("long"), min(1, len(counts))
+    if len(counts) > most:
+        raise ValueError(f"{len(counts)} partitions do not go into pieces of {most} records")
+    share = most // len(counts)
+    place = F.row_number().over(Window.partitionBy("_partition").orderBy("_offset"))
+    return F.floor((place - 1) / share), -(-max(counts.values()) // share)
+
+
 def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="microseconds")
 
@@ -105,8 +123,7 @@ class _Table:
         batch: the last record of a partition need not be the last of its key.
         """
         fresh = self.guard(batch, snapshot)
-        stamped = "_timestamp" in batch.columns
-        newest = F.max(F.col("_timestamp").cast("timestamp_ntz")) if stamped else F.lit(None).cast("timestamp_ntz")
+        newest = self._newest(batch)
         if not set(GUARD_COLUMNS) <= set(batch.columns):
             return Staged(reduced(fresh), {}, None)
         ends = fresh.groupBy("_partition").agg((F.max("_offset") + 1).alias("next_offset"), newest.alias("ts"), F.count("*").alias("n")).collect()
@@ -116,6 +133,10 @@ class _Table:
         offsets = {str(r["_partition"]): r["next_offset"] for r in ends}
         return Staged(reduced(fresh), offsets, ts.isoformat(timespec="microseconds") if ts else None, sum(r["n"] for r in ends))
 
+    @staticmethod
+    def _newest(batch: DataFrame) -> Column:
+        return F.max(F.col("_timestamp").cast("timestamp_ntz")) if "_timestamp" in batch.columns else F.lit(None).cast("timestamp_ntz")
+
     def drop(self) -> None:
         self.store.commit(self.store.snapshot(), {self.name: None})
 
@@ -265,6 +286,97 @@ class KeyedTable(_Table):
         state = self.apply(changes, snapshot)
         return snapshot if state is None else self.store.commit(snapshot, {self.name: state})
 
+    def merge_pieces(self, batch: DataFrame, most: int) -> int:
+        """Merge a large batch in commits of at most ``most`` records each, in the order of their offsets; returns how many there were.
+
+        The result of every commit is that of ``merge`` on its piece. But the layers of 2 ** ``GROUP_LEVELS`` pieces are written by one job, so a commit costs its manifest, whatever
+        the number of pieces. What is committed already is skipped, so the batch may come again after an error.
+        """
+        fresh = self.guard(batch, self.store.snapshot())
+        piece, n = piece_sizes(fresh, most)
+        if n <= 1:
+            self.merge(batch)
+            return 1
+        width = 2 ** GROUP_LEVELS
+        path = workdir(self.spark, "pieces")
+        rows = fresh.withColumn("_piece", piece).withColumn("_group", F.floor(F.col("_piece") / width))
+        rows.write.partitionBy("_group").parquet(path)
+        schema = rows.drop("_group").schema
+        try:
+            for g in range(-(-n // width)):
+                group = self.spark.read.schema(schema).parquet(f"{path}/_group={g}")
+                first = g * width
+                if self.state() is None:          # its layout, and the first base
+                    self.merge(group.filter(F.col("_piece") == first).drop("_piece"))
+                    group, first = group.filter(F.col("_piece") > first), first + 1
+                self._merge_group(group.withColumn("_piece", F.col("_piece") - first), min(n, (g + 1) * width) - first)
+        finally:
+            discard(self.spark, path)
+        return n
+
+    def _merge_group(self, rows: DataFrame, n: int) -> None:
+        """Commit pieces 0 to n - 1 one by one, all written by one job.
+
+        The state after p pieces has one layer for each 1 in the binary digits of p: blocks of 32, 16, … pieces that follow each other. So a record is written once
+        for each block it lies in, at most once a level, and no state needs layers to be joined.
+        """
+        if n < 1:
+            return
+        snapshot = self.store.snapshot()
+        state = self.state(snapshot)
+        ends = rows.groupBy("_piece", "_partition").agg((F.max("_offset") + 1).alias("next_offset"), self._newest(rows).alias("ts")).collect()
+        blocks = [(level, start) for level in range(GROUP_LEVELS + 1) for start in range(0, n, 2 << level) if start + (1 << level) <= n]
+        tag = uuid.uuid4().hex[:10]
+        version = {(level, start): f"v{snapshot['commit'] + 1 + start:012d}-{1 << level:02d}{tag}" for level, start in blocks}
+        start = F.col("_piece") - F.col("_piece") % F.col("_width")
+        number = F.lpad((start + F.lit(snapshot["commit"] + 1)).cast("string"), 12, "0")
+        name = F.concat(F.lit("v"), number, F.lit("-"), F.lpad(F.col("_width").cast("string"), 2, "0"), F.lit(tag))
+        if "_deleted" not in rows.columns:
+            rows = rows.withColumn("_deleted", F.lit(False))
+        layout = merge_layout(Layout.from_json(state["layout"]), self._incoming_layout(rows.drop("_piece")))
+        widths = F.array(*[F.lit(1 << level) for level in range(GROUP_LEVELS + 1)])
+        placed = (changelog.drop_null_keys(rows, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])).withColumn("_width", F.explode(widths))
+                  .withColumn("_v", name).filter(F.col("_v").isin(list(version.values())))
+                  .repartition(max(1, self.spark.sparkContext.defaultParallelism), "_v", "_bucket"))
+        order = self.order if set(self.order) <= set(rows.columns) else []
+        last = changelog.last_change(placed, ["_v", "_bucket", *self.keys], ["_piece", *order])
+        path = f"{self.store.root}/_pieces/{uuid.uuid4().hex}"
+        conform(last, StructType([*layout.schema, DELETED, BUCKET, VERSION])).write.partitionBy("_v", "_bucket").parquet(path)
+        held = self.store.adopt(self.name, path)
+
+        state = {**state, "layout": layout.to_json()}
+        shallow = deepcopy(state)
+        self._shallow(shallow, snapshot)
+        for p in range(1, n + 1):
+            files, sizes = deepcopy(shallow["files"]), deepcopy(shallow["bytes"])
+            written = dict(shallow["written"])
+            for at in _binary_blocks(p):
+                counts = held.get(version[at], {})
+                written[version[at]] = len(counts)
+                for b, count in counts.items():
+                    if b not in files:
+                        files[b], sizes[b] = [NO_BASE], [0]
+                    files[b].append(version[at])
+                    sizes[b].append(count)
+            mine = [r for r in ends if r["_piece"] == p - 1]
+            times = [r["ts"] for r in mine if r["ts"]]
+            state = self._progressed({**state, "files": files, "bytes": sizes, "written": written}, {str(r["_partition"]): r["next_offset"] for r in mine},
+                                     max(times).isoformat(timespec="microseconds") if times else None)
+            if p == n:
+                fresh = {b: sum(held.get(version[at], {}).get(b, 0) for at in _binary_blocks(n)) for b in files}
+                grown = self._grown(sizes, {b: x for b, x in fresh.items() if x})
+                if grown:
+                    self._fold(state, grown, snapshot)
+                self._shallow(state, snapshot)
+            self._tidy(state)
+            snapshot = self.store.commit(snapshot, {self.name: state})
+
+    def _shallow(self, state: dict, snapshot: dict) -> None:
+        """Join layers where a bucket has more than one, so that it has room for those of a group of pieces."""
+        deep = {b for b, layers in state["files"].items() if len(layers) > MAX_LAYERS - GROUP_LEVELS}
+        if deep:
+            self._join_layers(state, deep, snapshot)
+
     def apply(self, changes: DataFrame, snapshot: dict, definition: str | None = None) -> dict | None:
         """Write one batch and return the table state to commit; None if there is nothing new."""
         staged = self.stage(changes, snapshot)
@@ -462,6 +574,16 @@ class LogTable(_Table):
         return self.store.commit(snapshot, {self.name: self._joined(state, 0, snapshot)})
 
 
+def _binary_blocks(p: int) -> list[tuple[int, int]]:
+    """Numbers 0 to p - 1 as (level, start) of blocks of 2 ** level numbers, the largest first."""
+    blocks, start = [], 0
+    for level in range(p.bit_length() - 1, -1, -1):
+        if p >> level & 1:
+            blocks.append((level, start))
+            start += 1 << level
+    return blocks
+
+
 def _small_tail(sizes: Sequence[int], least: int) -> int | None:
     """Where the newest versions begin that are worth joining: ``least`` of them or more, none larger than all newer ones together.
 

@@ -7,12 +7,12 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from livetables.operators.layout import LayoutError
-from livetables.operators.tables import KeyedTable, LogTable
+from livetables.operators.tables import KeyedTable, LogTable, piece_sizes
 from livetables.session import discard, workdir
 from livetables.sources.topics import with_event_time
 from livetables.sources.wire import WireFormatError
@@ -43,20 +43,15 @@ def _adaptive(batch: DataFrame, apply: Callable[[DataFrame], object]) -> None:
 def in_pieces(batch: DataFrame, apply: Callable[[DataFrame], object], most: int) -> int:
     """``apply`` on pieces of at most ``most`` records, in the order of their offsets; returns how many there were.
 
-    For sources that cannot bound a batch themselves, such as one large file. Each partition of the topic gives a piece the same number of consecutive records, so offsets
-    only grow from piece to piece, and a restart skips the pieces that are committed. The batch is written once, by piece, and each piece read once.
+    For sources that cannot bound a batch themselves, such as one large file. Offsets only grow from piece to piece, so a restart skips the pieces that are committed.
+    The batch is written once, by piece, and each piece read once. A keyed table takes its pieces by ``merge_pieces``, which writes many of them by one job.
     """
-    counts = {r["_partition"]: r["n"] for r in batch.groupBy("_partition").agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) <= most:
+    piece, pieces = piece_sizes(batch, most)
+    if pieces <= 1:
         apply(batch)
         return 1
-    if len(counts) > most:
-        raise ValueError(f"{len(counts)} partitions do not go into pieces of {most} records")
-    share = most // len(counts)
-    place = F.row_number().over(Window.partitionBy("_partition").orderBy("_offset"))
     path = workdir(batch.sparkSession, "pieces")
-    batch.withColumn("_piece", F.floor((place - 1) / share)).write.partitionBy("_piece").parquet(path)
-    pieces = -(-max(counts.values()) // share)
+    batch.withColumn("_piece", piece).write.partitionBy("_piece").parquet(path)
     try:
         for i in range(pieces):
             apply(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/_piece={i}"))
@@ -79,11 +74,11 @@ class Supervisor:
     def __init__(self, attempts: int = ATTEMPTS, pause: float = PAUSE, sleep: Callable[[float], object] = time.sleep):
         self.attempts, self.pause, self.sleep = attempts, pause, sleep
 
-    def run(self, table: KeyedTable | LogTable, batch: DataFrame) -> bool:
-        """Write a batch to a table; False if the table is, or now becomes, ``FAILED``."""
+    def run(self, table: KeyedTable | LogTable, batch: DataFrame, most: int | None = None) -> bool:
+        """Write a batch to a table, a keyed one in commits of at most ``most`` records; False if the table is, or now becomes, ``FAILED``."""
         if table.failure() is not None:
             return False
-        write = table.merge if isinstance(table, KeyedTable) else table.append
+        write = table.append if isinstance(table, LogTable) else table.merge if most is None else lambda b: table.merge_pieces(b, most)
         for attempt in range(1, self.attempts + 1):
             try:
                 write(batch)
@@ -117,12 +112,12 @@ def start(stream: DataFrame, apply: Callable[[DataFrame], object], checkpoint: s
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def supervised(table: KeyedTable | LogTable, supervisor: Supervisor | None = None) -> Callable[[DataFrame], None]:
+def supervised(table: KeyedTable | LogTable, supervisor: Supervisor | None = None, most: int | None = None) -> Callable[[DataFrame], None]:
     """The write of one table, tried again where it fails; at the end its stream stops, and the table is ``FAILED``."""
     watch = supervisor or Supervisor()
 
     def apply(batch: DataFrame) -> None:
-        if not watch.run(table, batch):
+        if not watch.run(table, batch, most):
             raise TableFailed(f"{table.name}: {table.failure()}")
     return apply
 
@@ -144,7 +139,7 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame], object], check
 
 
 def stream_upsert(stream: DataFrame, table: KeyedTable, checkpoint: str, every: str | None = BATCH_WAIT, most: int | None = None) -> StreamingQuery:
-    return start(stream, supervised(table), checkpoint, every=every, most=most)
+    return start(stream, supervised(table, most=most), checkpoint, every=every)
 
 
 def stream_append(stream: DataFrame, table: LogTable, checkpoint: str, every: str | None = BATCH_WAIT, most: int | None = None) -> StreamingQuery:

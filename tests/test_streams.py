@@ -125,3 +125,39 @@ def test_a_quiet_topic_holds_windows_back_only_until_it_is_idle(spark, store):
     again = ClosingWindows(TableStore(spark, store.root), "w", "10 minutes", ["a", "b"], idle=30, clock=lambda: now[0])
     again.refresh({"a": at(1, 2, 25, 26, 55), "b": at(3, 22, 30, 45)})      # everything once more
     assert {int((s - T).total_seconds() // 60): n for s, n, _ in rows(again.read())} == want and again.late() == 1
+
+
+def test_pieces_of_a_keyed_table_are_written_together(spark, store):
+    """Every commit has its piece and no more, but the jobs do not grow with their number."""
+    path = workdir(spark, "log")
+    log = records(spark, 1500, 3).withColumn("k", F.col("v") % 40).withColumn("_deleted", F.col("v") % 11 == 0)
+    write_log(log.coalesce(1), path)
+    table = KeyedTable(store, "t", ["k"])
+    query = streams.stream_upsert(read_log(spark, path, TopicSpec(), streaming=True, schema=log.schema), table, workdir(spark, "cp"), every=None, most=10)
+    query.awaitTermination()
+    assert store.snapshot()["commit"] == 167 and len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) < 100
+    before, listed = {}, rows(log, "v", "k", "_partition", "_offset", "_deleted")
+    for c in range(1, 168):
+        snapshot = store.snapshot(c)
+        offsets = table.offsets(snapshot)
+        new = [r for r in listed if before.get(str(r[2]), 0) <= r[3] < offsets.get(str(r[2]), 0)]
+        assert 0 < len(new) <= 10 and all(len(layers) <= 8 for layers in table.state(snapshot)["files"].values())
+        before = offsets
+        if c in (1, 2, 33, 64, 65, 100, 128, 166, 167):
+            last = {r[1]: r for r in sorted(r for r in listed if r[3] < offsets.get(str(r[2]), 0))}
+            assert rows(table.read(snapshot), "k", "v") == sorted(((k, r[0]) for k, r in last.items() if not r[4]), key=repr)
+    assert sum(before.values()) == sum(1 + max(r[3] for r in listed if r[2] == p) for p in range(3))
+
+
+def test_a_commit_does_not_list_the_manifests(spark, store):
+    table, other = KeyedTable(store, "t", ["k"]), TableStore(spark, store.root)
+    table.merge(records(spark, 5))
+    store.versions = None      # a listing grows with every commit
+    for i in range(1, 4):
+        table.merge(records(spark, 5, first=5 * i))
+    assert store.newest() == 4 and other.newest() == 4
+    KeyedTable(other, "u", ["k"]).merge(records(spark, 5))
+    assert store.newest() == 5
+    del store.versions
+    table.merge(records(spark, 5, first=50))
+    assert other.vacuum(keep=1, grace_seconds=-1) is not None and store.versions() == [6] and store.newest() == other.newest() == 6
