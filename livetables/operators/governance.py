@@ -22,6 +22,8 @@ SCHEMES = {"source": "postgres", "topic": "kafka", "lake": "iceberg", "serving":
 
 EDGE_BUCKETS = 64
 PAGE = 1000      # values of a list
+SEEN = 2000      # statements whose common words are looked up before the others,
+STOP_WORDS = 1000    # at most so many
 
 # ---- grants
 
@@ -210,25 +212,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _named(sql: str, longest: int | None = None) -> Column:
+    """All that a statement may name: what stands in backquotes, bare words, and the shorter names that words with a separator begin with (up to a length)."""
+    quoted = F.regexp_extract_all(sql, F.lit(r"(?=`([^`]+)`)"), F.lit(1))
+    runs = F.regexp_extract_all(sql, F.lit(r"(?<![\w.$`])(?=([\w.$-]+`?))"), F.lit(1))
+
+    def shorter(run: Column) -> Column:
+        """A name may end before each separator of a run."""
+        pieces = F.split(run if longest is None else F.left(run, F.lit(longest + 1)), "(?=[.-])")
+        names = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
+        return F.when(F.contains(run, F.lit(".")) | F.contains(run, F.lit("-")), names).otherwise(F.array(run))
+
+    # a run that ends in a backquote is no name, but what it begins with may be one
+    bare = F.filter(F.flatten(F.transform(F.array_distinct(runs), shorter)), lambda n: ~F.endswith(n, F.lit("`")))
+    return F.array_distinct(F.concat(quoted, bare))
+
+
 def statement_edges(statements: DataFrame, topics: DataFrame) -> DataFrame:
     """Edges of SQL statements: the table each writes, and the known topics it names as a whole.
 
     A topic is named in backquotes, or bare: not after a word character, dot or backquote, and not
     before a word character or backquote. Names are of letters, digits, ``.``, ``_``, ``-``, ``$``. The words of all texts, and what
     stands in backquotes, are joined with the topics on equality, each once; only words that hold a separator are also cut into the shorter names they begin with.
+
+    Two kinds of words stay out of the join, as no topic equals them: those longer than the longest topic, and common ones (``SELECT``, ``FROM``), of which each has been looked for
+    among all topics. ``SEEN`` statements tell which are common; that choice decides how many words are joined, not what is found.
     """
-    st = spread(statements.select("name", "sql")).select("name", "sql", written_table("sql").alias("_written"))     # before the names multiply the rows
-    quoted = F.regexp_extract_all("sql", F.lit(r"(?=`([^`]+)`)"), F.lit(1))
-    starts = F.regexp_extract_all("sql", F.lit(r"(?<![\w.$`])(?=([\w.$-]+`?))"), F.lit(1))
-    marked = lambda names, whole: F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("run"), F.lit(whole).alias("whole")))
+    st = statements.select("name", "sql")
+    common = st.limit(SEEN).select(F.explode(_named("sql")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN // 100)
+    words = [r["word"] for r in common.orderBy(F.desc("n"), "word").limit(STOP_WORDS).collect()]
+    known = topics.agg(F.max(F.length("topic")).alias("longest"), F.collect_set(F.when(F.col("topic").isin(words), F.col("topic"))).alias("topics")).first()
+    stop = F.array(*[F.lit(w) for w in words if w not in known["topics"]]).cast("array<string>")
+    fitting = F.filter(F.array_except(_named("sql", known["longest"]), stop), lambda n: F.length(n) <= F.lit(known["longest"]))
+    names = spread(st).select("name", written_table("sql").alias("_written"), "sql")      # before the names multiply the rows
     # outer: else the engine adds a filter that works the array out a second time
-    named = st.select("name", "_written", F.explode_outer(F.concat(marked(quoted, True), marked(starts, False))).alias("n")) \
-        .select("name", "_written", "n.run", "n.whole")
-    # inside a run a name may end before each separator; a run that ends in a backquote is no name and matches none
-    pieces = F.split("run", "(?=[.-])")
-    shorter = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), ""))
-    cut = ~F.col("whole") & (F.col("run").contains(".") | F.col("run").contains("-"))
-    names = named.select("name", "_written", F.explode_outer(F.when(cut, shorter).otherwise(F.array("run"))).alias("topic"))
+    names = names.select("name", "_written", F.explode_outer(fitting).alias("topic"))
     reads = (names.filter(F.col("_written").isNull() | (F.col("topic") != F.col("_written")))
              .join(topics.select("topic").distinct(), "topic", "left_semi"))
     return reads.select("name", F.col("topic").alias("reads"), F.col("_written").alias("writes")).distinct()

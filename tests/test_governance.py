@@ -169,3 +169,18 @@ def test_written_table_and_long_names(spark):
     statements = spark.createDataFrame([("s", f"INSERT INTO out SELECT * FROM {long_name} JOIN a$b")], "name string, sql string")
     topics = spark.createDataFrame([(long_name,), ("a$b",), ("a",), ("b",)], "topic string")
     assert {r.reads for r in gov.statement_edges(statements, topics).collect()} == {long_name, "a$b"}
+
+
+def test_only_words_that_may_be_topics_are_joined(spark, monkeypatch):
+    """Long texts between backquotes and common words that are no topic stay out of the join; common ones that are topics, and the words of later statements, do not."""
+    monkeypatch.setattr(gov, "SEEN", 100)
+    sql = F.concat(F.lit("INSERT INTO `out` SELECT a.x, b FROM shop.t"), F.col("id").cast("string"), F.lit(" AS a JOIN `every` ON a.x = b WHERE `every` IS NULL"))
+    statements = spark.range(500).select(F.col("id").alias("name"), F.when(F.col("id") < 400, sql).otherwise(F.lit("SELECT * FROM late JOIN `a.x`")).alias("sql"))
+    topics = spark.createDataFrame([(t,) for t in ["every", "shop", "late", "a.x", "out", *(f"shop.t{i}" for i in range(0, 500, 2))]], "topic string")
+    lists, explode = [], F.explode_outer
+    monkeypatch.setattr(F, "explode_outer", lambda c: lists.append(c) or explode(c))
+    edges = gov.statement_edges(statements, topics)
+    assert statements.select(F.sum(F.size(lists[-1]))).first()[0] <= 400 * 6 + 100 * 6       # some 20 words each
+    want = {(i, t, "out") for i in range(400) for t in ("every", "shop", "a.x")} | {(i, f"shop.t{i}", "out") for i in range(0, 400, 2)} | {(i, t, None) for i in range(400, 500) for t in ("late", "a.x")}
+    assert set(map(tuple, edges.collect())) == want
+    assert gov.statement_edges(statements, topics.limit(0)).count() == 0 and gov.statement_edges(statements.limit(0), topics).count() == 0
