@@ -22,6 +22,7 @@ SCHEMES = {"source": "postgres", "topic": "kafka", "lake": "iceberg", "serving":
 
 EDGE_BUCKETS = 64
 PAGE = 1000      # values of a list
+TASK_ROWS = 1_000_000    # rows that a task compares
 SEEN = 2000      # statements whose common words are looked up before the others,
 STOP_WORDS = 1000    # at most so many
 
@@ -298,14 +299,23 @@ def topic_usage(topics: DataFrame, produced: DataFrame, reads: DataFrame) -> Dat
             .select("topic", F.coalesce("produced_by", F.lit("")).alias("produced_by"), F.coalesce("used_by", F.lit("")).alias("used_by")))
 
 
+def distinct_rows(df: DataFrame, rows: int) -> DataFrame:
+    """The distinct rows of a frame of about so many, few of which are equal.
+
+    They are dealt out by all columns before they are compared, some ``TASK_ROWS`` to a task: the tables of seen rows that a task holds do not grow with the input. Partial tables before
+    the shuffle would save nothing here, and the engine sizes tasks by compressed bytes, of which such names have few.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *df.columns).dropDuplicates()
+
+
 def drop_blockers(produced: DataFrame, reads: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """For every resource, the others that depend on it: those that read a topic it writes, and of a connection the sources(name, connection) that use it."""
     writer = produced.select("kind", "name", "topic").dropDuplicates()
-    reader = reads.select(F.concat_ws(" ", "kind", "name").alias("blocked_by"), "topic").dropDuplicates()
+    reader = distinct_rows(reads.select(F.concat_ws(" ", "kind", "name").alias("blocked_by"), "topic"), rows := reads.count())
     found = writer.join(reader, "topic").filter(F.col("blocked_by") != F.concat_ws(" ", "kind", "name")).select("kind", "name", "blocked_by")
     if sources is not None:
         found = found.unionByName(sources.select(F.lit("connection").alias("kind"), F.col("connection").alias("name"), F.concat(F.lit("source "), "name").alias("blocked_by")))
-    return found.dropDuplicates()
+    return distinct_rows(found, rows)
 
 
 def openlineage_events(edges: DataFrame, namespace: str, producer: str, event_time: str, most: int = PAGE) -> DataFrame:

@@ -184,3 +184,16 @@ def test_only_words_that_may_be_topics_are_joined(spark, monkeypatch):
     want = {(i, t, "out") for i in range(400) for t in ("every", "shop", "a.x")} | {(i, f"shop.t{i}", "out") for i in range(0, 400, 2)} | {(i, t, None) for i in range(400, 500) for t in ("late", "a.x")}
     assert set(map(tuple, edges.collect())) == want
     assert gov.statement_edges(statements, topics.limit(0)).count() == 0 and gov.statement_edges(statements.limit(0), topics).count() == 0
+
+
+def test_blockers_are_dealt_out_by_their_number(spark, monkeypatch):
+    """The rows that a task compares are bounded, whatever the engine's number of partitions."""
+    monkeypatch.setattr(gov, "TASK_ROWS", 100)
+    reads = spark.range(6000).select(F.lit("statement").alias("kind"), F.concat(F.lit("s"), (F.col("id") % 4000).cast("string")).alias("name"), F.concat(F.lit("t"), (F.col("id") % 10).cast("string")).alias("topic"))
+    produced = spark.range(20).select(F.lit("view").alias("kind"), F.concat(F.lit("v"), (F.col("id") % 5).cast("string")).alias("name"), F.concat(F.lit("t"), (F.col("id") % 10).cast("string")).alias("topic"))
+    sources = spark.createDataFrame([("s", "pg"), ("s", "pg")], "name string, connection string")
+    found = gov.drop_blockers(produced, reads, sources)
+    sizes = [n for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert found.count() == found.distinct().count() == 4001 and len(sizes) > 50 and max(sizes) < 200
+    empty = reads.limit(0)
+    assert gov.drop_blockers(produced, empty).count() == 0
