@@ -8,9 +8,9 @@ counts once. A notice that is wrapped amid other words of one unbroken paragraph
 Each part becomes its words and pairs of neighbouring words, hashed into a sparse vector; multinomial logistic regression tells the licence
 families and an unknown class apart. It is fitted on the notices below, each in ``VARIANTS`` versions with some words left out. The unknown
 class has the notices of licences that are no family (``SIBLINGS``), in versions too, and a bounded sample of the corpus' own distinct
-parts (``max_unknown`` parts of ``max_unknown`` different texts, in the order of a hash) that share little with any notice (what shares more may be a fragment of one). A part of the examples is held back, and calibrates the
-unknown class: a family, the likeliest, counts only where all families together are above the probability that all but ``FALSE_SHARE`` of the corpus' parts
-held back stay below, and all but ``SIBLING_SHARE`` of the siblings' versions, which the marks refuse in any case.
+parts (``max_unknown`` parts of ``max_unknown`` different texts, in the order of a hash) that share little with any notice (what shares more may be a fragment of one). The
+unknown class is calibrated: a family, the likeliest, counts only where all families together are above the probability that all but ``FALSE_SHARE`` of all parts of the corpus
+stay below (those that share much with a notice aside; counted in the pass that scores them, not in a sample), and all but ``SIBLING_SHARE`` of the siblings' versions held back, which the marks refuse in any case.
 Last, the word pairs are compared with the notices of the family: ``CONFIRM`` of the pairs of the shorter one must be in both
 (a line of several must itself hold so much of a notice: it may be a fragment that other licences share), and the part must have what tells the family from its siblings, and nothing that belongs to one of those (``MARKS``).
 
@@ -291,27 +291,57 @@ def _known() -> Column:
     return 1.0 - F.get(vector_to_array(F.col("probability")), F.lit(0))
 
 
-def learn(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> tuple[LogisticRegressionModel, float]:
-    """The classifier, and the probability that the families must reach together."""
+def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> tuple[LogisticRegressionModel, float]:
+    """The classifier, and the probability that the families must reach together to leave the siblings' held versions behind."""
     spark = docs.sparkSession
     steps = Steps(spark, "license-scan")
     examples = _examples(steps, docs, _notice_pairs(spark), max_unknown)
     number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
     rows = _hashing().transform(examples.withColumn("label", number))
     model = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(rows.filter("NOT held"))
-    held = model.transform(rows.filter(F.col("held") & (F.col("family") == UNKNOWN))).select("sibling", _known().alias("p"))
-    above = lambda share, of: F.percentile_approx(F.when(of, F.col("p")), F.lit(1 - share), F.lit(100_000))
-    limits = held.agg(above(FALSE_SHARE, ~F.col("sibling")), above(SIBLING_SHARE, F.col("sibling"))).first()
-    return model, max(0.5, *(float(x or 0.0) for x in limits))
+    held = model.transform(rows.filter("held AND sibling")).select(_known().alias("p"))
+    floor = held.agg(F.percentile_approx("p", F.lit(1 - SIBLING_SHARE), F.lit(100_000))).first()[0]
+    return model, max(0.5, float(floor or 0.0))
+
+
+def score(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """(row_key, at, part, paragraph, named, known) of all parts."""
+    rows = paragraphs(docs).withColumn("grams", grams_of(F.col("paragraph")))
+    return model.transform(_hashing().transform(rows)).select("row_key", "at", "part", "paragraph", _named().alias("named"), _known().alias("known"))
+
+
+def keep_above(steps: Steps, scored: DataFrame, least: float) -> tuple[DataFrame, int]:
+    """The parts above a probability, written in one pass, and how many there are in all: the others are written as nulls, which take no room, to be counted."""
+    rows = steps.keep(scored.select(F.when(F.col("known") > least, F.struct(*scored.columns)).alias("above")), "scored")
+    return rows.filter("above IS NOT NULL").select("above.*"), rows.count()
+
+
+def limit(scored: DataFrame, parts: int, least: float) -> float:
+    """The probability above which at most ``FALSE_SHARE`` of all parts share little with any notice, at least that from which the parts were scored."""
+    known = _notice_pairs(scored.sparkSession)
+    strangers = scored.filter(likeness(pairs_of(F.col("paragraph")), known) < 0.3)
+    n, allowed = strangers.count(), int(FALSE_SHARE * parts)
+    if n <= allowed:
+        return least
+    return float(strangers.agg(F.percentile_approx("known", F.lit((n - allowed) / n), F.lit(100_000))).first()[0])
+
+
+def learn(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> tuple[LogisticRegressionModel, float]:
+    """The classifier, and the probability that the families must reach together."""
+    model, least = fit(docs, max_unknown)
+    return model, limit(*keep_above(Steps(docs.sparkSession, "license-scan"), score(docs, model), least), least)
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float) -> DataFrame:
     """(row_key, at, part, paragraph, family, probability, likeness, confirmed) of the parts that are given a family."""
-    known = _notice_pairs(docs.sparkSession)
-    rows = paragraphs(docs).withColumn("grams", grams_of(F.col("paragraph")))
-    judged = model.transform(_hashing().transform(rows)).select("row_key", "at", "part", "paragraph", _named().alias("named"), _known().alias("known")).filter(F.col("known") > threshold)
+    return judge(score(docs, model).filter(F.col("known") > threshold))
+
+
+def judge(scored: DataFrame) -> DataFrame:
+    """The family of scored parts, and whether it is confirmed."""
+    known = _notice_pairs(scored.sparkSession)
     family = F.get(F.array(*map(F.lit, FAMILIES[1:])), (F.array_position("named", F.array_max("named")) - 1).cast("int"))
-    judged = judged.select("row_key", "at", "part", "paragraph", F.array_max("named").alias("probability"), family.alias("family"))
+    judged = scored.select("row_key", "at", "part", "paragraph", F.array_max("named").alias("probability"), family.alias("family"))
     found = judged.withColumn("likeness", likeness(pairs_of(F.col("paragraph")), known, F.col("family"), F.col("part") > 0))
     return found.select("row_key", "at", "part", "paragraph", "family", "probability", "likeness", ((F.col("likeness") >= CONFIRM) & has_marks(F.col("paragraph"), F.col("family"))).alias("confirmed"))
 
@@ -319,9 +349,12 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float) -> D
 def licences(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> DataFrame:
     """Per row of (doc_id, text): n_paragraphs, n_licence (paragraphs with a confirmed part), n_unconfirmed (others with a family), families (confirmed, sorted,
     joined by commas), probability (highest of the confirmed)."""
-    model, threshold = learn(docs, max_unknown)
+    model, least = fit(docs, max_unknown)
     steps = Steps(docs.sparkSession, "license-scan")
-    found = steps.keep(scan(docs, model, threshold), "found").groupBy("row_key", "at").agg(
+    # one pass over the corpus: the parts above the least probability are few, and the threshold is among them
+    scored, parts = keep_above(steps, score(docs, model), least)
+    threshold = limit(scored, parts, least)
+    found = steps.keep(judge(scored.filter(F.col("known") > threshold)), "found").groupBy("row_key", "at").agg(
         F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("families"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"))
     per_row = found.groupBy("row_key").agg(
         F.count_if(F.size("families") > 0).alias("n_licence"), F.count_if(F.size("families") == 0).alias("n_unconfirmed"),

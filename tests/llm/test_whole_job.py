@@ -229,3 +229,16 @@ def test_pii_partial_addresses_long_words_and_later_rounds(spark):
     assert [found[i] for i in (80, 81, 82)] == [[("ip", "10.0.1")], [("ip", "10.0.2")], []]
     assert all(found[i] == [("ip", t.split()[-6])] for i, t in enumerate(texts) if 83 <= i < 83 + 64), [(found[i], texts[i]) for i in range(83, 147)]
     assert not any(found[i] for i in range(147, len(texts)))
+
+
+def test_license_threshold_counts_every_part(spark):
+    """Look-alikes that the sample of unknown parts does not hold are still counted by the threshold."""
+    rnd = random.Random(3)
+    texts = [(i, prose(rnd, 25), "s") for i in range(200)]
+    like = lambda i: f"the {prose(rnd, 2)} license version of the software {prose(rnd, 1)} public permission under {prose(rnd, 2)} terms licensed copyright {prose(rnd, 1)}"
+    texts += [(1000 + i, like(i), "s") for i in range(40)] + [(2000, "Released under the MIT license.", "s")]
+    docs = docs_of(spark, texts)
+    _, least = license_scan.fit(docs, max_unknown=5)
+    model, threshold = license_scan.learn(docs, max_unknown=5)
+    p = sorted(r.known for r in license_scan.score(docs.filter("doc_id < 2000"), model).collect())
+    assert sum(x > least for x in p) > 0 and sum(x > threshold for x in p) == 0
