@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +93,9 @@ def _image_type(spark: SparkSession, sf_dir: str):
     return orders(spark, sf_dir).select("order_id", "customer_id", "status", "total", "created_at").schema
 
 
-def orders_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat keyed log of ``orders_envelope``: a delete is a tombstone with null values."""
-    log = (orders(spark, sf_dir).withColumn("rec_no", F.explode(F.array(*[F.lit(n).cast("long") for n in range(3)])))
+def orders_cdc(spark: SparkSession, sf_dir: str, rounds: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """The flat keyed log of ``orders_envelope``, or some rounds of it: a delete is a tombstone with null values."""
+    log = (orders(spark, sf_dir).withColumn("rec_no", F.explode(F.array(*[F.lit(n).cast("long") for n in rounds])))
            .filter("rec_no < 2 OR order_id % 10 = 0")
            .withColumns(_record_columns(F.col("rec_no"))))
     gone = F.col("rec_no") == 2
@@ -119,10 +121,10 @@ def orders_move(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "_partition", "_offset", "_timestamp", F.lit(False).alias("_deleted"))
 
 
-def customers_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer created as standard, then set to the real tier; some deleted afterwards."""
+def customers_cdc(spark: SparkSession, sf_dir: str, rounds: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Every customer created as standard, then set to the real tier; some deleted afterwards. ``rounds`` takes some of these three steps."""
     log = (customers(spark, sf_dir)
-           .withColumn("rec_no", F.explode(F.array(*[F.lit(n).cast("long") for n in range(3)])))
+           .withColumn("rec_no", F.explode(F.array(*[F.lit(n).cast("long") for n in rounds])))
            .filter("rec_no < 2 OR customer_id % 37 = 5"))
     gone = F.col("rec_no") == 2
     live = lambda value: F.when(~gone, value)

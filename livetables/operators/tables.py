@@ -78,6 +78,15 @@ class Staged:
     records: int | None = None      # fresh ones, where offsets tell
 
 
+@dataclass
+class Layer:
+    """Changes that are written as a version of a keyed table, and not committed yet."""
+    version: str
+    layout: Layout
+    state: dict                     # of the table with this version on top
+    counts: dict[str, int]          # its bytes by bucket
+
+
 class _Table:
     def __init__(self, store: TableStore, name: str):
         self.store, self.name, self.spark = store, name, store.spark
@@ -387,6 +396,13 @@ class KeyedTable(_Table):
     def write(self, collapsed: DataFrame, snapshot: dict, offsets: dict[str, int] | None = None,
               record_ts: str | None = None, definition: str | None = None, unique: bool = False) -> dict:
         """Write collapsed changes and return the state to commit. ``unique`` makes a repeated key an error."""
+        state = self.settle(self.add_layer(collapsed, snapshot, unique), snapshot, offsets, record_ts)
+        if definition is not None:
+            state["definition"] = definition
+        return state
+
+    def add_layer(self, collapsed: DataFrame, snapshot: dict, unique: bool = False) -> Layer:
+        """Write collapsed changes as one version."""
         state = self.state(snapshot)
         incoming = self._incoming_layout(collapsed)
         if state is None:
@@ -411,15 +427,26 @@ class KeyedTable(_Table):
                 files[b], sizes[b] = ([], []) if first else ([NO_BASE], [0])
             files[b].append(version)
             sizes[b].append(count)
-        grown = self._grown(sizes, counts)
-        deep = {b for b in counts if len(files[b]) > MAX_LAYERS} - grown
+        return Layer(version, layout, state, counts)
+
+    def layer_rows(self, layer: Layer) -> DataFrame:
+        """The changes of a layer, read back: those that have a key. A first one has no tombstones, as there is nothing to delete."""
+        schema = StructType([*layer.layout.schema, DELETED])
+        if not layer.counts:
+            return self.spark.createDataFrame([], schema)
+        rows = self._scan(StructType([*schema, BUCKET]), [f"{self.store.data_path(self.name)}/_v={layer.version}"])
+        return rows.select(*layer.layout.schema.names, F.coalesce("_deleted", F.lit(False)).alias("_deleted"))
+
+    def settle(self, layer: Layer, snapshot: dict, offsets: dict[str, int] | None = None, record_ts: str | None = None) -> dict:
+        """The state to commit with a written layer on top: buckets whose layers have grown are folded, many layers joined."""
+        state, counts = layer.state, layer.counts
+        grown = self._grown(state["bytes"], counts)
+        deep = {b for b in counts if len(state["files"][b]) > MAX_LAYERS} - grown
         if grown:
             self._fold(state, grown, snapshot)
         if deep:
             self._join_layers(state, deep, snapshot)
         self._tidy(state)
-        if definition is not None:
-            state["definition"] = definition
         return self._progressed(state, offsets or {}, record_ts)
 
     def _grown(self, sizes: dict[str, list[int]], counts: dict[str, int]) -> set[str]:

@@ -74,16 +74,17 @@ def stream_lake(spark, d):
 def customer_view(spark, d) -> CustomerView:
     """Customers and orders as one stream of two topics, in four steps."""
     view = CustomerView(store(spark))
-    customers = fx.customers_cdc(spark, d)
-    orders = fx.orders_cdc(spark, d).drop("op").unionByName(fx.orders_move(spark, d).drop("op"))
-    c, o = customers.columns, orders.columns
-    both = (customers.withColumn("topic", F.lit("customers"))
-            .unionByName(orders.withColumn("topic", F.lit("orders")), allowMissingColumns=True))
+    # each step makes its own round of the logs only
+    logs = [(fx.customers_cdc(spark, d, [i]), fx.orders_cdc(spark, d, [i]).drop("op")) for i in range(3)]
+    logs.append((fx.customers_cdc(spark, d, [2]).limit(0), fx.orders_move(spark, d).drop("op")))
+    c, o = (log.columns for log in logs[0])
+    both = [customers.withColumn("topic", F.lit("customers")).unionByName(orders.withColumn("topic", F.lit("orders")), allowMissingColumns=True)
+            for customers, orders in logs]
 
     def apply(batch: DataFrame) -> None:
         view.refresh(batch.filter("topic = 'customers'").select(c), batch.filter("topic = 'orders'").select(o))
 
-    arrive(spark, by_step(both, 4), lambda log, cp: streams.start(log, apply, cp, every=None))
+    arrive(spark, both, lambda log, cp: streams.start(log, apply, cp, every=None))
     return view
 
 

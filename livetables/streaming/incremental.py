@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, FractionalType
 
-from livetables.operators.changelog import signed_diff
 from livetables.operators.store import TableStore
 from livetables.operators.tables import DEFAULT_BUCKETS, KeyedTable, Staged
 from livetables.session import discard, materialize
@@ -31,13 +30,14 @@ class Refresh:
 
     A step has at most two rows per record (the old and the new one). So with at most ``SMALL`` records,
     counted with their offsets, a kept step goes into the next plans as local rows; beyond that, or where the count is
-    not known, it is written to the shared folder. The rows are the same.
+    not known, it is written to the shared folder, and the changes of a table are read back from the layer
+    that its write has added, so they are written once. The rows are the same.
     """
 
     def __init__(self, store: TableStore):
         self.store, self.base = store, store.snapshot()
         self._writes: dict[str, Future] = {}
-        self._changes: dict[str, DataFrame] = {}
+        self._changes: dict[str, DataFrame | Future] = {}
         self._steps: list[str] = []
         self._records: list[int | None] = []
         self._pool = ThreadPoolExecutor(4)
@@ -74,8 +74,13 @@ class Refresh:
     def _taken(self, table: KeyedTable, staged: Staged | None) -> DataFrame | None:
         if staged is None:
             return None
-        changes = self.keep(staged.changes)
-        self._submit(table, changes, staged.offsets, staged.record_ts)
+        if self.small():
+            changes = self.keep(staged.changes)
+            self._submit(table, changes, staged.offsets, staged.record_ts)
+            return changes
+        layer = table.add_layer(staged.changes, self.base)
+        self._writes[table.name] = self._pool.submit(table.settle, layer, self.base, staged.offsets, staged.record_ts)
+        changes = self._changes[table.name] = table.layer_rows(layer)
         return changes
 
     def take_both(self, *inputs: tuple[KeyedTable, DataFrame | None]) -> list[DataFrame | None]:
@@ -86,14 +91,29 @@ class Refresh:
         self._submit(table, rows)
 
     def _submit(self, table: KeyedTable, rows: DataFrame, *progress) -> None:
-        self._changes[table.name] = rows
-        self._writes[table.name] = self._pool.submit(table.write, rows, self.base, *progress)
+        written = Future()
+        self._changes[table.name] = rows if self.small() else written
+        self._writes[table.name] = self._pool.submit(self._write, table, rows, written, *progress)
+
+    def _write(self, table: KeyedTable, rows: DataFrame, written: Future, *progress) -> dict:
+        try:
+            layer = table.add_layer(rows, self.base)
+            written.set_result(table.layer_rows(layer))
+        except BaseException as e:
+            written.set_exception(e)
+            raise
+        return table.settle(layer, self.base, *progress)
+
+    def changes(self, table: KeyedTable) -> DataFrame | None:
+        """What this commit writes to a table so far; waits for its layer, not for folds."""
+        rows = self._changes.get(table.name)
+        return rows.result() if isinstance(rows, Future) else rows
 
     def rows(self, table: KeyedTable, ids: DataFrame, on: list[str]) -> DataFrame | None:
-        """Rows of some keys as this commit will leave them, without waiting for its writes:
+        """Rows of some keys as this commit will leave them, without waiting for the commit:
         the committed rows that did not change, and the changed ones."""
         stored = table.read_keys(ids, self.base, on)
-        changes = self._changes.get(table.name)
+        changes = self.changes(table)
         if changes is None:
             return stored
         live = changes.filter("NOT _deleted").join(ids.select(*on), on, "left_semi")
@@ -108,12 +128,18 @@ class Refresh:
 
 
 def signed_changes(table: KeyedTable, changes: DataFrame, base: dict, columns: list[str]) -> DataFrame:
-    """Minus the committed rows of the changed keys, plus their new rows."""
-    new = changes.filter("NOT _deleted")
-    old = table.read_keys(changes, base)
-    if old is None:
-        return new.select(*columns, F.lit(1).cast("long").alias("_w"))
-    return signed_diff(old, new, columns)
+    """Minus the committed rows of the changed keys, plus their new rows.
+
+    Both rows of a key come from one record of a join, so they meet in an aggregation before its shuffle.
+    """
+    stored = table.read_keys(changes, base)
+    if stored is None:
+        return changes.filter("NOT _deleted").select(*columns, F.lit(1).cast("long").alias("_w"))
+    new = changes.select(*table.keys, F.when(~F.col("_deleted"), F.struct(*columns)).alias("_new"))
+    pairs = new.join(stored.select(*table.keys, F.struct(*columns).alias("_old")), table.keys, "left")
+    sides = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.col(c).alias("row")) for w, c in ((-1, "_old"), (1, "_new"))])
+    rows = pairs.select(F.inline(sides)).filter("row IS NOT NULL")
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], F.col("w").alias("_w"))
 
 
 def with_stored(delta: DataFrame, table: KeyedTable, base: dict, columns: list[str]) -> DataFrame:
@@ -208,7 +234,8 @@ class CustomerView:
         # third of the changes is spread over its times
         times = refresh.keep(
             signed.filter("customer_id IS NOT NULL").groupBy("customer_id", "created_at")
-            .agg(F.sum(w).alias("n"), F.sum(w * sold_total()).alias("sold"), F.sum(w * is_open()).alias("open_orders")))
+            .agg(F.sum(w).alias("n"), F.coalesce(F.sum(w * sold_total()), F.lit(0)).alias("sold"), F.sum(w * is_open()).alias("open_orders"))
+            .filter("n <> 0 OR sold <> 0 OR open_orders <> 0"))
         moved = times.filter("n <> 0 AND created_at IS NOT NULL").select("customer_id", "created_at", "n")
         rows = with_stored(moved, self.times, refresh.base, ["n"])
         count = (F.coalesce(F.col("old_n").cast("long"), F.lit(0)) + F.col("n"))
@@ -235,9 +262,10 @@ class CustomerView:
             left = rows.filter("max_left").select("customer_id")
             again = (refresh.rows(self.times, left, ["customer_id"])
                      .groupBy("customer_id").agg(F.max("created_at").alias("again")))
-            rows = (rows.join(again, "customer_id", "left")
-                    .withColumn("last_order_at", F.when(F.col("max_left"), F.col("again")).otherwise(F.col("last_order_at")))
-                    .drop("again"))
+            # kept again: the table, its keys and the view all read it
+            rows = refresh.keep(rows.join(again, "customer_id", "left")
+                                .withColumn("last_order_at", F.when(F.col("max_left"), F.col("again")).otherwise(F.col("last_order_at")))
+                                .drop("again"))
         refresh.put(self.totals, rows.drop("max_left").withColumn("_deleted", F.col("orders") == 0))
         return rows.select("customer_id")
 

@@ -187,3 +187,44 @@ def test_sums_keep_scale_and_nulls(spark, store):
     assert rows(counts.read(), "k", "n", "v") == [(1, 2, Decimal("0.0080")), (2, 1, None)]
     counts.refresh(spark.createDataFrame([(1, 1, None, 0, 3, False), (2, 1, None, 0, 4, False), (3, 2, small, 0, 5, False)], schema))
     assert rows(counts.read(), "k", "n", "v") == [(1, 2, None), (2, 1, small)]
+
+
+def test_large_changes_are_written_once(spark, store, monkeypatch):
+    """Beyond local rows, the steps of a refresh read the layer that the table has got, not a copy of it; a null key and a tombstone change nothing else."""
+    monkeypatch.setattr(incremental, "SMALL", -1)
+    _, orders = history(9)
+    log = spark.createDataFrame([(None, 1, "open", None, None, 0, 500, None, False), *orders], ORDERS)
+    table = KeyedTable(store, "orders", ["order_id"])
+    for low, high in ((0, 60), (60, 999)):
+        batch = log.filter((F.col("_offset") >= low) & (F.col("_offset") < high))
+        with Refresh(store) as refresh:
+            changes = refresh.take(table, batch)
+            assert changes.inputFiles() and all("/orders/_v=" in f for f in changes.inputFiles()) and not refresh._steps
+            last = cl.last_change(batch, ["order_id"]).filter("order_id IS NOT NULL")
+            want = last.filter("NOT _deleted") if low == 0 else last
+            assert rows(changes, "order_id", "customer_id", "total", "_deleted") == rows(want, "order_id", "customer_id", "total", "_deleted")
+            refresh.commit()
+    assert rows(table.read(), "order_id", "status") == rows(cl.latest_by_key(log.filter("order_id IS NOT NULL"), ["order_id"]), "order_id", "status")
+
+
+def test_a_max_that_steps_back_is_worked_out_once(spark, store, monkeypatch):
+    """The totals are written and read with their new MAX, and not from the orders by time again."""
+    import datetime as dt
+    monkeypatch.setattr(incremental, "SMALL", -1)
+    t, seen, put = dt.datetime(2026, 1, 1), {}, Refresh.put
+    order = lambda i, day, offset, gone=False: (i, *((None,) * 4 if gone else (5, "open", None, t + dt.timedelta(day))), 0, offset, t, gone)
+    view = CustomerView(store)
+    view.refresh(spark.createDataFrame([(5, "e", "A", "B", "FR", "gold", 0, 0, t, False)], CUSTOMERS),
+                 spark.createDataFrame([order(1, 0, 0), order(2, 1, 1), order(3, 2, 2)], ORDERS))
+    monkeypatch.setattr(Refresh, "put", lambda self, table, rows: (seen.update({table.name: rows.inputFiles()}), put(self, table, rows)))
+    view.refresh(None, spark.createDataFrame([order(3, 2, 3, True)], ORDERS))
+    assert seen["orders_by_customer"] and not any("orders_by_time" in f for f in seen["orders_by_customer"])
+    assert rows(view.view.read(), "customer_id", "orders", "last_order_at") == [(5, 2, t + dt.timedelta(1))]
+
+
+def test_rounds_of_a_log_make_the_whole_log(spark, sf):
+    from livetables import fixtures as fx
+    for log in (fx.customers_cdc, fx.orders_cdc):
+        parts = [log(spark, sf, [i]) for i in range(3)]
+        assert rows(parts[0].unionByName(parts[1]).unionByName(parts[2])) == rows(log(spark, sf))
+        assert all(p.filter(F.floor(F.col("_offset") / fx.OFFSET_STEP) != i).isEmpty() for i, p in enumerate(parts))
