@@ -34,6 +34,8 @@ FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
 FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
 FEW_BUCKETS = 16         # a batch of keys touches them all
 GROUP_LEVELS = 6         # 2 ** 6 pieces of a batch are written together: one piece's state has at most 6 of their layers, next to the base and one older layer
+FILE_ROWS = 2000         # rows dealt out by key are written as they lie where each task has so many for every bucket,
+FILE_BYTES = 64 << 10    # or so many bytes of the buckets that are folded
 JOIN_VERSIONS = 8        # so many small versions of a log become one
 NO_BASE = ""
 GUARD_COLUMNS = ("_partition", "_offset")
@@ -72,7 +74,7 @@ def _greatest(a: str | None, b: str | None) -> str | None:
 @dataclass
 class Staged:
     """A batch that is not committed yet: its changes and how far it read."""
-    changes: DataFrame
+    changes: DataFrame              # with ``_bucket``, if they are to be written as they are dealt out
     offsets: dict[str, int]
     record_ts: str | None
     records: int | None = None      # fresh ones, where offsets tell
@@ -85,6 +87,7 @@ class Layer:
     layout: Layout
     state: dict                     # of the table with this version on top
     counts: dict[str, int]          # its bytes by bucket
+    old: StructField | None = None  # the committed rows that its changes replace, where it holds them too
 
 
 class _Table:
@@ -277,17 +280,52 @@ class KeyedTable(_Table):
 
     # ---- writing
 
-    def collapse(self, changes: DataFrame) -> DataFrame:
-        """The last change per key, tombstones flagged."""
+    def collapse(self, changes: DataFrame, bucket: Column | None = None) -> DataFrame:
+        """The last change per key, tombstones flagged; with a bucket, those that have a key."""
         if "_deleted" not in changes.columns:
             changes = changes.withColumn("_deleted", F.lit(False))
+        if bucket is not None:
+            changes = changelog.drop_null_keys(changes, self.keys)
         if set(self.order) <= set(changes.columns):
             changes = changelog.last_change(changes, self.keys, self.order)
-        return changes
+        return changes if bucket is None else changes.withColumn("_bucket", bucket)
 
     def stage(self, batch: DataFrame, snapshot: dict) -> Staged | None:
         """The uncommitted changes of a batch; None if there are none."""
-        return self._stage(batch, snapshot, self.collapse)
+        staged = self._stage(batch, snapshot, lambda fresh: fresh)
+        if staged is not None:
+            large = staged.records is not None and set(self.order) <= set(batch.columns) and self.wide(staged.records, snapshot)
+            staged.changes = self.collapse(staged.changes, self.bucket(snapshot) if large else None)
+        return staged
+
+    def bucket(self, snapshot: dict) -> Column:
+        state = self.state(snapshot) or {"bucket_by": self.bucket_by, "buckets": self.default_buckets}
+        return bucket_of(state["bucket_by"], state["buckets"])
+
+    def wide(self, records: int, snapshot: dict) -> bool:
+        """Whether so many records are written as a shuffle by key leaves them: each of its tasks has a
+        good share of every bucket, so they are spared one more shuffle by bucket."""
+        buckets = (self.state(snapshot) or {"buckets": self.default_buckets})["buckets"]
+        return buckets <= FEW_BUCKETS and records >= FILE_ROWS * self._most_files(buckets)
+
+    def _most_files(self, buckets: int) -> int:
+        """Of a version whose rows are written as a shuffle leaves them."""
+        return buckets * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def with_old(self, staged: Staged, snapshot: dict, columns: Sequence[str]) -> DataFrame:
+        """Changes next to some columns of the committed rows they replace (``_old``), where it takes no more shuffles
+        than the rows themselves: the changes are dealt out by key, and not few beside the table."""
+        changes, state = staged.changes, self.state(snapshot)
+        if state is None or "_bucket" not in changes.columns:
+            return changes
+        layout = Layout.from_json(state["layout"]).schema
+        if not set(columns) <= set(layout.names) or any(changes.schema[k].dataType != layout[k].dataType for k in self.keys):
+            return changes
+        paths = self._paths(state, {b: layers[:1] for b, layers in state["files"].items()})
+        if not paths or staged.records / FOLD_RATIO < self._scan(StructType([BUCKET]), paths).count():      # from the files' footers
+            return changes
+        old = F.struct(*[F.col(c).cast(changes.schema[c].dataType).alias(c) for c in columns])
+        return changes.join(self.read(snapshot).select(*self.keys, old.alias("_old")), self.keys, "left")
 
     def merge(self, changes: DataFrame) -> dict:
         """Merge one batch and commit it. Replaying a committed batch changes nothing."""
@@ -410,15 +448,17 @@ class KeyedTable(_Table):
             layout = incoming
         else:
             layout = merge_layout(Layout.from_json(state["layout"]), incoming)
+        dealt = "_bucket" in collapsed.columns
         # rows without a key are dropped, not failed
-        keyed = changelog.drop_null_keys(collapsed, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"]))
-        rows = conform(keyed, StructType([*layout.schema, DELETED, BUCKET]))
+        keyed = collapsed if dealt else changelog.drop_null_keys(collapsed, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"]))
+        old = keyed.schema["_old"] if "_old" in keyed.columns else None
+        rows = conform(keyed, StructType([*layout.schema, *([old] if old else []), DELETED, BUCKET]))
         state = {**state, "layout": layout.to_json(), "files": {b: list(v) for b, v in state["files"].items()},
                  "bytes": {b: list(v) for b, v in state["bytes"].items()}, "written": dict(state["written"])}
         files, sizes = state["files"], state["bytes"]
         first = not files
         version = self.store.new_version(snapshot)
-        counts = self._write_version(rows.filter("NOT _deleted").drop("_deleted") if first else rows, version)
+        counts = self._write_version(rows.filter("NOT _deleted").drop("_deleted") if first else rows, version, dealt)
         if unique and counts:
             self._check_unique(layout, version)
         state["written"][version] = len(counts)
@@ -427,15 +467,16 @@ class KeyedTable(_Table):
                 files[b], sizes[b] = ([], []) if first else ([NO_BASE], [0])
             files[b].append(version)
             sizes[b].append(count)
-        return Layer(version, layout, state, counts)
+        return Layer(version, layout, state, counts, old)
 
     def layer_rows(self, layer: Layer) -> DataFrame:
         """The changes of a layer, read back: those that have a key. A first one has no tombstones, as there is nothing to delete."""
-        schema = StructType([*layer.layout.schema, DELETED])
+        old = [layer.old] if layer.old else []
+        schema = StructType([*layer.layout.schema, *old, DELETED])
         if not layer.counts:
             return self.spark.createDataFrame([], schema)
         rows = self._scan(StructType([*schema, BUCKET]), [f"{self.store.data_path(self.name)}/_v={layer.version}"])
-        return rows.select(*layer.layout.schema.names, F.coalesce("_deleted", F.lit(False)).alias("_deleted"))
+        return rows.select(*layer.layout.schema.names, *[f.name for f in old], F.coalesce("_deleted", F.lit(False)).alias("_deleted"))
 
     def settle(self, layer: Layer, snapshot: dict, offsets: dict[str, int] | None = None, record_ts: str | None = None) -> dict:
         """The state to commit with a written layer on top: buckets whose layers have grown are folded, many layers joined."""
@@ -478,8 +519,29 @@ class KeyedTable(_Table):
 
     def _fold(self, state: dict, buckets: set[str], snapshot: dict) -> None:
         """Rewrite the base of buckets with their layers applied."""
-        rows = self._resolve(state, {b: state["files"][b] for b in buckets})
-        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [new])
+        files = {b: state["files"][b] for b in buckets}
+        size = sum(sum(state["bytes"][b]) for b in buckets)
+        large = state["buckets"] <= FEW_BUCKETS and size >= FILE_BYTES * self._most_files(state["buckets"])
+        dealt = self._folded(state, files) if large else None
+        rows = self._resolve(state, files) if dealt is None else dealt
+        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [new], dealt is not None)
+
+    def _folded(self, state: dict, files: dict[str, list[str]]) -> DataFrame | None:
+        """The rows of ``_resolve`` with their bucket, dealt out by key: base and changes meet in one join. None where there is nothing to join."""
+        schema = Layout.from_json(state["layout"]).schema
+        base = self._paths(state, {b: layers[:1] for b, layers in files.items()})
+        layered = self._paths(state, {b: layers[1:] for b, layers in files.items()})
+        values = [c for c in schema.names if c not in self.keys]
+        if not base or not layered or not values:
+            return None
+        changes = self._scan(StructType([*schema, DELETED, BUCKET, VERSION]), layered)
+        if any(len(layers) > 2 for layers in files.values()):       # else the keys of the one layer are unique
+            changes = changelog.last_change(changes, self.keys, ["_v"])
+        changes = changes.select(*self.keys, F.struct(*values).alias("_new"), F.coalesce("_deleted", F.lit(True)).alias("_gone"))
+        old = self._scan(schema, base).select(*self.keys, F.struct(*values).alias("_old"))
+        rows = old.join(changes, self.keys, "full_outer").filter("_gone IS NULL OR NOT _gone")
+        rows = rows.select(*self.keys, *[F.when(F.col("_gone").isNull(), F.col("_old")[c]).otherwise(F.col("_new")[c]).alias(c) for c in values])
+        return rows.select(*schema.names, bucket_of(state["bucket_by"], state["buckets"]).alias("_bucket"))
 
     def _join_layers(self, state: dict, buckets: set[str], snapshot: dict) -> None:
         """Merge the layers of buckets into one, tombstones included; a large base stays as it is."""
@@ -489,9 +551,9 @@ class KeyedTable(_Table):
         rows = changelog.last_change(layers, self.keys, ["_v"]).drop("_v")
         self._rewrite(state, buckets, rows, snapshot, lambda old, new: [old[0], new])
 
-    def _rewrite(self, state: dict, buckets: set[str], rows: DataFrame, snapshot: dict, stack) -> None:
+    def _rewrite(self, state: dict, buckets: set[str], rows: DataFrame, snapshot: dict, stack, dealt: bool = False) -> None:
         version = self.store.new_version(snapshot)
-        counts = self._write_version(rows.withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])), version)
+        counts = self._write_version(rows if dealt else rows.withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])), version, dealt)
         state["written"][version] = len(counts)
         for b in buckets:
             if b in counts:
@@ -511,12 +573,15 @@ class KeyedTable(_Table):
         if not rows.groupBy(*self.keys).count().filter("count > 1").isEmpty():
             raise LayoutError(f"{self.name}: several rows for one key")
 
-    def _write_version(self, rows: DataFrame, version: str) -> dict[str, int]:
+    def _write_version(self, rows: DataFrame, version: str, dealt: bool = False) -> dict[str, int]:
         """One file set per bucket, sorted by key. REBALANCE lets the engine size the tasks from the
-        real bytes: small buckets share one, a bucket with a third of the rows is split over many."""
+        real bytes: small buckets share one, a bucket with a third of the rows is split over many.
+        Rows that are dealt out by key, and come in its order, are written where they are; the engine
+        sorts them by bucket only."""
         path = f"{self.store.data_path(self.name)}/_v={version}"
-        (rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.keys)
-         .write.partitionBy("_bucket").parquet(path))
+        if not dealt:
+            rows = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.keys)
+        rows.write.partitionBy("_bucket").parquet(path)
         return self._bucket_bytes(path)
 
     def _bucket_bytes(self, path: str) -> dict[str, int]:
@@ -529,7 +594,7 @@ class KeyedTable(_Table):
         return {str(r["_bucket"]): r["bytes"] for r in files.groupBy("_bucket").agg(F.sum("file_size").alias("bytes")).collect()}
 
     def _incoming_layout(self, df: DataFrame) -> Layout:
-        hidden = {"_deleted", "_bucket", *GUARD_COLUMNS}
+        hidden = {"_deleted", "_bucket", "_old", *GUARD_COLUMNS}
         missing = [k for k in self.keys if k not in df.columns]
         if missing:
             raise LayoutError(f"key columns {missing} are not in the data")

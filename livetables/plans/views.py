@@ -13,13 +13,13 @@ def full_name() -> Column:
     return F.concat("first_name", F.lit(" "), "last_name")
 
 
-def sold_total() -> Column:
-    """The part of an order that counts as revenue."""
-    return F.when(F.col("status") != "cancelled", F.col("total").cast(MONEY))
+def sold_total(row: str = "") -> Column:
+    """The part of an order that counts as revenue; ``row`` names the struct that holds the order, with its dot."""
+    return F.when(F.col(f"{row}status") != "cancelled", F.col(f"{row}total").cast(MONEY))
 
 
-def is_open() -> Column:
-    return F.when(F.col("status") == "open", 1).otherwise(0)
+def is_open(row: str = "") -> Column:
+    return F.when(F.col(f"{row}status") == "open", 1).otherwise(0)
 
 
 def order_totals_by_customer(orders: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ leaves the last commit, and the replay sees the same old rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -19,6 +20,7 @@ from livetables.session import discard, materialize
 from livetables.plans.views import MONEY, customer_360_rows, inventory_live, is_open, sold_total
 
 SUM = "decimal(38,2)"
+ORDER = ["customer_id", "status", "total", "created_at"]     # what the views read of an order
 SMALL = 2000        # records of a refresh whose steps are held as local rows
 
 
@@ -31,7 +33,8 @@ class Refresh:
     A step has at most two rows per record (the old and the new one). So with at most ``SMALL`` records,
     counted with their offsets, a kept step goes into the next plans as local rows; beyond that, or where the count is
     not known, it is written to the shared folder, and the changes of a table are read back from the layer
-    that its write has added, so they are written once. The rows are the same.
+    that its write has added, so they are written once. The rows are the same. A layer that is large beside its table
+    also holds the rows it replaces (``KeyedTable.with_old``), for an input that names their columns.
     """
 
     def __init__(self, store: TableStore):
@@ -58,12 +61,16 @@ class Refresh:
         self._steps.append(out._written_to)
         return out
 
+    def records(self) -> int:
+        """The fresh records, 0 where the count is not known."""
+        return 0 if None in self._records else sum(self._records)
+
     def small(self) -> bool:
         return None not in self._records and sum(self._records) <= SMALL
 
-    def take(self, table: KeyedTable, batch: DataFrame | None) -> DataFrame | None:
-        """The new changes of an input, one per key, and their write."""
-        return self._taken(table, self._staged(table, batch))
+    def take(self, table: KeyedTable, batch: DataFrame | None, old: Sequence[str] = ()) -> DataFrame | None:
+        """The new changes of an input, one per key, and their write. ``old`` are the columns of replaced rows that a step needs."""
+        return self._taken(table, self._staged(table, batch), old)
 
     def _staged(self, table: KeyedTable, batch: DataFrame | None) -> Staged | None:
         staged = None if batch is None else table.stage(batch, self.base)
@@ -71,21 +78,22 @@ class Refresh:
             self._records.append(staged.records)
         return staged
 
-    def _taken(self, table: KeyedTable, staged: Staged | None) -> DataFrame | None:
+    def _taken(self, table: KeyedTable, staged: Staged | None, old: Sequence[str] = ()) -> DataFrame | None:
         if staged is None:
             return None
         if self.small():
             changes = self.keep(staged.changes)
             self._submit(table, changes, staged.offsets, staged.record_ts)
             return changes
-        layer = table.add_layer(staged.changes, self.base)
+        layer = table.add_layer(table.with_old(staged, self.base, old) if old else staged.changes, self.base)
         self._writes[table.name] = self._pool.submit(table.settle, layer, self.base, staged.offsets, staged.record_ts)
         changes = self._changes[table.name] = table.layer_rows(layer)
         return changes
 
-    def take_both(self, *inputs: tuple[KeyedTable, DataFrame | None]) -> list[DataFrame | None]:
-        staged = [f.result() for f in [self._pool.submit(self._staged, t, b) for t, b in inputs]]
-        return [f.result() for f in [self._pool.submit(self._taken, t, s) for (t, _), s in zip(inputs, staged)]]
+    def take_both(self, *inputs: tuple) -> list[DataFrame | None]:
+        """``take`` of several inputs, each with its arguments."""
+        staged = [f.result() for f in [self._pool.submit(self._staged, t, b) for t, b, *_ in inputs]]
+        return [f.result() for f in [self._pool.submit(self._taken, t, s, *old) for (t, _, *old), s in zip(inputs, staged)]]
 
     def put(self, table: KeyedTable, rows: DataFrame) -> None:
         self._submit(table, rows)
@@ -127,24 +135,43 @@ class Refresh:
         return self.store.commit(self.base, pending) if pending else self.base
 
 
+def holds_old(changes: DataFrame, columns: list[str]) -> bool:
+    return "_old" in changes.columns and set(columns) <= set(changes.schema["_old"].dataType.names)
+
+
+def old_and_new(table: KeyedTable, changes: DataFrame, base: dict, columns: list[str]) -> DataFrame | None:
+    """The committed row of each changed key (``_old``) and its new one (``_new``), null where there is none, without
+    those that are alike; None for a table without rows. The layer of a large batch holds both, else they are joined."""
+    new = F.when(~F.col("_deleted"), F.struct(*columns)).alias("_new")
+    if holds_old(changes, columns):
+        pairs = changes.select(new, F.when(F.col("_old").isNotNull(), F.struct(*[F.col(f"_old.{c}").alias(c) for c in columns])).alias("_old"))
+    else:
+        stored = table.read_keys(changes, base)
+        if stored is None:
+            return None
+        old = F.struct(*[F.col(c).cast(changes.schema[c].dataType).alias(c) for c in columns])
+        pairs = changes.select(*table.keys, new).join(stored.select(*table.keys, old.alias("_old")), table.keys, "left")
+    kinds = " ".join(changes.schema[c].dataType.simpleString() for c in columns)
+    comparable = "map<" not in kinds and "variant" not in kinds
+    return pairs.filter(~F.col("_new").eqNullSafe(F.col("_old"))) if comparable else pairs
+
+
 def signed_changes(table: KeyedTable, changes: DataFrame, base: dict, columns: list[str]) -> DataFrame:
-    """Minus the committed rows of the changed keys, plus their new rows.
+    """Minus the committed rows of the changed keys, plus their new rows, without those that stay as they are.
 
-    Both rows of a key come from one record of a join, so they meet in an aggregation before its shuffle.
+    Both rows of a key come from one record, so they meet in an aggregation before its shuffle.
     """
-    stored = table.read_keys(changes, base)
-    if stored is None:
+    pairs = old_and_new(table, changes, base, columns)
+    if pairs is None:
         return changes.filter("NOT _deleted").select(*columns, F.lit(1).cast("long").alias("_w"))
-    new = changes.select(*table.keys, F.when(~F.col("_deleted"), F.struct(*columns)).alias("_new"))
-    pairs = new.join(stored.select(*table.keys, F.struct(*columns).alias("_old")), table.keys, "left")
     sides = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.col(c).alias("row")) for w, c in ((-1, "_old"), (1, "_new"))])
     rows = pairs.select(F.inline(sides)).filter("row IS NOT NULL")
     return rows.select(*[F.col("row")[c].alias(c) for c in columns], F.col("w").alias("_w"))
 
 
-def with_stored(delta: DataFrame, table: KeyedTable, base: dict, columns: list[str]) -> DataFrame:
-    """Deltas next to the stored values of their keys, named ``old_<column>``."""
-    stored = table.read_keys(delta, base)
+def with_stored(delta: DataFrame, table: KeyedTable, base: dict, columns: list[str], kept: bool = True) -> DataFrame:
+    """Deltas next to the stored values of their keys, named ``old_<column>``. Those that are not ``kept`` are read once, and the table whole."""
+    stored = table.read_keys(delta, base) if kept else table.read(base)
     if stored is None:
         return delta.withColumns({f"old_{c}": F.lit(None) for c in columns})
     return delta.join(stored.select(*table.keys, *[F.col(c).alias(f"old_{c}") for c in columns]), table.keys, "left")
@@ -192,7 +219,7 @@ class GroupCount:
 
     def refresh(self, batch: DataFrame) -> dict:
         with Refresh(self.store) as refresh:
-            changes = refresh.take(self.source, batch)
+            changes = refresh.take(self.source, batch, [c for c in batch.columns if not c.startswith("_")])
             if changes is not None:
                 columns = [c for c in changes.columns if not c.startswith("_")]
                 merge_signed(refresh, self.table, signed_changes(self.source, changes, refresh.base, columns), self.sums)
@@ -218,7 +245,7 @@ class CustomerView:
 
     def refresh(self, customers: DataFrame | None, orders: DataFrame | None) -> dict:
         with Refresh(self.store) as refresh:
-            changed_customers, changed_orders = refresh.take_both((self.customers, customers), (self.orders, orders))
+            changed_customers, changed_orders = refresh.take_both((self.customers, customers), (self.orders, orders, ORDER))
             affected = [] if changed_customers is None else [changed_customers.select("customer_id")]
             if changed_orders is not None:
                 affected.append(self._merge_totals(refresh, changed_orders))
@@ -228,25 +255,30 @@ class CustomerView:
             return refresh.commit()
 
     def _merge_totals(self, refresh: Refresh, changes: DataFrame) -> DataFrame:
-        signed = signed_changes(self.orders, changes, refresh.base, ["customer_id", "status", "total", "created_at"])
-        w = F.col("_w")
-        # per customer and time first: an update that keeps both cancels out, and a customer with a
-        # third of the changes is spread over its times
-        times = refresh.keep(
-            signed.filter("customer_id IS NOT NULL").groupBy("customer_id", "created_at")
-            .agg(F.sum(w).alias("n"), F.coalesce(F.sum(w * sold_total()), F.lit(0)).alias("sold"), F.sum(w * is_open()).alias("open_orders"))
-            .filter("n <> 0 OR sold <> 0 OR open_orders <> 0"))
-        moved = times.filter("n <> 0 AND created_at IS NOT NULL").select("customer_id", "created_at", "n")
+        effects, kept = self._effects(refresh, changes)
+        if kept:
+            moved = effects.filter("n <> 0 AND created_at IS NOT NULL").select("customer_id", "created_at", "n")
+        else:
+            first = self.times.state(refresh.base) is None
+            # the first rows of a large batch are dealt out as they are counted, and written so
+            by = [self.times.bucket(refresh.base).alias("_bucket")] if first and self.times.wide(refresh.records(), refresh.base) else []
+            signed = signed_changes(self.orders, changes, refresh.base, ["customer_id", "created_at"]).dropna()
+            moved = signed.groupBy(*by, "customer_id", "created_at").agg(F.sum("_w").alias("n")).filter("n <> 0")
+            if by:
+                moved = moved.sortWithinPartitions("_bucket", "customer_id", "created_at")
+            elif not first:
+                moved = refresh.keep(moved)
         rows = with_stored(moved, self.times, refresh.base, ["n"])
         count = (F.coalesce(F.col("old_n").cast("long"), F.lit(0)) + F.col("n"))
-        refresh.put(self.times, rows.select("customer_id", "created_at", count.alias("n")).withColumn("_deleted", F.col("n") == 0))
+        bucket = [c for c in rows.columns if c == "_bucket"]
+        refresh.put(self.times, rows.select(*bucket, "customer_id", "created_at", count.alias("n")).withColumn("_deleted", F.col("n") == 0))
 
-        delta = times.groupBy("customer_id").agg(
+        delta = effects.groupBy("customer_id").agg(
             F.sum("n").alias("n"), F.sum("sold").alias("sold"), F.sum("open_orders").alias("open_orders"),
             F.max(F.when(F.col("n") > 0, F.col("created_at"))).alias("added"),
             F.max(F.when(F.col("n") < 0, F.col("created_at"))).alias("removed"))
         columns = ["orders", "sold", "open_orders", "last_order_at"]
-        rows = with_stored(delta, self.totals, refresh.base, columns)
+        rows = with_stored(delta, self.totals, refresh.base, columns, kept)
         old = lambda c, t: F.coalesce(F.col(f"old_{c}").cast(t), F.lit(0))
         latest = F.greatest(F.col("old_last_order_at").cast("timestamp_ntz"), F.col("added"))
         seen = Observation()
@@ -269,6 +301,37 @@ class CustomerView:
         refresh.put(self.totals, rows.drop("max_left").withColumn("_deleted", F.col("orders") == 0))
         return rows.select("customer_id")
 
+    def _effects(self, refresh: Refresh, changes: DataFrame) -> tuple[DataFrame, bool]:
+        """What the changed orders add to their customers: ``n`` orders at a time, ``sold`` and ``open_orders``; and whether that is kept.
+
+        An order that keeps customer and time is one row, with ``n`` 0; else its old row counts -1 and its new one 1. If a layer alone
+        gives them, each step reads it. Else they are kept, per customer and time: an update that keeps both cancels
+        out, and a customer with a third of the changes is spread over its times.
+        """
+        key = ("customer_id", "created_at")
+
+        def effect(row: str, n: int, sold: Column, open_orders: Column) -> list[Column]:
+            return [*[F.col(f"{row}{c}").alias(c) for c in key], F.lit(n).cast("long").alias("n"), sold.alias("sold"), open_orders.cast("long").alias("open_orders")]
+
+        pairs = old_and_new(self.orders, changes, refresh.base, ORDER)
+        if pairs is None:
+            rows = changes.filter("NOT _deleted").select(*effect("", 1, sold_total(), is_open()))
+        else:
+            was, now, none = sold_total("_old."), sold_total("_new."), F.lit(0).cast(MONEY)
+            stays = F.col("_new").isNotNull() & F.col("_old").isNotNull()
+            for c in key:
+                stays &= F.col(f"_new.{c}").eqNullSafe(F.col(f"_old.{c}"))
+            one = effect("_new.", 0, F.coalesce(now, none) - F.coalesce(was, none), is_open("_new.") - is_open("_old."))
+            both = effect("_old.", -1, none - was, -is_open("_old.")), effect("_new.", 1, none + now, is_open("_new."))     # of one type
+            rows = pairs.select(F.inline(F.when(stays, F.array(F.struct(*one))).otherwise(F.array(*[F.struct(*r) for r in both]))))
+        # without a customer: an order of nobody, or no old or no new row
+        some = "n <> 0 OR sold <> 0 OR open_orders <> 0"
+        rows = rows.filter(f"customer_id IS NOT NULL AND ({some})")
+        if not refresh.small() and (pairs is None or holds_old(changes, ORDER)):
+            return rows, False
+        sums = [F.sum("n").alias("n"), F.coalesce(F.sum("sold"), F.lit(0)).alias("sold"), F.sum("open_orders").alias("open_orders")]
+        return refresh.keep(rows.groupBy(*key).agg(*sums).filter(some)), True
+
     def _merge_view(self, refresh: Refresh, ids: DataFrame) -> None:
         customers = refresh.rows(self.customers, ids, ["customer_id"])
         if customers is None:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from livetables.operators import changelog as cl
+from livetables.operators import tables
 from livetables.operators.store import TableStore
 from livetables.operators.tables import KeyedTable
 from livetables.plans.views import customer_360, inventory_live
@@ -228,3 +229,74 @@ def test_rounds_of_a_log_make_the_whole_log(spark, sf):
         parts = [log(spark, sf, [i]) for i in range(3)]
         assert rows(parts[0].unionByName(parts[1]).unionByName(parts[2])) == rows(log(spark, sf))
         assert all(p.filter(F.floor(F.col("_offset") / fx.OFFSET_STEP) != i).isEmpty() for i, p in enumerate(parts))
+
+
+def test_a_large_batch_holds_the_rows_it_replaces(spark, store, monkeypatch):
+    """Its layer alone gives the signed rows: the table is read once, with the batch, and rows that stay as they are give none."""
+    monkeypatch.setattr(incremental, "SMALL", -1)
+    monkeypatch.setattr(tables, "FILE_ROWS", 0)
+    _, orders = history(11)
+    log = spark.createDataFrame([(None, 1, "open", None, None, 0, 500, None, False), *orders], ORDERS)
+    table, columns = KeyedTable(store, "orders", ["order_id"]), ["customer_id", "status", "total", "created_at"]
+    state = {}
+    for low, high in ((0, 60), (60, 999)):
+        batch = log.filter((F.col("_offset") >= low) & (F.col("_offset") < high))
+        with Refresh(store) as refresh:
+            changes = refresh.take(table, batch, columns)
+            assert ("_old" in changes.columns) == (low > 0)
+            signed = incremental.signed_changes(table, changes, refresh.base, columns)
+            assert set(signed.inputFiles()) <= set(changes.inputFiles()) and len({f.split("_v=")[1].split("/")[0] for f in signed.inputFiles()}) == 1
+            want, after = [], dict(state)
+            for key, *values, _, offset, _, gone in sorted((o for o in orders if low <= o[6] < high), key=lambda o: o[6]):
+                after[key] = None if gone else tuple(values)
+            for key in after:
+                if state.get(key) != after[key]:
+                    want += [(*row, w) for row, w in ((state.get(key), -1), (after[key], 1)) if row is not None]
+            assert rows(signed, *columns, "_w") == sorted(want, key=repr)
+            state = after
+            refresh.commit()
+    assert rows(table.read(), "order_id", *columns) == sorted(((k, *v) for k, v in state.items() if v is not None), key=repr)
+
+
+@pytest.mark.parametrize("seed", [21, 22, 23])
+def test_large_refreshes_equal_batch(spark, monkeypatch, seed):
+    """Every batch written as it is dealt out, every layer folded at once."""
+    monkeypatch.setattr(incremental, "SMALL", -1)
+    monkeypatch.setattr(tables, "FILE_ROWS", 0)
+    monkeypatch.setattr(tables, "FILE_BYTES", 0)
+    customers, orders = history(seed, 200)
+    c_all, o_all = spark.createDataFrame(customers, CUSTOMERS), spark.createDataFrame(orders, ORDERS)
+    view = CustomerView(TableStore(spark, workdir(spark, "view")), buckets=3)
+    for table in (view.customers, view.orders, view.times, view.totals, view.view):
+        table.fold_bytes = 0 if seed != 22 else 1 << 30      # once with layers that stay
+    for low, high in ((0, 80), (80, 150), (150, 200)):
+        part = lambda df: df.filter((F.col("_offset") >= low) & (F.col("_offset") < high))
+        view.refresh(part(c_all), part(o_all))
+    want = customer_360(cl.latest_by_key(c_all, ["customer_id"]), cl.latest_by_key(o_all, ["order_id"]))
+    assert rows(view.view.read(), *want.columns) == rows(want)
+    assert rows(view.orders.read(), "order_id", "status", "total") == rows(cl.latest_by_key(o_all, ["order_id"]), "order_id", "status", "total")
+    times = cl.latest_by_key(o_all, ["order_id"]).dropna(subset=["customer_id", "created_at"]).groupBy("customer_id", "created_at").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(view.times.read(), *times.columns) == rows(times)
+    counts = GroupCount(TableStore(spark, workdir(spark, "view")), view.orders, "n", ["customer_id"], {"total": F.col("total")})
+    counts.source = KeyedTable(counts.store, "orders", ["order_id"])
+    for low, high in ((0, 80), (80, 200)):
+        counts.refresh(o_all.filter((F.col("_offset") >= low) & (F.col("_offset") < high)))
+    want = cl.latest_by_key(o_all, ["order_id"]).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total").cast("decimal(38,2)").alias("total"))
+    assert rows(counts.read(), "customer_id", "n", "total") == rows(want)
+
+
+def test_a_large_fold_joins_base_and_layer_once(spark, store, monkeypatch):
+    """The rows of a fold are those of a read, with many layers and tombstones, and are not shuffled again to be written."""
+    monkeypatch.setattr(tables, "FILE_BYTES", 0)
+    _, orders = history(31, 200)
+    log = spark.createDataFrame(orders, ORDERS)
+    table = KeyedTable(store, "orders", ["order_id"], fold_bytes=1 << 30)
+    for low, high in ((0, 80), (80, 100), (100, 200)):
+        table.merge(log.filter((F.col("_offset") >= low) & (F.col("_offset") < high)))
+    before, state = rows(table.read()), table.state()
+    assert any(len(layers) > 2 for layers in state["files"].values())
+    folded, written, write = table._folded(state, state["files"]), [], KeyedTable._write_version
+    assert rows(folded.drop("_bucket"), *table.read().columns) == before
+    monkeypatch.setattr(KeyedTable, "_write_version", lambda self, r, v, dealt=False: (written.append(dealt), write(self, r, v, dealt))[1])
+    table.compact()
+    assert written == [True] and rows(table.read()) == before and all(len(v) == 1 for v in table.state()["files"].values())
