@@ -9,7 +9,6 @@ few layers.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Iterable, Sequence
 from copy import deepcopy
 from dataclasses import dataclass
@@ -25,7 +24,7 @@ from livetables.operators.pruning import keys_reached
 from livetables.operators.layout import (APPEND, UPSERT, Layout, LayoutError, conform, infer_mode,
                                          merge_layout)
 from livetables.operators.store import TableStore
-from livetables.session import discard, workdir
+from livetables.session import discard, materialize, workdir
 
 DEFAULT_BUCKETS = 6  # fixed value: partitions of a topic declared without a bucket count
 MAX_LAYERS = 8           # a read resolves at most this many layers
@@ -33,7 +32,7 @@ FOLD_RATIO = 0.25        # layers of a bucket that hold this share of its base a
 FOLD_BYTES = 32 << 20    # if they are worth a rewrite,
 FOLD_WORK = 8            # at most this many times the bytes of the batch in one commit
 FEW_BUCKETS = 16         # a batch of keys touches them all
-GROUP_LEVELS = 6         # 2 ** 6 pieces of a batch are written together: one piece's state has at most 6 of their layers, next to the base and one older layer
+GROUP_PIECES = 512       # so many pieces of a batch are one version: a commit shows those that it has reached
 FILE_ROWS = 2000         # rows dealt out by key are written as they lie where each task has so many for every bucket,
 FILE_BYTES = 64 << 10    # or so many bytes of the buckets that are folded
 JOIN_VERSIONS = 8        # so many small versions of a log become one
@@ -42,6 +41,7 @@ GUARD_COLUMNS = ("_partition", "_offset")
 BUCKET = StructField("_bucket", IntegerType())
 VERSION = StructField("_v", StringType())
 DELETED = StructField("_deleted", BooleanType())
+PIECE = StructField("_piece", IntegerType())
 
 
 def bucket_of(columns: Sequence[str | Column], n: int) -> Column:
@@ -220,21 +220,32 @@ class KeyedTable(_Table):
         layered = self._paths(state, {b: layers[1:] for b, layers in files.items()})
         if not base and not layered:
             return self.spark.createDataFrame([], layout.schema)
-        layer_schema = StructType([*layout.schema, DELETED, BUCKET, VERSION])
         if probe is not None:
-            rows = self._scan(layer_schema, base + layered).join(probe, list(on), "left_semi")
+            rows = self._changes(state, base + layered).join(probe, list(on), "left_semi")
             if layered:
-                rows = changelog.last_change(rows, self.keys, ["_v"]).filter("_deleted IS NULL OR NOT _deleted")
+                rows = self._last(state, rows).filter("_deleted IS NULL OR NOT _deleted")
             return rows.select(*columns)
         base_rows = self._scan(StructType([*layout.schema, BUCKET]), base).select(*columns) if base else None
         if not layered:
             return base_rows
-        changes = changelog.last_change(self._scan(layer_schema, layered), self.keys, ["_v"])
+        changes = self._last(state, self._changes(state, layered))
         live = changes.filter("NOT _deleted").select(*columns)
         if base_rows is None:
             return live
         return base_rows.join(changes.select(*self.keys), self.keys, "left_anti").select(*columns).unionByName(live)
 
+    def _changes(self, state: dict, paths: Iterable[str]) -> DataFrame:
+        """The rows of versions, tombstones included. Of a version of several pieces those that the state has reached."""
+        pieces = state.get("pieces", {})
+        rows = self._scan(StructType([*Layout.from_json(state["layout"]).schema, *([PIECE] if pieces else []), DELETED, BUCKET, VERSION]), paths)
+        for version, n in pieces.items():
+            rows = rows.filter((F.col("_v") != version) | (F.col("_piece") < n))
+        return rows
+
+    def _last(self, state: dict, changes: DataFrame) -> DataFrame:
+        """The newest row of every key."""
+        return changelog.last_change(changes, self.keys, ["_v", "_piece"] if state.get("pieces") else ["_v"])
+
     def get(self, *key) -> DataFrame | None:
         """Point lookup: reads the one bucket the key hashes to."""
         snapshot = self.store.snapshot()
@@ -336,91 +347,81 @@ class KeyedTable(_Table):
     def merge_pieces(self, batch: DataFrame, most: int) -> int:
         """Merge a large batch in commits of at most ``most`` records each, in the order of their offsets; returns how many there were.
 
-        The result of every commit is that of ``merge`` on its piece. But the layers of 2 ** ``GROUP_LEVELS`` pieces are written by one job, so a commit costs its manifest, whatever
-        the number of pieces. What is committed already is skipped, so the batch may come again after an error.
+        The result of every commit is that of ``merge`` on its piece. But all pieces are written by one job, ``GROUP_PIECES`` of them as one version, so a commit costs its manifest,
+        whatever the number of pieces. What is committed already is skipped, so the batch may come again after an error.
         """
-        fresh = self.guard(batch, self.store.snapshot())
+        snapshot, done = self.store.snapshot(), 0
+        fresh = self.guard(batch, snapshot)
         piece, n = piece_sizes(fresh, most)
         if n <= 1:
             self.merge(batch)
             return 1
-        width = 2 ** GROUP_LEVELS
-        path = workdir(self.spark, "pieces")
-        rows = fresh.withColumn("_piece", piece).withColumn("_group", F.floor(F.col("_piece") / width))
-        rows.write.partitionBy("_group").parquet(path)
-        schema = rows.drop("_group").schema
+        rows = materialize(fresh.withColumn("_piece", piece), "pieces")
+        ends = workdir(self.spark, "ends")
+        staged = f"{self.store.data_path(self.name)}/_v={self.store.new_version(snapshot)}"      # of no commit, so a vacuum takes what is left of it
         try:
-            for g in range(-(-n // width)):
-                group = self.spark.read.schema(schema).parquet(f"{path}/_group={g}")
-                first = g * width
-                if self.state() is None:          # its layout, and the first base
-                    self.merge(group.filter(F.col("_piece") == first).drop("_piece"))
-                    group, first = group.filter(F.col("_piece") > first), first + 1
-                self._merge_group(group.withColumn("_piece", F.col("_piece") - first), min(n, (g + 1) * width) - first)
+            if self.state(snapshot) is None:          # its layout, and the first base
+                snapshot, done = self.store.commit(snapshot, {self.name: self.apply(rows.filter("_piece = 0").drop("_piece"), snapshot)}), 1
+            layout = self._write_pieces(rows.filter(F.col("_piece") >= done).withColumn("_piece", F.col("_piece") - done), snapshot, staged, ends)
+            for first in range(0, n - done, GROUP_PIECES):
+                snapshot = self._commit_pieces(snapshot, layout, min(GROUP_PIECES, n - done - first), f"{staged}/_group={first // GROUP_PIECES}", f"{ends}/_group={first // GROUP_PIECES}")
         finally:
-            discard(self.spark, path)
+            discard(self.spark, rows._written_to, ends, staged)
         return n
 
-    def _merge_group(self, rows: DataFrame, n: int) -> None:
-        """Commit pieces 0 to n - 1 one by one, all written by one job.
-
-        The state after p pieces has one layer for each 1 in the binary digits of p: blocks of 32, 16, … pieces that follow each other. So a record is written once
-        for each block it lies in, at most once a level, and no state needs layers to be joined.
-        """
-        if n < 1:
-            return
-        snapshot = self.store.snapshot()
+    def _write_pieces(self, rows: DataFrame, snapshot: dict, staged: str, ends: str) -> Layout:
+        """Write the last change of every key in each piece, by group of pieces and bucket, and how far each piece reads. Both number the pieces of a group from 0."""
         state = self.state(snapshot)
-        ends = rows.groupBy("_piece", "_partition").agg((F.max("_offset") + 1).alias("next_offset"), self._newest(rows).alias("ts")).collect()
-        blocks = [(level, start) for level in range(GROUP_LEVELS + 1) for start in range(0, n, 2 << level) if start + (1 << level) <= n]
-        tag = uuid.uuid4().hex[:10]
-        version = {(level, start): f"v{snapshot['commit'] + 1 + start:012d}-{1 << level:02d}{tag}" for level, start in blocks}
-        start = F.col("_piece") - F.col("_piece") % F.col("_width")
-        number = F.lpad((start + F.lit(snapshot["commit"] + 1)).cast("string"), 12, "0")
-        name = F.concat(F.lit("v"), number, F.lit("-"), F.lpad(F.col("_width").cast("string"), 2, "0"), F.lit(tag))
+        number = rows["_piece"]
+        rows = rows.withColumns({"_group": F.floor(number / GROUP_PIECES).cast("int"), "_piece": F.pmod(number, F.lit(GROUP_PIECES)).cast("int")})
+        (rows.groupBy("_group", "_piece", F.col("_partition").cast("long").alias("_partition")).agg((F.max("_offset") + 1).cast("long").alias("next_offset"), self._newest(rows).alias("ts"))
+         .hint("rebalance", "_group").write.partitionBy("_group").parquet(ends))
         if "_deleted" not in rows.columns:
             rows = rows.withColumn("_deleted", F.lit(False))
-        layout = merge_layout(Layout.from_json(state["layout"]), self._incoming_layout(rows.drop("_piece")))
-        widths = F.array(*[F.lit(1 << level) for level in range(GROUP_LEVELS + 1)])
-        placed = (changelog.drop_null_keys(rows, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])).withColumn("_width", F.explode(widths))
-                  .withColumn("_v", name).filter(F.col("_v").isin(list(version.values())))
-                  .repartition(max(1, self.spark.sparkContext.defaultParallelism), "_v", "_bucket"))
-        order = self.order if set(self.order) <= set(rows.columns) else []
-        last = changelog.last_change(placed, ["_v", "_bucket", *self.keys], ["_piece", *order])
-        path = f"{self.store.root}/_pieces/{uuid.uuid4().hex}"
-        conform(last, StructType([*layout.schema, DELETED, BUCKET, VERSION])).write.partitionBy("_v", "_bucket").parquet(path)
-        held = self.store.adopt(self.name, path)
-
-        state = {**state, "layout": layout.to_json()}
-        shallow = deepcopy(state)
-        self._shallow(shallow, snapshot)
+        layout = merge_layout(Layout.from_json(state["layout"]), self._incoming_layout(rows.drop("_piece", "_group")))
+        # one shuffle: the ranks, and the files, need no other
+        placed = changelog.drop_null_keys(rows, self.keys).withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])).repartition("_group", "_bucket")
+        order = self.order if set(self.order) <= set(rows.columns) else ["_piece"]
+        last = changelog.last_change(placed, ["_group", "_bucket", "_piece", *self.keys], order)
+        conform(last, StructType([*layout.schema, PIECE, DELETED, StructField("_group", IntegerType()), BUCKET])).write.partitionBy("_group", "_bucket").parquet(staged)
+        return layout
+
+    def _commit_pieces(self, snapshot: dict, layout: Layout, n: int, staged: str, ends: str) -> dict:
+        """Commit the pieces of a group one by one. Their rows are one layer, of which each state shows the pieces up to its own; the last state has it without what later pieces replace."""
+        reached: dict[int, list] = {}
+        for r in self.spark.read.schema("_piece int, _partition long, next_offset long, ts timestamp_ntz").parquet(ends).collect():
+            reached.setdefault(r["_piece"], []).append(r)
+        state = {**deepcopy(self.state(snapshot)), "layout": layout.to_json()}
+        self._shallow(state, snapshot)
+        version = self.store.new_version(snapshot, last=True)
+        counts = self._bucket_bytes(f"{self.store.data_path(self.name)}/_v={version}") if self.store.adopt(self.name, staged, version) else {}
+        for b, count in counts.items():
+            if b not in state["files"]:
+                state["files"][b], state["bytes"][b] = [NO_BASE], [0]
+            state["files"][b].append(version)
+            state["bytes"][b].append(count)
+        state["written"][version] = len(counts)
+        others = state.get("pieces", {})
         for p in range(1, n + 1):
-            files, sizes = deepcopy(shallow["files"]), deepcopy(shallow["bytes"])
-            written = dict(shallow["written"])
-            for at in _binary_blocks(p):
-                counts = held.get(version[at], {})
-                written[version[at]] = len(counts)
-                for b, count in counts.items():
-                    if b not in files:
-                        files[b], sizes[b] = [NO_BASE], [0]
-                    files[b].append(version[at])
-                    sizes[b].append(count)
-            mine = [r for r in ends if r["_piece"] == p - 1]
+            mine = reached.get(p - 1, [])
             times = [r["ts"] for r in mine if r["ts"]]
-            state = self._progressed({**state, "files": files, "bytes": sizes, "written": written}, {str(r["_partition"]): r["next_offset"] for r in mine},
+            state = self._progressed({**state, "pieces": {**others, version: p}}, {str(r["_partition"]): r["next_offset"] for r in mine},
                                      max(times).isoformat(timespec="microseconds") if times else None)
             if p == n:
-                fresh = {b: sum(held.get(version[at], {}).get(b, 0) for at in _binary_blocks(n)) for b in files}
-                grown = self._grown(sizes, {b: x for b, x in fresh.items() if x})
+                state = deepcopy(state)
+                grown = self._grown(state["bytes"], counts)
                 if grown:
                     self._fold(state, grown, snapshot)
                 self._shallow(state, snapshot)
+                for depth in {len(layers) for layers in state["files"].values() if layers[-1] == version and n > 1}:
+                    self._join_layers(state, {b for b, layers in state["files"].items() if layers[-1] == version and len(layers) == depth}, snapshot, depth - 1)
             self._tidy(state)
             snapshot = self.store.commit(snapshot, {self.name: state})
+        return snapshot
 
     def _shallow(self, state: dict, snapshot: dict) -> None:
-        """Join layers where a bucket has more than one, so that it has room for those of a group of pieces."""
-        deep = {b for b, layers in state["files"].items() if len(layers) > MAX_LAYERS - GROUP_LEVELS}
+        """Join layers where a bucket has no room for one more."""
+        deep = {b for b, layers in state["files"].items() if len(layers) >= MAX_LAYERS}
         if deep:
             self._join_layers(state, deep, snapshot)
 
@@ -524,7 +525,7 @@ class KeyedTable(_Table):
         large = state["buckets"] <= FEW_BUCKETS and size >= FILE_BYTES * self._most_files(state["buckets"])
         dealt = self._folded(state, files) if large else None
         rows = self._resolve(state, files) if dealt is None else dealt
-        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [new], dealt is not None)
+        self._rewrite(state, buckets, rows, snapshot, 0, dealt is not None)
 
     def _folded(self, state: dict, files: dict[str, list[str]]) -> DataFrame | None:
         """The rows of ``_resolve`` with their bucket, dealt out by key: base and changes meet in one join. None where there is nothing to join."""
@@ -534,39 +535,39 @@ class KeyedTable(_Table):
         values = [c for c in schema.names if c not in self.keys]
         if not base or not layered or not values:
             return None
-        changes = self._scan(StructType([*schema, DELETED, BUCKET, VERSION]), layered)
-        if any(len(layers) > 2 for layers in files.values()):       # else the keys of the one layer are unique
-            changes = changelog.last_change(changes, self.keys, ["_v"])
+        changes = self._changes(state, layered)
+        if any(len(layers) > 2 or layers[-1] in state.get("pieces", {}) for layers in files.values()):       # else the keys of the one layer are unique
+            changes = self._last(state, changes)
         changes = changes.select(*self.keys, F.struct(*values).alias("_new"), F.coalesce("_deleted", F.lit(True)).alias("_gone"))
         old = self._scan(schema, base).select(*self.keys, F.struct(*values).alias("_old"))
         rows = old.join(changes, self.keys, "full_outer").filter("_gone IS NULL OR NOT _gone")
         rows = rows.select(*self.keys, *[F.when(F.col("_gone").isNull(), F.col("_old")[c]).otherwise(F.col("_new")[c]).alias(c) for c in values])
         return rows.select(*schema.names, bucket_of(state["bucket_by"], state["buckets"]).alias("_bucket"))
 
-    def _join_layers(self, state: dict, buckets: set[str], snapshot: dict) -> None:
-        """Merge the layers of buckets into one, tombstones included; a large base stays as it is."""
-        layout = Layout.from_json(state["layout"])
-        paths = self._paths(state, {b: state["files"][b][1:] for b in buckets})
-        layers = self._scan(StructType([*layout.schema, DELETED, BUCKET, VERSION]), paths)
-        rows = changelog.last_change(layers, self.keys, ["_v"]).drop("_v")
-        self._rewrite(state, buckets, rows, snapshot, lambda old, new: [old[0], new])
+    def _join_layers(self, state: dict, buckets: set[str], snapshot: dict, first: int = 1) -> None:
+        """Merge the layers of buckets, or those from ``first`` on, into one, tombstones included; a large base stays as it is."""
+        paths = self._paths(state, {b: state["files"][b][first:] for b in buckets})
+        rows = self._last(state, self._changes(state, paths)).drop("_v", "_piece")
+        self._rewrite(state, buckets, rows, snapshot, first)
 
-    def _rewrite(self, state: dict, buckets: set[str], rows: DataFrame, snapshot: dict, stack, dealt: bool = False) -> None:
+    def _rewrite(self, state: dict, buckets: set[str], rows: DataFrame, snapshot: dict, kept: int, dealt: bool = False) -> None:
+        """Put rows in place of the versions of buckets, but for the first ``kept``."""
         version = self.store.new_version(snapshot)
         counts = self._write_version(rows if dealt else rows.withColumn("_bucket", bucket_of(state["bucket_by"], state["buckets"])), version, dealt)
         state["written"][version] = len(counts)
         for b in buckets:
-            if b in counts:
-                state["files"][b] = stack(state["files"][b], version)
-                state["bytes"][b] = stack(state["bytes"][b], counts[b])
-            else:
-                state["files"].pop(b)
-                state["bytes"].pop(b)
+            new, size = ([version], [counts[b]]) if b in counts else ([], [])
+            state["files"][b], state["bytes"][b] = state["files"][b][:kept] + new, state["bytes"][b][:kept] + size
+            if not any(v != NO_BASE for v in state["files"][b]):
+                del state["files"][b], state["bytes"][b]
 
     @staticmethod
     def _tidy(state: dict) -> None:
         used = {v for layers in state["files"].values() for v in layers}
         state["written"] = {v: n for v, n in state["written"].items() if v in used}
+        pieces = {v: n for v, n in state.pop("pieces", {}).items() if v in used}
+        if pieces:
+            state["pieces"] = pieces
 
     def _check_unique(self, layout: Layout, version: str) -> None:
         rows = self._scan(StructType([*[layout.schema[k] for k in self.keys], BUCKET]), [f"{self.store.data_path(self.name)}/_v={version}"])
@@ -666,16 +667,6 @@ class LogTable(_Table):
         return self.store.commit(snapshot, {self.name: self._joined(state, 0, snapshot)})
 
 
-def _binary_blocks(p: int) -> list[tuple[int, int]]:
-    """Numbers 0 to p - 1 as (level, start) of blocks of 2 ** level numbers, the largest first."""
-    blocks, start = [], 0
-    for level in range(p.bit_length() - 1, -1, -1):
-        if p >> level & 1:
-            blocks.append((level, start))
-            start += 1 << level
-    return blocks
-
-
 def _small_tail(sizes: Sequence[int], least: int) -> int | None:
     """Where the newest versions begin that are worth joining: ``least`` of them or more, none larger than all newer ones together.
 

@@ -1,12 +1,14 @@
 """Bounded batches, supervised writes, and windows over quiet topics."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from livetables.operators import tables
 from livetables.operators.layout import LayoutError
-from livetables.operators.store import TableStore
+from livetables.operators.store import CommitConflict, TableStore
 from livetables.operators.tables import KeyedTable, LogTable
 from livetables.session import workdir
 from livetables.sources.topics import TopicSpec, read_log, write_log
@@ -161,3 +163,88 @@ def test_a_commit_does_not_list_the_manifests(spark, store):
     del store.versions
     table.merge(records(spark, 5, first=50))
     assert other.vacuum(keep=1, grace_seconds=-1) is not None and store.versions() == [6] and store.newest() == other.newest() == 6
+
+
+def local(path):
+    return path.removeprefix("file:")
+
+
+def last_values(listed, offsets):
+    """Keys and values of (v, k, partition, offset, deleted) records below some offsets."""
+    last = {r[1]: r for r in sorted(r for r in listed if r[3] < offsets.get(str(r[2]), 0))}
+    return sorted(((k, r[0]) for k, r in last.items() if not r[4]), key=repr)
+
+
+def test_the_files_of_a_large_batch_do_not_grow_with_its_commits(spark, store):
+    log = records(spark, 1500, 3).withColumn("k", F.col("v") % 40)
+    table = KeyedTable(store, "t", ["k"])
+    assert table.merge_pieces(log, 10) == 167 and store.snapshot()["commit"] == 167
+    assert len([f for f in os.listdir(local(store.data_path("t"))) if f.startswith("_v=")]) <= 4
+    assert len(os.listdir(local(f"{store.root}/_manifest"))) == 167        # one file a commit
+    assert rows(table.read(), "k", "v") == sorted(((v % 40, v) for v in range(1460, 1500)), key=repr)
+
+
+@pytest.mark.parametrize("fold_bytes", [0, 1 << 40])
+def test_a_group_of_pieces_that_breaks_off_goes_on(spark, store, monkeypatch, fold_bytes):
+    """A state shows the pieces it has reached and no more, to every kind of read, also where other batches follow on it."""
+    monkeypatch.setattr(tables, "GROUP_PIECES", 16)
+    log = records(spark, 400, 2).withColumn("k", F.when(F.col("v") != 5, F.col("v") % 30)).withColumn("_deleted", F.col("v") % 7 == 0)
+    listed = rows(log.filter("k IS NOT NULL"), "v", "k", "_partition", "_offset", "_deleted")
+    table, commit = KeyedTable(store, "t", ["k"], buckets=3, fold_bytes=fold_bytes), store.commit
+
+    def broken(base, changed):
+        if base["commit"] == 21:
+            raise OSError("no connection")
+        return commit(base, changed)
+
+    def check(snapshot=None):
+        want = last_values(listed, table.offsets(snapshot))
+        some = spark.range(0, 30, 3).withColumnRenamed("id", "k")
+        assert rows(table.read(snapshot), "k", "v") == want
+        assert rows(table.read_keys(some, snapshot), "k", "v") == [w for w in want if w[0] % 3 == 0]
+
+    store.commit = broken
+    with pytest.raises(OSError):
+        table.merge_pieces(log, 10)
+    del store.commit
+    assert store.snapshot()["commit"] == 21
+    for c in (1, 2, 16, 17, 18, 20, 21):
+        check(store.snapshot(c))
+    table.merge(log.filter("v < 222"))
+    check()
+    assert table.merge_pieces(log, 10) == 18 and store.snapshot()["commit"] == 40 and sum(table.offsets().values()) == 398_000 + 399_000 + 2
+    check()
+    check(store.snapshot(30))
+    table.compact()
+    check()
+    used = {v for c in range(1, 42) if c <= store.snapshot()["commit"] for layers in table.state(store.snapshot(c))["files"].values() for v in layers}
+    left = {f.removeprefix("_v=") for f in os.listdir(local(store.data_path("t")))} - used
+    assert len(left) <= 3 and not any(f.startswith("_group") for v in left for f in os.listdir(f"{local(store.data_path('t'))}/_v={v}"))
+
+
+def test_pieces_lie_on_top_of_layers_joined_before_them(spark, store):
+    table = KeyedTable(store, "t", ["k"], buckets=2, fold_bytes=1 << 40)
+    for i in range(8):
+        table.merge(records(spark, 7, first=7 * i))
+    assert {len(layers) for layers in table.state()["files"].values()} == {8}
+    assert table.merge_pieces(records(spark, 200, first=56).filter("v < 63 OR k = 0"), 10) > 1
+    assert rows(table.read(), "k", "v") == [(0, 252), *[(k, 56 + k) for k in range(1, 7)]]
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_a_commit_is_put_in_place_once(spark, store, monkeypatch, links):
+    """By a link, or where the file system has none by a rename; a number that is taken is a conflict."""
+    if not links:
+        def link(source, target):
+            raise PermissionError("no links here")
+        monkeypatch.setattr(os, "link", link)
+    first = store.commit(store.snapshot(), {"t": {"files": {}}})
+    other = TableStore(spark, store.root)
+    for s in (store, other):
+        with pytest.raises(CommitConflict):
+            s._put(1, b"{}")
+    assert other.commit(first, {"u": {"files": {}}})["commit"] == 2 and store.snapshot(1) == first
+    assert sorted(store.commit(first, {"v": {"files": {}}})["tables"]) == ["t", "u", "v"] and store.versions() == [1, 2, 3]
+    with pytest.raises(CommitConflict):
+        store.commit(store.snapshot(1) | {"tables": {}}, {"t": None})
+    assert not [f for f in os.listdir(local(f"{store.root}/_manifest")) if f.startswith("_")]
